@@ -11,8 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import uuid
+
 from ..operators import delivery, overview, payments, ranktest, retention, rfm
-from ..sources.fixtures import fixture_views
+from ..operators.churn import features as churn_features
+from ..operators.churn import metrics as churn_metrics
+from ..operators.churn import models as churn_models
+from ..operators.churn import sampling as churn_sampling
+from ..session import ensure_checkpoint_dir
+from ..sources import csv as csv_source
+from ..sources.fixtures import fixture_views, orders_raw_view, scored
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -67,8 +75,84 @@ VIEW_JOBS = {
 }
 
 
+# ----------------------------------------------------------------- ingest
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-{name}-{uuid.uuid4().hex}"
+
+
+def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the orders in their export form (day-first text) as header CSV to the
+    shared scratch folder and read them back: all columns as text, by header."""
+    raw = orders_raw_view(fixture_views(spark, sf_dir).orders)
+    path = csv_source.write_csv(raw, _scratch(spark, "orders-csv"))
+    return csv_source.read_text_table(spark, path)
+
+
+def parse_order_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_source.parse_order_timestamps(csv_ingest(spark, sf_dir))
+
+
+def timestamp_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return csv_source.timestamp_null_counts(csv_ingest(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ churn
+
+GBT_ROUNDS = 200
+_MODELS: dict = {}
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return churn_features.first_order_features(fixture_views(spark, sf_dir))
+
+
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = churn_sampling.stratified_split(_features(spark, sf_dir))
+    return split.where(split["split"] == churn_sampling.TRAIN).drop("split")
+
+
+def fitted_models(spark: SparkSession, sf_dir: str) -> churn_models.ChurnModels:
+    """Fit the four models once per session and data set; later jobs reuse them."""
+    key = (spark.sparkContext.applicationId, sf_dir, GBT_ROUNDS)
+    if key not in _MODELS:
+        _MODELS[key] = churn_models.fit_churn_models(_features(spark, sf_dir), gbt_rounds=GBT_ROUNDS)
+    return _MODELS[key]
+
+
+CHURN_JOBS: dict[str, Job] = {
+    "first_order_features": _features,
+    "label_balance": lambda spark, d: churn_features.label_balance(_features(spark, d)),
+    "stratified_split": lambda spark, d: churn_sampling.stratified_split(_features(spark, d)),
+    "class_weights": lambda spark, d: churn_sampling.class_weights(_train(spark, d)),
+    "undersample_majority": lambda spark, d: churn_sampling.undersample_majority(_train(spark, d)),
+    "standardize_features": lambda spark, d: churn_sampling.standardize_features(_features(spark, d)),
+    "churn_logistic": lambda spark, d: churn_models.test_predictions(
+        fitted_models(spark, d), (churn_models.LR_WEIGHTED, churn_models.LR_UNDERSAMPLED)
+    ),
+    "churn_boosted_trees": lambda spark, d: churn_models.test_predictions(
+        fitted_models(spark, d), (churn_models.GB_WEIGHTED, churn_models.GB_UNDERSAMPLED)
+    ),
+    "churn_feature_importance": lambda spark, d: churn_models.feature_importance(fitted_models(spark, d), spark),
+    "roc_curve_and_auc": lambda spark, d: churn_metrics.roc_curve_and_auc(scored(spark, d)),
+    "classification_metrics": lambda spark, d: churn_metrics.classification_metrics(scored(spark, d)),
+    "model_comparison": lambda spark, d: churn_models.model_comparison(fitted_models(spark, d)),
+    "score_profiles": lambda spark, d: churn_models.score_profiles(fitted_models(spark, d), _features(spark, d)),
+}
+
+INGEST_JOBS: dict[str, Job] = {
+    "csv_ingest": csv_ingest,
+    "parse_order_timestamps": parse_order_timestamps,
+    "timestamp_null_counts": timestamp_null_counts,
+}
+
+
 def queries() -> dict[str, Job]:
-    jobs: dict[str, Job] = {name: _on_views(fn) for name, fn in VIEW_JOBS.items()}
+    jobs: dict[str, Job] = dict(INGEST_JOBS)
+    jobs.update({name: _on_views(fn) for name, fn in VIEW_JOBS.items()})
+    jobs.update(CHURN_JOBS)
     return jobs
 
 
