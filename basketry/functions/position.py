@@ -3,10 +3,16 @@
 ``Window.orderBy(...)`` with no partition pulls every row into one task. The
 functions here range-bucket the rows on the leading order key instead:
 
-1. bucket edges are approximate quantiles of that key (``percentile_approx``),
-   at most ``n_buckets`` values; that bounded list is all that reaches the driver;
-2. ``Bucketizer`` (a JVM binary search) assigns each row its bucket, which is a
-   monotone function of the key, so bucket order equals key order;
+1. bucket edges are approximate quantiles of that key (``percentile_approx``,
+   at most ``n_buckets`` values) computed inside the plan as a one-row table that
+   is broadcast; a row's bucket is the number of edges not above its key, a
+   monotone function of the key, so bucket order equals key order. Nothing is
+   collected. The input is read by several branches of the plan (edges, bucket
+   totals, rows); callers pass an input that is cheap to re-read (a checkpointed
+   aggregate, see ``materialize``). Callers whose key is already spread evenly (a
+   seeded hash) or has a bounded domain (days) pass a monotone ``bucket``
+   expression instead and skip the edges;
+2. rows are bucketed by that expression;
 3. per-bucket totals (at most ``n_buckets`` rows per group) give each bucket its
    offset via a window over that small table;
 4. the running sum inside a bucket is an ordinary window partitioned by
@@ -20,29 +26,42 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+DEFAULT_BUCKETS = 128
 _BUCKET = "_pos_bucket"
 
 
-def _bucket_splits(df: DataFrame, key: str, n_buckets: int) -> list[float]:
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    accuracy = max(10_000, 20 * n_buckets)
-    row = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, accuracy).alias("q")).first()
-    edges = sorted({float(v) for v in (row["q"] or []) if v is not None})
-    return [float("-inf"), *edges, float("inf")]
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the session's checkpoint folder and continue from there.
+
+    Used before a result is read by more than one pass; a reliable checkpoint
+    survives the loss of executors, unlike a cached or locally checkpointed copy.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def uniform_bucket(key: str, key_bits: int = 31, bucket_bits: int = 8) -> Column:
+    """Monotone bucket for an integer key spread evenly over ``[0, 2^key_bits)``
+    (or the signed 64-bit range with ``key_bits=64``): its top ``bucket_bits`` bits."""
+    return F.shiftright(F.col(key), key_bits - bucket_bits)
 
 
 def with_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add ``_pos_bucket``: a range bucket on ``key`` (non-null numeric)."""
-    splits = _bucket_splits(df, key, n_buckets)
-    tmp = f"{_BUCKET}_in"
-    keyed = df.withColumn(tmp, F.col(key).cast("double"))
-    out = Bucketizer(splits=splits, inputCol=tmp, outputCol=_BUCKET, handleInvalid="keep").transform(keyed)
-    return out.drop(tmp)
+    """Add ``_pos_bucket``: a range bucket on ``key`` (non-null numeric) from
+    approximate quantile edges of ``key``, all inside the plan."""
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    accuracy = max(10_000, 20 * n_buckets)
+    edges = df.agg(
+        F.array_distinct(F.percentile_approx(F.col(key).cast("double"), probs, accuracy)).alias("_pos_edges")
+    )
+    x = F.col(key).cast("double")
+    bucketed = df.crossJoin(F.broadcast(edges))  # one row of at most n_buckets edges
+    return bucketed.withColumn(_BUCKET, F.size(F.filter("_pos_edges", lambda e: e <= x))).drop("_pos_edges")
 
 
 def running_sums(
@@ -52,13 +71,15 @@ def running_sums(
     partition_by: Sequence[str] = (),
     key: str | None = None,
     n_buckets: int = DEFAULT_BUCKETS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add inclusive running sums ``sums[name]`` in ``order_by`` order per ``partition_by``.
 
     ``key`` (default: the first ``order_by`` entry, which must then be a column
     name) is the numeric column used for bucketing; ``order_by`` must sort by it
     first. Rows that tie on the full ``order_by`` get successive values, like
-    ``ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW``.
+    ``ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW``. ``bucket``, if given,
+    must be non-decreasing in ``key``; it replaces the quantile bucketing.
     """
     if key is None:
         first = order_by[0]
@@ -68,7 +89,10 @@ def running_sums(
     parts = list(partition_by)
     tmp_vals = {name: f"_pos_v_{name}" for name in sums}
     staged = df.select("*", *[expr.alias(tmp_vals[name]) for name, expr in sums.items()])
-    staged = with_bucket(staged, key, n_buckets)
+    if bucket is not None:
+        staged = staged.withColumn(_BUCKET, bucket)
+    else:
+        staged = with_bucket(staged, key, n_buckets)
 
     totals = staged.groupBy(*parts, _BUCKET).agg(*[F.sum(tmp_vals[n]).alias(tmp_vals[n]) for n in sums])
     before = Window.partitionBy(*parts).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -97,6 +121,7 @@ def row_positions(
     key: str | None = None,
     name: str = "position",
     n_buckets: int = DEFAULT_BUCKETS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """1-based position of every row in ``order_by`` order within ``partition_by``."""
-    return running_sums(df, order_by, {name: F.lit(1).cast("bigint")}, partition_by, key, n_buckets)
+    return running_sums(df, order_by, {name: F.lit(1).cast("bigint")}, partition_by, key, n_buckets, bucket)

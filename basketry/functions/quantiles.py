@@ -16,53 +16,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import round_half_up
-from .position import running_sums
+from .position import materialize, running_sums
 
 QUINTILE_PROBS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
-    """Rows ``(prob, value)`` for each requested probability (none if ``df`` is empty)."""
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], group_by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(*group_by, prob, value)`` for each group and requested probability
+    (no rows for an empty group)."""
     spark = df.sparkSession
-    vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(
+    groups = list(group_by)
+    vals = df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("c")
     )
-    cum = running_sums(vals, ["v"], {"_end": F.col("c")})
-    cum = cum.select("v", (F.col("_end") - F.col("c")).alias("_start"), "_end")
-    total = vals.agg(F.sum("c").alias("n")).where(F.col("n") > 0)
-    targets = spark.createDataFrame([(float(p),) for p in probs], "prob double")
+    vals = materialize(vals)  # distinct values and counts, read by four branches below
+    cum = running_sums(vals, ["v"], {"_end": F.col("c")}, partition_by=groups)
+    cum = cum.select(*groups, "v", (F.col("_end") - F.col("c")).alias("_start"), "_end")
+    total = vals.groupBy(*groups).agg(F.sum("c").alias("n")).where(F.col("n") > 0)
+    probs_df = spark.createDataFrame([(float(p),) for p in probs], "prob double")
+    # groups x probs rows: bounded by the caller's handful of groups
+    tg = {g: f"_t_{g}" for g in groups}  # renamed: both sides derive from ``vals``
     targets = F.broadcast(
-        targets.crossJoin(total).select(
-            "prob",
-            ((F.col("n") - 1).cast("double") * F.col("prob")).alias("pos"),
-        ).select("prob", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
+        total.crossJoin(F.broadcast(probs_df))
+        .select(*[F.col(g).alias(tg[g]) for g in groups], "prob",
+                ((F.col("n") - 1).cast("double") * F.col("prob")).alias("pos"))
+        .select(*tg.values(), "prob", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))
     )
     hit_lo = (F.col("_start") <= F.col("lo")) & (F.col("lo") < F.col("_end"))
     hit_hi = (F.col("_start") <= F.col("hi")) & (F.col("hi") < F.col("_end"))
-    picked = cum.join(targets, hit_lo | hit_hi, "inner").groupBy("prob").agg(
-        F.max(F.when(hit_lo, F.col("v"))).alias("v_lo"),
-        F.max(F.when(hit_hi, F.col("v"))).alias("v_hi"),
-        F.first("pos").alias("pos"),
-        F.first("lo").alias("lo"),
+    cond = hit_lo | hit_hi
+    for g in groups:
+        cond = cond & (F.col(g) == F.col(tg[g]))
+    picked = (
+        cum.join(targets, cond, "inner")
+        .groupBy(*groups, "prob")
+        .agg(
+            F.max(F.when(hit_lo, F.col("v"))).alias("v_lo"),
+            F.max(F.when(hit_hi, F.col("v"))).alias("v_hi"),
+            F.first("pos").alias("pos"),
+            F.first("lo").alias("lo"),
+        )
     )
     value = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("pos") - F.col("lo"))
-    return picked.select("prob", value.alias("value"))
+    return picked.select(*groups, "prob", value.alias("value"))
 
 
 def quantile_edges(df: DataFrame, col: str, probs: Sequence[float] = QUINTILE_PROBS, method: str = "exact",
                    digits: int = 6) -> DataFrame:
-    """One row with ``edges``: the quantiles of ``col`` at ``probs`` rounded to ``digits``.
+    """One row with ``edges``: the quantiles of ``col`` at ``probs`` rounded to ``digits``."""
+    wide = quantile_edges_multi(df, [col], probs, method, digits)
+    return wide.select(F.col(f"{col}_edges").alias("edges"))
+
+
+def quantile_edges_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUINTILE_PROBS,
+                         method: str = "exact", digits: int = 6) -> DataFrame:
+    """One row with ``<col>_edges`` for every column, from a single pass over a
+    long (column, value) form of ``df``.
 
     ``method='exact'`` uses the distributed order-statistic path above;
     ``method='percentile'`` uses Spark's built-in exact ``percentile`` aggregate,
-    which is simpler but keeps every distinct value of ``col`` in one reducer.
+    which is simpler but keeps every distinct value of a column in one reducer.
     """
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in cols]))
+        .alias("kv")
+    ).select("kv.metric", "kv.x")
     if method == "percentile":
-        arr = F.percentile(F.col(col).cast("double"), list(probs))
-        return df.agg(F.transform(arr, lambda e: round_half_up(e, digits)).alias("edges"))
-    q = exact_quantiles(df, col, probs)
-    pairs = F.array_sort(F.collect_list(F.struct("prob", round_half_up("value", digits).alias("edge"))))
-    return q.agg(F.transform(pairs, lambda s: s["edge"]).alias("edges"))
+        arr = F.percentile(F.col("x"), list(probs))
+        per = long.groupBy("metric").agg(F.transform(arr, lambda e: round_half_up(e, digits)).alias("edges"))
+    else:
+        q = exact_quantiles(long, "x", probs, group_by=["metric"])
+        pairs = F.array_sort(F.collect_list(F.struct("prob", round_half_up("value", digits).alias("edge"))))
+        per = q.groupBy("metric").agg(F.transform(pairs, lambda s: s["edge"]).alias("edges"))
+    return per.agg(*[F.max(F.when(F.col("metric") == c, F.col("edges"))).alias(f"{c}_edges") for c in cols])
 
 
 def inner_edges(edges: Column) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .position import running_sums
+from .position import materialize, running_sums
 
 
 def u_statistic(
@@ -23,12 +23,20 @@ def u_statistic(
     cx: str,
     cy: str,
     group_by: Sequence[str] = (),
+    bounded_domain: bool = False,
 ) -> DataFrame:
     """One row per group: ``n1``, ``n2``, ``u_stat`` and ``tie_term`` = sum(t^3 - t).
 
     ``counts`` holds one row per (group, value) with the counts of each sample.
+    With ``bounded_domain`` (few possible values, e.g. 1-5 star scores) the
+    values themselves are the buckets of the running sum.
     """
-    cum = running_sums(counts, [value], {"_cy_le": F.col(cy).cast("bigint")}, partition_by=group_by)
+    if bounded_domain:
+        bucket = F.col(value)
+    else:
+        counts = materialize(counts)  # read by the edges, bucket totals and rows of the running sum
+        bucket = None
+    cum = running_sums(counts, [value], {"_cy_le": F.col(cy).cast("bigint")}, partition_by=group_by, bucket=bucket)
     below = (F.col("_cy_le") - F.col(cy)).cast("double")
     contrib = F.col(cx).cast("double") * (below + F.col(cy).cast("double") / F.lit(2.0))
     t = (F.col(cx) + F.col(cy)).cast("double")

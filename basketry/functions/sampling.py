@@ -16,6 +16,12 @@ from pyspark.sql.types import IntegralType
 MIX_MULTIPLIER = 1103515245
 MIX_INCREMENT = 12345
 MIX_MODULUS = 2147483648
+MIX_BITS = 31
+
+
+def mix_bits(df: DataFrame, id_col: str) -> int:
+    """Bit width of the range ``seeded_mix`` draws from (for monotone bucketing)."""
+    return MIX_BITS if isinstance(df.schema[id_col].dataType, IntegralType) else 64
 
 
 def seeded_mix(df: DataFrame, id_col: str, seed: int) -> Column:

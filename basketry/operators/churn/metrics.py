@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.numeric import round_half_up
-from ...functions.position import running_sums
+from ...functions.position import materialize, running_sums
 from ...functions.ranks import u_statistic
 
 
@@ -31,7 +31,7 @@ def roc_points(scored: DataFrame, score: str = "score", label: str = "label", gr
     A point counts the rows with ``score >= threshold`` as predicted positive.
     Collinear points are all kept.
     """
-    counts = _score_counts(scored, score, label, group_by)
+    counts = materialize(_score_counts(scored, score, label, group_by))
     cum = running_sums(counts, ["threshold"], {"_pos_le": F.col("pos"), "_neg_le": F.col("neg")}, partition_by=group_by)
     totals = counts.groupBy(*group_by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     joined = cum.join(F.broadcast(totals), list(group_by), "inner") if group_by else cum.crossJoin(F.broadcast(totals))

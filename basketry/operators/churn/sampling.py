@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.numeric import round_half_up
-from ...functions.position import row_positions
-from ...functions.sampling import seeded_mix
+from ...functions.position import row_positions, uniform_bucket
+from ...functions.sampling import mix_bits, seeded_mix
 from .features import FEATURES, PERSON
 
 TRAIN, TEST = "train", "test"
@@ -24,7 +24,8 @@ def stratified_split(features: DataFrame, test_fraction: float = 0.2, seed: int
     """Add ``split``: within each label the first ``ceil(test_fraction * n_label)``
     persons in seeded order are 'test', the rest 'train'."""
     keyed = features.withColumn("_mix", seeded_mix(features, PERSON, seed))
-    ranked = row_positions(keyed, ["_mix", PERSON], partition_by=["label"], key="_mix", name="_pos")
+    bucket = uniform_bucket("_mix", mix_bits(features, PERSON))
+    ranked = row_positions(keyed, ["_mix", PERSON], partition_by=["label"], key="_mix", name="_pos", bucket=bucket)
     sizes = features.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
     cut = F.ceil(F.col("_n").cast("double") * F.lit(float(test_fraction)))
     return (
@@ -57,7 +58,9 @@ def undersample_majority(train: DataFrame, seed: int = 42) -> DataFrame:
     minority = tagged.where(F.col("label") != F.col("_major"))
     majority = tagged.where(F.col("label") == F.col("_major"))
     majority = majority.withColumn("_mix", seeded_mix(train, PERSON, seed))
-    drawn = row_positions(majority, ["_mix", PERSON], key="_mix", name="_pos").where(F.col("_pos") <= F.col("_keep"))
+    bucket = uniform_bucket("_mix", mix_bits(train, PERSON))
+    drawn = row_positions(majority, ["_mix", PERSON], key="_mix", name="_pos", bucket=bucket)
+    drawn = drawn.where(F.col("_pos") <= F.col("_keep"))
     cols = train.columns
     return minority.select(*cols).unionByName(drawn.select(*cols))
 

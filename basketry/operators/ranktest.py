@@ -42,13 +42,21 @@ def _upper_tail(z: pd.Series) -> pd.Series:
 
 
 def mann_whitney_from_values(
-    values: DataFrame, group: str, value: str, x_group, y_group, with_p_value: bool = False
+    values: DataFrame,
+    group: str,
+    value: str,
+    x_group,
+    y_group,
+    with_p_value: bool = False,
+    bounded_domain: bool = False,
 ) -> DataFrame:
     """U test of ``value`` for rows with ``group == x_group`` (x) against ``y_group`` (y).
 
     One row: n1, n2, u_stat, z_score, effect_size (rank-biserial 2U/(n1 n2) - 1,
     positive when x ranks higher), effect_label, null_values_dropped, and with
     ``with_p_value`` the one-sided p-value P(Z >= z) from the unrounded z.
+    ``bounded_domain`` declares that ``value`` takes few distinct values (ordinal
+    scores), so their running counts need no quantile bucketing.
     """
     in_test = F.col(group).isin([x_group, y_group])
     rows = values.where(in_test)
@@ -56,7 +64,7 @@ def mann_whitney_from_values(
         F.count_if(F.col(group) == x_group).alias("cx"), F.count_if(F.col(group) == y_group).alias("cy")
     )
     nulls = rows.agg(F.count_if(F.col(value).isNull()).cast("bigint").alias("null_values_dropped"))
-    u = u_statistic(counts, "v", "cx", "cy")
+    u = u_statistic(counts, "v", "cx", "cy", bounded_domain=bounded_domain)
     z = normal_z(F.col("u_stat"), F.col("n1"), F.col("n2"), F.col("tie_term"))
     r = safe_div(F.lit(2.0) * F.col("u_stat"), F.col("n1").cast("double") * F.col("n2").cast("double")) - F.lit(1.0)
     extra = [_upper_tail(z).alias("p_value")] if with_p_value else []
@@ -74,11 +82,13 @@ def mann_whitney_from_values(
 
 def mann_whitney_u(v: Views) -> DataFrame:
     """The test on delivery facts: on-time scores (x) greater than late scores (y)?"""
-    return mann_whitney_from_values(delivery_facts(v), "delivery_status", "review_score", ON_TIME, LATE)
+    return mann_whitney_from_values(
+        delivery_facts(v), "delivery_status", "review_score", ON_TIME, LATE, bounded_domain=True
+    )
 
 
 def mann_whitney_test(v: Views) -> DataFrame:
     """``mann_whitney_u`` with the p-value."""
     return mann_whitney_from_values(
-        delivery_facts(v), "delivery_status", "review_score", ON_TIME, LATE, with_p_value=True
+        delivery_facts(v), "delivery_status", "review_score", ON_TIME, LATE, with_p_value=True, bounded_domain=True
     )

@@ -123,7 +123,8 @@ def cumulative_return_curve(v: Views, max_days: int = 500, chunk_rows: int = 100
     d = F.col("days_to_return")
     per_day = return_gaps(v).groupBy(d.alias("days")).agg(F.count(F.lit(1)).alias("c"))
     total = per_day.agg(F.sum("c").alias("n"))
-    cum = running_sums(per_day, ["days"], {"_end": F.col("c")})
+    # Gap days have a bounded domain (the calendar span of the data): bucket by the day itself.
+    cum = running_sums(per_day, ["days"], {"_end": F.col("c")}, bucket=F.col("days"))
     kept = cum.where(F.col("days") <= max_days).crossJoin(F.broadcast(total))  # one row
     chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("c") - 1) / F.lit(chunk_rows))))
     chunks = kept.select("days", (F.col("_end") - F.col("c")).alias("start"), "c", "n", chunk.alias("chunk"))

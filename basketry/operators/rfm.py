@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_days
 from ..functions.numeric import as_long, round_half_up
-from ..functions.quantiles import bin_count, inner_edges, quantile_edges, quantile_score
+from ..functions.position import materialize
+from ..functions.quantiles import bin_count, inner_edges, quantile_edges_multi, quantile_score
 from ..functions.sampling import seeded_mix
 from ..sources import Views
 from .retention import delivered_person_orders
@@ -54,18 +55,20 @@ def rfm_base(v: Views) -> DataFrame:
     )
 
 
-def _edges(base: DataFrame, col: str, prefix: str, method: str) -> DataFrame:
-    e = quantile_edges(base, col, method=method)
-    return e.select(inner_edges(F.col("edges")).alias(f"{prefix}_inner"), bin_count(F.col("edges")).alias(f"{prefix}_bins"))
-
-
 def rfm_scores(v: Views, method: str = "exact") -> DataFrame:
     """``rfm_base`` plus r_score, f_score, m_score (quintiles) and their sum."""
-    base = rfm_base(v)
-    edges = (
-        _edges(base, "recency_days", "r", method)
-        .crossJoin(_edges(base, "frequency", "f", method))
-        .crossJoin(_edges(base, "monetary", "m", method))
+    # Read by the quantile pass and the scoring pass: compute and write it once.
+    base = materialize(rfm_base(v))
+    wide = quantile_edges_multi(base, ["recency_days", "frequency", "monetary"], method=method)
+    edges = wide.select(
+        *[
+            x
+            for prefix, col in (("r", "recency_days"), ("f", "frequency"), ("m", "monetary"))
+            for x in (
+                inner_edges(F.col(f"{col}_edges")).alias(f"{prefix}_inner"),
+                bin_count(F.col(f"{col}_edges")).alias(f"{prefix}_bins"),
+            )
+        ]
     )
     r_raw = quantile_score(F.col("recency_days"), F.col("r_inner"))
     scored = base.crossJoin(F.broadcast(edges)).select(  # one row of edges
@@ -97,9 +100,9 @@ def rfm_segments(v: Views, method: str = "exact") -> DataFrame:
     return s.withColumn("segment", segment_of(F.col("r_score"), F.col("f_score"), F.col("m_score")))
 
 
-def rfm_segment_summary(v: Views, method: str = "exact") -> DataFrame:
+def summarize_segments(segs: DataFrame) -> DataFrame:
     """Per segment: persons, mean recency/frequency/monetary (1 dp), % of persons."""
-    per = rfm_segments(v, method).groupBy("segment").agg(
+    per = segs.groupBy("segment").agg(
         as_long(F.count("customer_unique_id")).alias("customers"),
         round_half_up(F.avg("recency_days"), 1).alias("avg_recency"),
         round_half_up(F.avg("frequency"), 1).alias("avg_frequency"),
@@ -109,11 +112,15 @@ def rfm_segment_summary(v: Views, method: str = "exact") -> DataFrame:
     return per.select("*", round_half_up(share, 1).alias("pct_of_base")).orderBy(F.col("customers").desc())
 
 
+def rfm_segment_summary(v: Views, method: str = "exact") -> DataFrame:
+    return summarize_segments(rfm_segments(v, method))
+
+
 def rfm_segment_coverage(v: Views, method: str = "exact") -> DataFrame:
     """All six segments with their % of persons (0 when empty), an empty flag, and
     the % of persons with a single order."""
     segs = rfm_segments(v, method)
-    summary = rfm_segment_summary(v, method).select("segment", "customers", "pct_of_base")
+    summary = summarize_segments(segs).select("segment", "customers", "pct_of_base")
     names = segs.sparkSession.createDataFrame([(i, s) for i, s in enumerate(SEGMENTS)], "segment_order int, segment string")
     one = segs.agg(
         (F.lit(100.0) * F.try_divide(F.count_if(F.col("frequency") == 1), F.count(F.lit(1)))).alias("one_order_pct")

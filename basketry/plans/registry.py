@@ -18,6 +18,7 @@ from ..operators.churn import features as churn_features
 from ..operators.churn import metrics as churn_metrics
 from ..operators.churn import models as churn_models
 from ..operators.churn import sampling as churn_sampling
+from ..functions.position import materialize
 from ..session import ensure_checkpoint_dir
 from ..sources import csv as csv_source
 from ..sources.fixtures import fixture_views, orders_raw_view, scored
@@ -109,8 +110,13 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn_features.first_order_features(fixture_views(spark, sf_dir))
 
 
+def _features_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features for jobs that read them in several branches: computed and written once."""
+    return materialize(_features(spark, sf_dir))
+
+
 def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = churn_sampling.stratified_split(_features(spark, sf_dir))
+    split = churn_sampling.stratified_split(_features_written(spark, sf_dir))
     return split.where(split["split"] == churn_sampling.TRAIN).drop("split")
 
 
@@ -118,17 +124,17 @@ def fitted_models(spark: SparkSession, sf_dir: str) -> churn_models.ChurnModels:
     """Fit the four models once per session and data set; later jobs reuse them."""
     key = (spark.sparkContext.applicationId, sf_dir, GBT_ROUNDS)
     if key not in _MODELS:
-        _MODELS[key] = churn_models.fit_churn_models(_features(spark, sf_dir), gbt_rounds=GBT_ROUNDS)
+        _MODELS[key] = churn_models.fit_churn_models(_features_written(spark, sf_dir), gbt_rounds=GBT_ROUNDS)
     return _MODELS[key]
 
 
 CHURN_JOBS: dict[str, Job] = {
     "first_order_features": _features,
     "label_balance": lambda spark, d: churn_features.label_balance(_features(spark, d)),
-    "stratified_split": lambda spark, d: churn_sampling.stratified_split(_features(spark, d)),
+    "stratified_split": lambda spark, d: churn_sampling.stratified_split(_features_written(spark, d)),
     "class_weights": lambda spark, d: churn_sampling.class_weights(_train(spark, d)),
     "undersample_majority": lambda spark, d: churn_sampling.undersample_majority(_train(spark, d)),
-    "standardize_features": lambda spark, d: churn_sampling.standardize_features(_features(spark, d)),
+    "standardize_features": lambda spark, d: churn_sampling.standardize_features(_features_written(spark, d)),
     "churn_logistic": lambda spark, d: churn_models.test_predictions(
         fitted_models(spark, d), (churn_models.LR_WEIGHTED, churn_models.LR_UNDERSAMPLED)
     ),
