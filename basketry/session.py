@@ -8,6 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "basketry") -> SparkSession:
+    """A local session with the settings the jobs assume (UTC, AQE with skew-join
+    splitting). On a cluster, size ``spark.sql.shuffle.partitions`` (or rely on
+    AQE's ``advisoryPartitionSizeInBytes``) and ``spark.sql.files.maxPartitionBytes``
+    to the data, and name a shared ``spark.checkpoint.dir``."""
     spark = (
         SparkSession.builder.master(master)
         .appName(app)
@@ -37,6 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     target = configured or tempfile.mkdtemp(prefix="basketry-ckpt-")
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
