@@ -34,15 +34,22 @@ _BUCKET = "_pos_bucket"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and continue from there.
+    """Write ``df`` as a parquet table in the session's shared checkpoint folder
+    and continue from that table.
 
-    Used before a result is read by more than one pass; a reliable checkpoint
-    survives the loss of executors, unlike a cached or locally checkpointed copy.
+    Used before a result is read by more than one pass. The input is computed
+    once (an eager ``checkpoint()`` of an unpersisted plan would compute it
+    twice), the lineage is cut, the files survive the loss of executors, and
+    later reads get column pruning and filter pushdown.
     """
+    import uuid
+
     from ..session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def uniform_bucket(key: str, key_bits: int = 31, bucket_bits: int = 8) -> Column:

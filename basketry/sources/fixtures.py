@@ -16,8 +16,18 @@ from ..functions.dates import days, hours
 from . import Views
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet table; its schema is inferred once per path and then passed to
+    the reader, which saves a schema-inference job on every later read."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def orders_view(orders: DataFrame) -> DataFrame:
