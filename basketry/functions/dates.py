@@ -24,10 +24,14 @@ def _col(c) -> Column:
 def parse_day_first(text, pattern: str = SOURCE_TIMESTAMP_PATTERN) -> Column:
     """Parse day-first text to ``timestamp_ntz``; unparsable text becomes NULL.
 
-    ``try_to_timestamp`` never raises under ANSI mode. Casting its result to
-    ``timestamp_ntz`` in the same session zone restores the parsed wall clock.
+    ``try_to_timestamp`` (which never raises under ANSI mode) only decides
+    whether the text parses; the value comes from ``to_timestamp_ntz``, which
+    reads the wall clock without any session time zone (no DST shifts). The
+    CASE evaluates the strict parser only for text that parses.
     """
-    ts = F.try_to_timestamp(_col(text), F.lit(pattern)).cast("timestamp_ntz")
+    fmt = F.lit(pattern)
+    valid = F.try_to_timestamp(_col(text), fmt).isNotNull()
+    ts = F.when(valid, F.to_timestamp_ntz(_col(text), fmt))
     century_back = ts - F.make_ym_interval(F.lit(100), F.lit(0))
     return F.when(F.year(ts) >= TWO_DIGIT_YEAR_PIVOT, century_back).otherwise(ts)
 
