@@ -185,3 +185,13 @@ def test_split_is_stratified_disjoint_and_complete(spark):
     assert len(out) == 1000 and len({r.customer_unique_id for r in out}) == 1000
     test = [r for r in out if r.split == "test"]
     assert sum(1 for r in test if r.label == 1) == 150 and sum(1 for r in test if r.label == 0) == 50
+
+
+def test_parse_ignores_session_time_zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([("10-03-24 02:30",)], "s string")  # inside the DST gap there
+        assert df.select(parse_day_first("s")).first()[0] == dt.datetime(2024, 3, 10, 2, 30)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
