@@ -36,3 +36,9 @@ def pct(part, whole) -> Column:
 
 def as_long(c) -> Column:
     return _col(c).cast("bigint")
+
+
+def sort_small(df, *cols):
+    """Order a small aggregated result (a few categories) in one partition:
+    no range-partitioning pass, which a global sort would need."""
+    return df.coalesce(1).sortWithinPartitions(*cols)

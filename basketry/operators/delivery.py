@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_days
-from ..functions.numeric import as_long, pct, round_half_up
+from ..functions.numeric import as_long, pct, round_half_up, sort_small
 from ..sources import Views
 
 # Status labels, bucket labels (in rank order) and upper bounds in days.
@@ -113,9 +113,10 @@ def lateness_buckets(v: Views) -> DataFrame:
         as_long(F.count(F.lit(1))).alias("order_count"),
         round_half_up(F.avg("review_score"), 2).alias("avg_score"),
     )
-    return agg.select(
+    out = agg.select(
         "bucket_rank", _bucket_label(F.col("bucket_rank")).alias("lateness_bucket"), "order_count", "avg_score"
-    ).orderBy("bucket_rank")
+    )
+    return sort_small(out, "bucket_rank")
 
 
 def lateness_bucket_contrast(v: Views) -> DataFrame:

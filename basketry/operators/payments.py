@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import as_long, pct, round_half_up, safe_div
+from ..functions.numeric import as_long, pct, round_half_up, safe_div, sort_small
 from ..sources import Views
 
 SORT_COLUMNS = ("order_count", "pct_of_orders", "avg_order_value", "total_revenue")
@@ -28,13 +28,14 @@ def payment_method_summary(v: Views, sort_by: str = "order_count") -> DataFrame:
         round_half_up(F.sum("payment_value"), 2).alias("total_revenue"),
     )
     everything = Window.partitionBy()  # over the handful of aggregated methods
-    return agg.select(
+    summary = agg.select(
         "payment_type",
         "order_count",
         "avg_order_value",
         "total_revenue",
         round_half_up(pct("order_count", F.sum("order_count").over(everything)), 1).alias("pct_of_orders"),
-    ).orderBy(F.col(sort_by).desc(), F.col("payment_type"))
+    )
+    return sort_small(summary, F.col(sort_by).desc(), F.col("payment_type"))
 
 
 def payment_type_share(v: Views, payment_type: str = "credit_card") -> DataFrame:
@@ -50,10 +51,11 @@ def installment_profile(v: Views, min_tier: int = 1, max_tier: int = MAX_TIER) -
     rows = v.payments.where(
         (F.col("payment_type") == "credit_card") & F.col("payment_installments").between(lo, hi)
     )
-    return rows.groupBy(as_long("payment_installments").alias("payment_installments")).agg(
+    profile = rows.groupBy(as_long("payment_installments").alias("payment_installments")).agg(
         as_long(F.count(F.lit(1))).alias("order_count"),
         round_half_up(F.avg("payment_value"), 2).alias("avg_value"),
-    ).orderBy("payment_installments")
+    )
+    return sort_small(profile, "payment_installments")
 
 
 def installment_contrast(v: Views) -> DataFrame:

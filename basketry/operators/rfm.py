@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_days
-from ..functions.numeric import as_long, round_half_up
+from ..functions.numeric import as_long, round_half_up, sort_small
 from ..functions.position import materialize
 from ..functions.quantiles import bin_count, inner_edges, quantile_edges_multi, quantile_score
 from ..functions.sampling import seeded_mix
@@ -109,7 +109,7 @@ def summarize_segments(segs: DataFrame) -> DataFrame:
         round_half_up(F.avg("monetary"), 1).alias("avg_monetary"),
     )
     share = F.col("customers") / F.sum("customers").over(Window.partitionBy()) * F.lit(100)  # <= 6 rows
-    return per.select("*", round_half_up(share, 1).alias("pct_of_base")).orderBy(F.col("customers").desc())
+    return sort_small(per.select("*", round_half_up(share, 1).alias("pct_of_base")), F.col("customers").desc())
 
 
 def rfm_segment_summary(v: Views, method: str = "exact") -> DataFrame:

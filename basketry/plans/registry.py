@@ -84,12 +84,22 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-{name}-{uuid.uuid4().hex}"
 
 
+_EXPORTS: dict = {}
+
+
+def orders_export(spark: SparkSession, sf_dir: str) -> str:
+    """The orders in their export form (day-first text) as header CSV in the shared
+    scratch folder, written once per session and data set: the ingest input."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _EXPORTS:
+        raw = orders_raw_view(fixture_views(spark, sf_dir).orders)
+        _EXPORTS[key] = csv_source.write_csv(raw, _scratch(spark, "orders-csv"))
+    return _EXPORTS[key]
+
+
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the orders in their export form (day-first text) as header CSV to the
-    shared scratch folder and read them back: all columns as text, by header."""
-    raw = orders_raw_view(fixture_views(spark, sf_dir).orders)
-    path = csv_source.write_csv(raw, _scratch(spark, "orders-csv"))
-    return csv_source.read_text_table(spark, path)
+    """Read the order export: all columns as text, named by the header row."""
+    return csv_source.read_text_table(spark, orders_export(spark, sf_dir))
 
 
 def parse_order_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
