@@ -2,15 +2,17 @@
 
 Payments and reviews are aggregated to one row per order before any join, so
 the joins are 1:1 on order id (an order with two reviews gets their mean; with
-none, the neutral score 3). The person's first order is ``row_number() = 1``,
-which Spark limits per map task before the shuffle (partial WindowGroupLimit);
-the distinct-order count per person is a separate aggregation joined back on the
-person key, since Spark has no ``COUNT(DISTINCT ...) OVER``.
+none, the neutral score 3). The person's first order and their distinct-order
+count come from ONE hash aggregation per person: ``min_by`` over the order's
+fields with the key (purchase time missing?, purchase time, order id), so NULL
+times sort last and ties go to the lower order id, next to ``count_distinct``.
+Both are combined on the map side, so a person with a third of all orders is
+reduced before the shuffle, and the orders x payments join is computed once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.dates import calendar_days
@@ -49,10 +51,15 @@ def first_order_features(v: Views) -> DataFrame:
         "order_id", "customer_id", "purchase_ts", "delivered_ts", "estimated_ts"
     )
     rows = orders.join(v.customers.select("customer_id", PERSON), "customer_id", "inner").join(pay, "order_id", "inner")
-    counts = rows.groupBy(PERSON).agg(F.count_distinct("order_id").alias("total_orders"))
-    first = Window.partitionBy(PERSON).orderBy(F.col("purchase_ts").asc_nulls_last(), F.col("order_id").asc())
-    firsts = rows.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1)
-    joined = firsts.join(rev, "order_id", "left").join(counts, PERSON, "inner")
+    fields = ["order_id", "purchase_ts", "delivered_ts", "estimated_ts", "payment_value", "payment_installments",
+              "is_credit_card"]
+    first_key = F.struct(F.col("purchase_ts").isNull(), F.col("purchase_ts"), F.col("order_id"))
+    per_person = rows.groupBy(PERSON).agg(
+        F.min_by(F.struct(*fields), first_key).alias("_first"),
+        F.count_distinct("order_id").alias("total_orders"),
+    )
+    firsts = per_person.select(PERSON, "total_orders", *[F.col(f"_first.{f}").alias(f) for f in fields])
+    joined = firsts.join(rev, "order_id", "left")
     late = F.col("delivered_ts") > F.col("estimated_ts")
     return joined.select(
         PERSON,
