@@ -32,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def orders_view(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
-    d = F.col("o_orderdate")
+    d = F.col("o_orderdate").cast("timestamp_ntz")  # wall-clock time whatever the reader inferred
     status = (
         F.when(F.col("o_orderstatus") == "F", "delivered")
         .when(F.col("o_orderstatus") == "O", "shipped")
@@ -48,7 +48,7 @@ def orders_view(orders: DataFrame) -> DataFrame:
         k.alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
         status.alias("order_status"),
-        (d + hours((k * 7) % 24)).alias("purchase_ts"),
+        (d + hours((k * 7) % 24)).cast("timestamp_ntz").alias("purchase_ts"),
         delivered.cast("timestamp_ntz").alias("delivered_ts"),
         estimated.cast("timestamp_ntz").alias("estimated_ts"),
     )
