@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.numeric import round_half_up
+from ...functions.position import materialize
 from ...session import ensure_checkpoint_dir
 from .features import FEATURE_LABELS, FEATURES, PERSON
 from .metrics import auc, classification_metrics
@@ -65,7 +66,7 @@ def _sum(df: DataFrame, col) -> float:
 
 def fit_churn_models(features: DataFrame, seed: int = 42, gbt_rounds: int = 200, lr_max_iter: int = 1000) -> ChurnModels:
     ensure_checkpoint_dir(features.sparkSession)
-    split = stratified_split(features, seed=seed)
+    split = materialize(stratified_split(features, seed=seed))  # read by five branches below
     train_rows = split.where(F.col("split") == TRAIN).drop("split")
     stats = scaler_stats(train_rows)
     weighted = _vectors(class_weights(train_rows), stats).persist(StorageLevel.MEMORY_AND_DISK)
@@ -156,7 +157,7 @@ def model_comparison(cm: ChurnModels, digits: int = 3) -> DataFrame:
     order = spark.createDataFrame(list(enumerate(MODEL_ORDER)), "model_rank int, model string")
     rows = order.join(a, "model", "inner").join(m, "model", "inner")  # four rows each
     best = rows.agg(F.min_by("model", F.struct(-F.col("auc"), F.col("model_rank"))).alias("_best"))
-    return rows.crossJoin(best).select(
+    return rows.crossJoin(F.broadcast(best)).select(  # four models x one row
         "model",
         round_half_up("auc", digits).alias("roc_auc"),
         round_half_up("precision", digits).alias("precision"),

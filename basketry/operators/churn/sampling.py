@@ -39,7 +39,7 @@ def class_weights(train: DataFrame) -> DataFrame:
     """Balanced weights ``n / (2 * n_class)`` for every training row."""
     counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
     total = train.agg(F.count(F.lit(1)).alias("_n"))
-    per_class = counts.crossJoin(total).select(
+    per_class = counts.crossJoin(F.broadcast(total)).select(  # classes x one row
         "label", (F.col("_n").cast("double") / (F.lit(2.0) * F.col("_nc").cast("double"))).alias("weight")
     )
     return train.join(F.broadcast(per_class), "label", "inner")

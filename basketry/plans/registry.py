@@ -126,8 +126,9 @@ def _features_written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training part, written once: weights and undersampling read it several times."""
     split = churn_sampling.stratified_split(_features_written(spark, sf_dir))
-    return split.where(split["split"] == churn_sampling.TRAIN).drop("split")
+    return materialize(split.where(split["split"] == churn_sampling.TRAIN).drop("split"))
 
 
 def fitted_models(spark: SparkSession, sf_dir: str) -> churn_models.ChurnModels:

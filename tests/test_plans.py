@@ -18,11 +18,18 @@ def plan_of(df) -> str:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    out = {}
-    for name, fn in entry.queries().items():
-        if name in MODEL_JOBS:
-            continue
-        out[name] = plan_of(fn(spark, SMALL))
+    """Plans as they are for large tables: no automatic broadcast, so only the
+    explicit, size-bounded broadcast hints remain."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = {}
+        for name, fn in entry.queries().items():
+            if name in MODEL_JOBS:
+                continue
+            out[name] = plan_of(fn(spark, SMALL))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     return out
 
 
