@@ -29,6 +29,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scalars import with_scalars
+
 DEFAULT_BUCKETS = 128
 _BUCKET = "_pos_bucket"
 
@@ -67,7 +69,7 @@ def with_bucket(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> Da
         F.array_distinct(F.percentile_approx(F.col(key).cast("double"), probs, accuracy)).alias("_pos_edges")
     )
     x = F.col(key).cast("double")
-    bucketed = df.crossJoin(F.broadcast(edges))  # one row of at most n_buckets edges
+    bucketed = with_scalars(df, edges)  # at most n_buckets edges
     return bucketed.withColumn(_BUCKET, F.size(F.filter("_pos_edges", lambda e: e <= x))).drop("_pos_edges")
 
 

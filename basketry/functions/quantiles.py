@@ -24,7 +24,6 @@ QUINTILE_PROBS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], group_by: Sequence[str] = ()) -> DataFrame:
     """Rows ``(*group_by, prob, value)`` for each group and requested probability
     (no rows for an empty group)."""
-    spark = df.sparkSession
     groups = list(group_by)
     vals = df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("c")
@@ -33,11 +32,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], group_by: S
     cum = running_sums(vals, ["v"], {"_end": F.col("c")}, partition_by=groups)
     cum = cum.select(*groups, "v", (F.col("_end") - F.col("c")).alias("_start"), "_end")
     total = vals.groupBy(*groups).agg(F.sum("c").alias("n")).where(F.col("n") > 0)
-    probs_df = spark.createDataFrame([(float(p),) for p in probs], "prob double")
     # groups x probs rows: bounded by the caller's handful of groups
     tg = {g: f"_t_{g}" for g in groups}  # renamed: both sides derive from ``vals``
     targets = F.broadcast(
-        total.crossJoin(F.broadcast(probs_df))
+        total.select("*", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
         .select(*[F.col(g).alias(tg[g]) for g in groups], "prob",
                 ((F.col("n") - 1).cast("double") * F.col("prob")).alias("pos"))
         .select(*tg.values(), "prob", "pos", F.floor("pos").alias("lo"), F.ceil("pos").alias("hi"))

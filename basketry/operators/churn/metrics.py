@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ...functions.numeric import round_half_up
 from ...functions.position import materialize, running_sums
 from ...functions.ranks import u_statistic
+from ...functions.scalars import with_scalars
 
 
 def _score_counts(scored: DataFrame, score: str, label: str, group_by: Sequence[str]) -> DataFrame:
@@ -34,7 +35,8 @@ def roc_points(scored: DataFrame, score: str = "score", label: str = "label", gr
     counts = materialize(_score_counts(scored, score, label, group_by))
     cum = running_sums(counts, ["threshold"], {"_pos_le": F.col("pos"), "_neg_le": F.col("neg")}, partition_by=group_by)
     totals = counts.groupBy(*group_by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    joined = cum.join(F.broadcast(totals), list(group_by), "inner") if group_by else cum.crossJoin(F.broadcast(totals))
+    # one row per group (bounded by the caller's handful of models), or one row
+    joined = cum.join(F.broadcast(totals), list(group_by), "inner") if group_by else with_scalars(cum, totals)
     tp = F.col("_P") - (F.col("_pos_le") - F.col("pos"))
     fp = F.col("_N") - (F.col("_neg_le") - F.col("neg"))
     points = joined.select(
@@ -58,7 +60,7 @@ def auc(scored: DataFrame, score: str = "score", label: str = "label", group_by:
 
 def roc_curve_and_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """The ROC points with the AUC repeated on each row."""
-    return roc_points(scored, score, label).crossJoin(F.broadcast(auc(scored, score, label)))  # one row
+    return with_scalars(roc_points(scored, score, label), auc(scored, score, label))
 
 
 def classification_metrics(
@@ -70,15 +72,17 @@ def classification_metrics(
 ) -> DataFrame:
     """Confusion matrix in long form (all four cells, zeros included) with the
     precision, recall and F1 of class 1 on every row (0 where undefined)."""
-    spark = scored.sparkSession
-    cells = spark.createDataFrame([(a, p) for a in (0, 1) for p in (0, 1)], "actual bigint, predicted bigint")
     counts = scored.groupBy(
         *group_by, F.col(label).cast("bigint").alias("actual"), F.col(prediction).cast("bigint").alias("predicted")
     ).agg(F.count(F.lit(1)).alias("n"))
-    if group_by:
-        grid = counts.select(*group_by).distinct().crossJoin(F.broadcast(cells))  # groups x 4 cells
+    cells = F.explode(
+        F.array(*[F.struct(F.lit(a).cast("bigint").alias("actual"), F.lit(p).cast("bigint").alias("predicted"))
+                  for a in (0, 1) for p in (0, 1)])
+    )
+    if group_by:  # every group gets the four cells
+        grid = counts.select(*group_by).distinct().select(*group_by, cells.alias("c")).select(*group_by, "c.*")
     else:
-        grid = cells
+        grid = scored.sparkSession.range(1).select(cells.alias("c")).select("c.*")
     keys = [*group_by, "actual", "predicted"]
     full = grid.join(counts, keys, "left").select(*keys, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
     w = Window.partitionBy(*group_by)  # four rows per group

@@ -33,6 +33,7 @@ from ...session import ensure_checkpoint_dir
 from .features import FEATURE_LABELS, FEATURES, PERSON
 from .metrics import auc, classification_metrics
 from .sampling import TEST, TRAIN, class_weights, scaler_stats, standardize, stratified_split, undersample_majority
+from ...functions.scalars import with_scalars
 
 # Model names in display order.
 LR_WEIGHTED = "Logistic Regression (Class Weighting)"
@@ -157,7 +158,7 @@ def model_comparison(cm: ChurnModels, digits: int = 3) -> DataFrame:
     order = spark.createDataFrame(list(enumerate(MODEL_ORDER)), "model_rank int, model string")
     rows = order.join(a, "model", "inner").join(m, "model", "inner")  # four rows each
     best = rows.agg(F.min_by("model", F.struct(-F.col("auc"), F.col("model_rank"))).alias("_best"))
-    return rows.crossJoin(F.broadcast(best)).select(  # four models x one row
+    return with_scalars(rows, best).select(
         "model",
         round_half_up("auc", digits).alias("roc_auc"),
         round_half_up("precision", digits).alias("precision"),

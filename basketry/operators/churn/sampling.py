@@ -16,6 +16,7 @@ from ...functions.numeric import round_half_up
 from ...functions.position import row_positions, uniform_bucket
 from ...functions.sampling import mix_bits, seeded_mix
 from .features import FEATURES, PERSON
+from ...functions.scalars import with_scalars
 
 TRAIN, TEST = "train", "test"
 
@@ -39,7 +40,7 @@ def class_weights(train: DataFrame) -> DataFrame:
     """Balanced weights ``n / (2 * n_class)`` for every training row."""
     counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
     total = train.agg(F.count(F.lit(1)).alias("_n"))
-    per_class = counts.crossJoin(F.broadcast(total)).select(  # classes x one row
+    per_class = with_scalars(counts, total).select(
         "label", (F.col("_n").cast("double") / (F.lit(2.0) * F.col("_nc").cast("double"))).alias("weight")
     )
     return train.join(F.broadcast(per_class), "label", "inner")
@@ -54,7 +55,7 @@ def undersample_majority(train: DataFrame, seed: int = 42) -> DataFrame:
         F.max_by("label", F.struct(F.col("_nc"), -F.col("label"))).alias("_major"),
         F.min("_nc").alias("_keep"),
     )
-    tagged = train.crossJoin(F.broadcast(roles))  # one row
+    tagged = with_scalars(train, roles)
     minority = tagged.where(F.col("label") != F.col("_major"))
     majority = tagged.where(F.col("label") == F.col("_major"))
     majority = majority.withColumn("_mix", seeded_mix(train, PERSON, seed))
@@ -75,7 +76,7 @@ def scaler_stats(train: DataFrame) -> DataFrame:
 
 def standardize(df: DataFrame, stats: DataFrame, digits: int | None = None) -> DataFrame:
     """Add ``z_<feature>`` = (x - mean) / sd with the training statistics (sd 0 -> 1)."""
-    out = df.crossJoin(F.broadcast(stats))  # one row
+    out = with_scalars(df, stats)
     zs = []
     for f in FEATURES:
         sd = F.col(f"_sd_{f}")

@@ -16,6 +16,7 @@ from ..functions.dates import month_start
 from ..functions.numeric import as_long, pct, round_half_up, safe_div
 from ..sources import Views
 from .retention import customer_order_counts
+from ..functions.scalars import with_scalars
 
 
 def _delivered():
@@ -56,13 +57,9 @@ def kpi_summary(v: Views) -> DataFrame:
     persons = customer_order_counts(v).agg(
         round_half_up(pct(F.count_if(F.col("total_orders") > 1), F.count(F.lit(1))), 1).alias("returning_pct")
     )
-    # Each side is a single aggregated row: the joins are one-row broadcasts.
-    return (
-        orders.crossJoin(F.broadcast(revenue))
-        .crossJoin(F.broadcast(review))
-        .crossJoin(F.broadcast(persons))
-        .select("total_orders", "total_revenue", "avg_review", "late_pct", "returning_pct")
-    )
+    # Each part is a global aggregate: attached as scalar subqueries.
+    out = with_scalars(with_scalars(with_scalars(orders, revenue), review), persons)
+    return out.select("total_orders", "total_revenue", "avg_review", "late_pct", "returning_pct")
 
 
 def _month_filter(df: DataFrame, start_month: str | None, end_month: str | None) -> DataFrame:
@@ -94,7 +91,7 @@ def peak_and_growth(v: Views, min_orders: int = 100) -> DataFrame:
         .agg(F.min_by(F.struct("month", "order_count"), F.col("month")).alias("b"))
         .select(F.col("b.month").alias("base_month"), F.col("b.order_count").alias("base_orders"))
     )
-    return peak.crossJoin(F.broadcast(base)).select(
+    return with_scalars(peak, base).select(
         "peak_month",
         "peak_orders",
         "base_month",

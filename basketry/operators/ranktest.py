@@ -23,6 +23,7 @@ from ..functions.numeric import round_half_up, safe_div
 from ..functions.ranks import normal_z, u_statistic
 from ..sources import Views
 from .delivery import LATE, ON_TIME, delivery_facts
+from ..functions.scalars import with_scalars
 
 # Fixed values: |r| thresholds of the effect-size labels.
 EFFECT_LABELS = ((0.5, "large"), (0.3, "medium"), (0.1, "small"))
@@ -68,7 +69,7 @@ def mann_whitney_from_values(
     z = normal_z(F.col("u_stat"), F.col("n1"), F.col("n2"), F.col("tie_term"))
     r = safe_div(F.lit(2.0) * F.col("u_stat"), F.col("n1").cast("double") * F.col("n2").cast("double")) - F.lit(1.0)
     extra = [_upper_tail(z).alias("p_value")] if with_p_value else []
-    return u.crossJoin(F.broadcast(nulls)).select(
+    return with_scalars(u, nulls).select(
         "n1",
         "n2",
         "u_stat",

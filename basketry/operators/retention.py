@@ -19,6 +19,7 @@ from ..functions.dates import calendar_days
 from ..functions.numeric import as_long, pct, round_half_up
 from ..functions.position import running_sums
 from ..sources import Views
+from ..functions.scalars import with_scalars
 
 # Candidate histogram bin widths, 1-2-5 steps per power of ten.
 BIN_STEPS = tuple(m * 10**e for e in range(0, 7) for m in (1, 2, 5))
@@ -104,7 +105,7 @@ def return_gap_histogram(v: Views, clip_days: int = 365, max_bins: int = 40) ->
     width = clipped.agg(F.min(d).alias("lo"), F.max(d).alias("hi")).select(F.array_min(fits).alias("step"))
     start = F.floor(d / F.col("step")) * F.col("step")
     return (
-        clipped.crossJoin(F.broadcast(width))  # one row
+        with_scalars(clipped, width)
         .groupBy(as_long(start).alias("bin_start"), F.col("step"))
         .agg(as_long(F.count(F.lit(1))).alias("customers"))
         .select("bin_start", as_long(F.col("bin_start") + F.col("step")).alias("bin_end"), "customers")
@@ -125,7 +126,7 @@ def cumulative_return_curve(v: Views, max_days: int = 500, chunk_rows: int = 100
     total = per_day.agg(F.sum("c").alias("n"))
     # Gap days have a bounded domain (the calendar span of the data): bucket by the day itself.
     cum = running_sums(per_day, ["days"], {"_end": F.col("c")}, bucket=F.col("days"))
-    kept = cum.where(F.col("days") <= max_days).crossJoin(F.broadcast(total))  # one row
+    kept = with_scalars(cum.where(F.col("days") <= max_days), total)
     chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("c") - 1) / F.lit(chunk_rows))))
     chunks = kept.select("days", (F.col("_end") - F.col("c")).alias("start"), "c", "n", chunk.alias("chunk"))
     chunks = chunks.repartition("days", "chunk")

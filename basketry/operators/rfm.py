@@ -24,6 +24,7 @@ from ..functions.quantiles import bin_count, inner_edges, quantile_edges_multi,
 from ..functions.sampling import seeded_mix
 from ..sources import Views
 from .retention import delivered_person_orders
+from ..functions.scalars import with_scalars
 
 # Segment names, in the order the rules are tried.
 CHAMPIONS = "Champions"
@@ -47,7 +48,7 @@ def rfm_base(v: Views) -> DataFrame:
         as_long(F.count_distinct("order_id")).alias("frequency"),
         round_half_up(F.sum("paid"), 2).alias("monetary"),
     )
-    return per.crossJoin(F.broadcast(ref)).select(  # one-row scalar
+    return with_scalars(per, ref).select(
         "customer_unique_id",
         calendar_days("ref_ts", "last_ts").alias("recency_days"),
         "frequency",
@@ -71,7 +72,7 @@ def rfm_scores(v: Views, method: str = "exact") -> DataFrame:
         ]
     )
     r_raw = quantile_score(F.col("recency_days"), F.col("r_inner"))
-    scored = base.crossJoin(F.broadcast(edges)).select(  # one row of edges
+    scored = with_scalars(base, edges).select(
         "customer_unique_id",
         "recency_days",
         "frequency",
@@ -126,8 +127,7 @@ def rfm_segment_coverage(v: Views, method: str = "exact") -> DataFrame:
         (F.lit(100.0) * F.try_divide(F.count_if(F.col("frequency") == 1), F.count(F.lit(1)))).alias("one_order_pct")
     )
     return (
-        names.join(F.broadcast(summary), "segment", "left")  # six names x six rows at most
-        .crossJoin(F.broadcast(one))
+        with_scalars(names.join(F.broadcast(summary), "segment", "left"), one)  # six names x six rows at most
         .select(
             "segment",
             as_long(F.coalesce(F.col("customers"), F.lit(0))).alias("customers"),
