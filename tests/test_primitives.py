@@ -121,3 +121,14 @@ def test_u_statistic_all_tied_and_disjoint(spark):
     assert r.u_stat == 12.0  # every pair tied: n1 n2 / 2
     counts = spark.createDataFrame([(1.0, 0, 6), (2.0, 4, 0)], "v double, cx bigint, cy bigint")
     assert u_statistic(counts, "v", "cx", "cy").first().u_stat == 24.0
+
+
+def test_percentile_method_agrees_with_exact(spark):
+    from basketry.functions.quantiles import quantile_edges_multi
+
+    rnd = np.random.default_rng(5)
+    pdf = pd.DataFrame({"a": rnd.integers(0, 40, 500).astype(float), "b": np.round(rnd.gamma(2, 30, 500), 2)})
+    df = spark.createDataFrame(pdf)
+    exact = quantile_edges_multi(df, ["a", "b"], method="exact").first()
+    builtin = quantile_edges_multi(df, ["a", "b"], method="percentile").first()
+    assert exact["a_edges"] == builtin["a_edges"] and exact["b_edges"] == builtin["b_edges"]
