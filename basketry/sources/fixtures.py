@@ -30,74 +30,70 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+# The derivation rules of FIXTURES.md, as SQL expressions. ``selectExpr`` parses
+# them inside the JVM, so building a view costs a few calls instead of hundreds
+# of Column round trips from Python.
+ORDERS_EXPR = (
+    "o_orderkey AS order_id",
+    "o_custkey AS customer_id",
+    "CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' ELSE 'canceled' END AS order_status",
+    "CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL '1' HOUR * ((o_orderkey * 7) % 24) AS purchase_ts",
+    "CAST(CASE WHEN o_orderkey % 50 = 7 THEN NULL"
+    " WHEN o_orderkey % 97 = 3 THEN CAST(o_orderdate AS TIMESTAMP_NTZ) - INTERVAL '1' DAY"
+    " ELSE CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL '1' DAY * ((o_orderkey * 7919) % 45)"
+    " + INTERVAL '1' HOUR * ((o_orderkey * 11) % 24) END AS TIMESTAMP_NTZ) AS delivered_ts",
+    "CAST(CASE WHEN o_orderkey % 61 = 5 THEN NULL"
+    " ELSE CAST(o_orderdate AS TIMESTAMP_NTZ) + INTERVAL '1' DAY * (24 + (o_orderkey % 5) * 2) END"
+    " AS TIMESTAMP_NTZ) AS estimated_ts",
+)
+CUSTOMERS_EXPR = (
+    "c_custkey AS customer_id",
+    "c_custkey - CASE WHEN c_custkey % 5 = 4 THEN 1 ELSE 0 END AS customer_unique_id",
+)
+PAYMENTS_EXPR = (
+    "l_orderkey AS order_id",
+    "CASE WHEN l_linestatus = 'F' THEN 'credit_card' WHEN l_returnflag = 'A' THEN 'boleto'"
+    " WHEN l_returnflag = 'N' THEN 'voucher' ELSE 'debit_card' END AS payment_type",
+    "CAST(l_quantity AS INT) AS payment_installments",
+    "l_extendedprice AS payment_value",
+)
+REVIEWS_FIRST_EXPR = (
+    "order_id",
+    "CAST(CASE WHEN delivered_ts > estimated_ts THEN 1 + (order_id * 13) % 3"
+    " ELSE 3 + (order_id * 17) % 3 END AS INT) AS review_score",
+)
+REVIEWS_SECOND_EXPR = ("order_id", "CAST(1 + (order_id * 13) % 5 AS INT) AS review_score")
+SCORED_EXPR = (
+    "o_orderkey AS order_id",
+    "CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000.0D AS score",
+    "CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS label",
+    "CAST(CASE WHEN CAST((o_orderkey * 7919) % 1000 AS DOUBLE) / 1000.0D >= 0.5D THEN 1 ELSE 0 END AS BIGINT)"
+    " AS prediction",
+)
+
+
 def orders_view(orders: DataFrame) -> DataFrame:
-    k = F.col("o_orderkey")
-    d = F.col("o_orderdate").cast("timestamp_ntz")  # wall-clock time whatever the reader inferred
-    status = (
-        F.when(F.col("o_orderstatus") == "F", "delivered")
-        .when(F.col("o_orderstatus") == "O", "shipped")
-        .otherwise("canceled")
-    )
-    delivered = (
-        F.when(k % 50 == 7, F.lit(None))
-        .when(k % 97 == 3, d - days(F.lit(1)))
-        .otherwise(d + days((k * 7919) % 45) + hours((k * 11) % 24))
-    )
-    estimated = F.when(k % 61 == 5, F.lit(None)).otherwise(d + days(F.lit(24) + (k % 5) * 2))
-    return orders.select(
-        k.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        status.alias("order_status"),
-        (d + hours((k * 7) % 24)).cast("timestamp_ntz").alias("purchase_ts"),
-        delivered.cast("timestamp_ntz").alias("delivered_ts"),
-        estimated.cast("timestamp_ntz").alias("estimated_ts"),
-    )
+    return orders.selectExpr(*ORDERS_EXPR)
 
 
 def customers_view(customer: DataFrame) -> DataFrame:
-    c = F.col("c_custkey")
-    return customer.select(
-        c.alias("customer_id"),
-        (c - F.when(c % 5 == 4, 1).otherwise(0)).alias("customer_unique_id"),
-    )
+    return customer.selectExpr(*CUSTOMERS_EXPR)
 
 
 def payments_view(lineitem: DataFrame) -> DataFrame:
-    ptype = (
-        F.when(F.col("l_linestatus") == "F", "credit_card")
-        .when(F.col("l_returnflag") == "A", "boleto")
-        .when(F.col("l_returnflag") == "N", "voucher")
-        .otherwise("debit_card")
-    )
-    return lineitem.select(
-        F.col("l_orderkey").alias("order_id"),
-        ptype.alias("payment_type"),
-        F.col("l_quantity").cast("int").alias("payment_installments"),
-        F.col("l_extendedprice").alias("payment_value"),
-    )
+    return lineitem.selectExpr(*PAYMENTS_EXPR)
 
 
 def reviews_view(f_orders: DataFrame) -> DataFrame:
-    k = F.col("order_id")
-    late = F.col("delivered_ts") > F.col("estimated_ts")
-    first = f_orders.where(k % 10 != 0).select(
-        k.alias("order_id"),
-        F.when(late, 1 + (k * 13) % 3).otherwise(3 + (k * 17) % 3).cast("int").alias("review_score"),
-    )
-    second = f_orders.where(k % 40 == 1).select(k.alias("order_id"), (1 + (k * 13) % 5).cast("int").alias("review_score"))
+    """10 % of orders without a review, some with two."""
+    first = f_orders.where("order_id % 10 <> 0").selectExpr(*REVIEWS_FIRST_EXPR)
+    second = f_orders.where("order_id % 40 = 1").selectExpr(*REVIEWS_SECOND_EXPR)
     return first.unionByName(second)
 
 
 def scored_view(orders: DataFrame) -> DataFrame:
     """A deterministic score/label table for the metric jobs (ties intended)."""
-    k = F.col("o_orderkey")
-    score = ((k * 7919) % 1000).cast("double") / F.lit(1000.0)
-    return orders.select(
-        k.alias("order_id"),
-        score.alias("score"),
-        F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).cast("bigint").alias("label"),
-        F.when(score >= F.lit(0.5), 1).otherwise(0).cast("bigint").alias("prediction"),
-    )
+    return orders.selectExpr(*SCORED_EXPR)
 
 
 def fixture_views(spark: SparkSession, sf_dir: str) -> Views:
