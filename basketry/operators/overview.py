@@ -19,6 +19,10 @@ from .retention import customer_order_counts
 from ..functions.scalars import with_scalars
 
 
+# English month abbreviations, January first (zone-free month names).
+MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
 def _delivered():
     return F.col("order_status") == "delivered"
 
@@ -69,8 +73,8 @@ def _month_filter(df: DataFrame, start_month: str | None, end_month: str | None)
     if start_month:
         df = df.where(ts >= F.to_timestamp_ntz(F.lit(f"{start_month}-01 00:00:00")))
     if end_month:
-        after = F.add_months(F.to_date(F.lit(f"{end_month}-01")), 1)
-        df = df.where(ts < F.to_timestamp_ntz(F.date_format(after, "yyyy-MM-dd 00:00:00")))
+        after = F.add_months(F.to_date(F.lit(f"{end_month}-01")), 1).cast("timestamp_ntz")
+        df = df.where(ts < after)
     return df
 
 
@@ -120,7 +124,7 @@ def yoy_monthly(v: Views, years: Sequence[int] = (1999, 2000), last_month: int =
     return df.groupBy(
         as_long(F.year(ts)).alias("year"),
         as_long(F.month(ts)).alias("month_num"),
-        F.date_format(ts, "MMM").alias("month_name"),
+        F.element_at(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.month(ts)).alias("month_name"),
     ).agg(as_long(F.count(F.lit(1))).alias("order_count"))
 
 

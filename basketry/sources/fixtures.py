@@ -111,11 +111,20 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_source_text(ts, k):
-    """Timestamp text as the exports carry it, with some broken values mixed in."""
+    """Timestamp text as the exports carry it, with some broken values mixed in.
+
+    Built from the date and time fields: formatting a ``timestamp_ntz`` with
+    ``date_format`` goes through the session time zone and moves wall clocks
+    that fall into a daylight-saving gap.
+    """
+    y, mo, d, h, mi = F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.minute(ts)
+    day_first = F.format_string("%02d-%02d-%02d %02d:%02d", d, mo, y % 100, h, mi)
+    iso = F.format_string("%04d-%02d-%02d %02d:%02d:%02d", y, mo, d, h, mi, F.second(ts))
     return (
         F.when(k % 53 == 1, F.lit("n/a"))
-        .when(k % 59 == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
-        .otherwise(F.date_format(ts, "dd-MM-yy HH:mm"))
+        .when(ts.isNull(), F.lit(None).cast("string"))
+        .when(k % 59 == 2, iso)
+        .otherwise(day_first)
     )
 
 

@@ -195,3 +195,22 @@ def test_parse_ignores_session_time_zone(spark):
         assert df.select(parse_day_first("s")).first()[0] == dt.datetime(2024, 3, 10, 2, 30)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_export_text_ignores_session_time_zone(spark):
+    from basketry.sources.fixtures import orders_raw_view
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:  # 1998-10-11 00:00 does not exist there (clocks jumped to 01:00)
+        df = spark.createDataFrame(
+            [(3, 1, "delivered", dt.datetime(1998, 10, 11, 0, 0), None, dt.datetime(1998, 10, 11, 0, 0))],
+            "order_id bigint, customer_id bigint, order_status string, purchase_ts timestamp_ntz, "
+            "delivered_ts timestamp_ntz, estimated_ts timestamp_ntz",
+        )
+        row = orders_raw_view(df).first()
+        assert row.order_purchase_timestamp == "11-10-98 00:00"
+        assert row.order_estimated_delivery_date == "11-10-98 00:00"
+        assert row.order_delivered_customer_date is None
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
