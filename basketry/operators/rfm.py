@@ -119,22 +119,28 @@ def rfm_segment_summary(v: Views, method: str = "exact") -> DataFrame:
 
 def rfm_segment_coverage(v: Views, method: str = "exact") -> DataFrame:
     """All six segments with their % of persons (0 when empty), an empty flag, and
-    the % of persons with a single order."""
+    the % of persons with a single order.
+
+    One aggregation per segment carries both counts, so the persons are scored
+    once; the shares are windows over the six joined rows.
+    """
     segs = rfm_segments(v, method)
-    summary = summarize_segments(segs).select("segment", "customers", "pct_of_base")
-    names = segs.sparkSession.createDataFrame([(i, s) for i, s in enumerate(SEGMENTS)], "segment_order int, segment string")
-    one = segs.agg(
-        (F.lit(100.0) * F.try_divide(F.count_if(F.col("frequency") == 1), F.count(F.lit(1)))).alias("one_order_pct")
+    per = segs.groupBy("segment").agg(
+        as_long(F.count("customer_unique_id")).alias("customers"),
+        as_long(F.count_if(F.col("frequency") == 1)).alias("_one"),
     )
-    return (
-        with_scalars(names.join(F.broadcast(summary), "segment", "left"), one)  # six names x six rows at most
-        .select(
-            "segment",
-            as_long(F.coalesce(F.col("customers"), F.lit(0))).alias("customers"),
-            F.coalesce(F.col("pct_of_base"), F.lit(0.0)).alias("pct_of_base"),
-            F.col("customers").isNull().alias("is_empty"),
-            round_half_up("one_order_pct", 2).alias("one_order_pct"),
-        )
+    names = segs.sparkSession.createDataFrame([(i, s) for i, s in enumerate(SEGMENTS)], "segment_order int, segment string")
+    rows = names.join(F.broadcast(per), "segment", "left")  # six names x six rows at most
+    six = Window.partitionBy()  # the six segment rows
+    total = F.sum("customers").over(six)
+    share = F.col("customers") / total * F.lit(100)
+    one_order = F.lit(100.0) * F.try_divide(F.sum("_one").over(six).cast("double"), total.cast("double"))
+    return rows.select(
+        "segment",
+        as_long(F.coalesce(F.col("customers"), F.lit(0))).alias("customers"),
+        F.coalesce(round_half_up(share, 1), F.lit(0.0)).alias("pct_of_base"),
+        F.col("customers").isNull().alias("is_empty"),
+        round_half_up(one_order, 2).alias("one_order_pct"),
     )
 
 
