@@ -7,13 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets
+from . import secrets, toxicity
+from .labelled import crc_bucket
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _judged(scored: DataFrame, score: str, held_out: Column, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col(score).alias("score"),
+        (F.col(score) >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket("doc_id", 5) == 0
+    model = toxicity.train_toxicity(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(toxicity.score_toxicity(docs, model), "toxicity", held_out, 0.5)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = secrets.scan_secrets(docs)
@@ -32,5 +49,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_toxicity": op5_toxicity,
         "op9_secret_scan": op9_secret_scan,
     }
