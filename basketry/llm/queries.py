@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, toxicity
+from . import quality, secrets, toxicity
 from .labelled import crc_bucket
 
 
@@ -31,6 +31,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score_toxicity(docs, model), "toxicity", held_out, 0.5)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_bucket("doc_id", 4) == 2
+    model = quality.train_quality(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    return _judged(quality.score_quality(docs, model), "quality_score", held_out, 0.7)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = secrets.scan_secrets(docs)
@@ -50,5 +57,6 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_toxicity": op5_toxicity,
+        "op6_quality": op6_quality,
         "op9_secret_scan": op9_secret_scan,
     }
