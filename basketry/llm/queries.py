@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, secrets, toxicity
+from . import htmltext, quality, secrets, toxicity
 from .labelled import crc_bucket
 
 
@@ -54,9 +54,18 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = htmltext.extract_main_text(pages)
+    return found.select(
+        "page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
         "op9_secret_scan": op9_secret_scan,
+        "op10_main_text": op10_main_text,
     }
