@@ -148,6 +148,8 @@ def train_quality(
         bias = math.log((share + 1e-9) / (1 - share + 1e-9))
         return QualityModel(n_hash, bias, np.zeros(width), np.zeros((width, rank)), np.zeros(N_STATS), np.ones(N_STATS))
 
+    for column in ("i", "x", "stats"):  # lists without Arrow transfer
+        data[column] = [np.asarray(v) for v in data[column]]
     # the same order in every run, wherever the rows came from
     data["_"] = [s.tobytes() + x.tobytes() for s, x in zip(data["stats"], data["x"], strict=True)]
     data = data.sort_values(["_", "y"]).reset_index(drop=True)
@@ -158,7 +160,7 @@ def train_quality(
     weight = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
     weight /= weight.mean()
     tail = np.arange(n_hash, width)
-    rows = [(np.concatenate([i, tail]), np.concatenate([x, s])) for i, x, s in zip(data["i"], data["x"], z, strict=True)]
+    rows = [(np.concatenate([i.astype(np.int64), tail]), np.concatenate([x, s])) for i, x, s in zip(data["i"], data["x"], z, strict=True)]
 
     rng = np.random.default_rng(seed)
     w, v = np.zeros(width), rng.normal(0, 0.01, (width, rank))
