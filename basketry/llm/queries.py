@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, quality, secrets, toxicity
+from ..functions.workspace import session_workspace
+from . import htmltext, quality, secrets, tokenids, toxicity
 from .labelled import crc_bucket
 
 
@@ -15,6 +16,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = session_workspace(spark).path("op4-tokens")
+    tokenids.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return tokenids.document_index(spark, path)
+
+
 def _judged(scored: DataFrame, score: str, held_out: Column, threshold: float) -> DataFrame:
     return scored.select(
         "doc_id",
@@ -64,6 +77,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_ids": op4_token_ids,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
         "op9_secret_scan": op9_secret_scan,
