@@ -6,6 +6,7 @@ coded blocks (``rangecoder``) with the keys of the documents that a block touche
 A table row is one block:
 
     part, block     place in the order: parts ascend by key, blocks within a part
+    at              ids of the part before the block
     n               ids in the block
     keys            keys of the documents with ids in the block, in order
     counts          ids of each of them in the block
@@ -42,7 +43,7 @@ _MEMO = 200_000
 _ODD_SPACE = re.compile(r" \s|\s ")
 
 BLOCK_SCHEMA = (
-    "part int, block int, n int, keys array<bigint>, counts array<int>, row bigint, piece int, open boolean, payload binary"
+    "part int, block int, at bigint, n int, keys array<bigint>, counts array<int>, row bigint, piece int, open boolean, payload binary"
 )
 
 
@@ -87,10 +88,10 @@ def _blocks(path: str, end_id: int, block_ids: int):
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []  # ids not yet coded
         spans: list[list] = []  # [key, row, piece, ids not yet coded] of their documents
-        n_held, row, block = 0, 0, 0
+        n_held, row, block, coded = 0, 0, 0, 0
 
         def code(last: bool) -> pa.RecordBatch:
-            nonlocal held, n_held, block, spans
+            nonlocal held, n_held, block, coded, spans
             ids = np.concatenate(held) if held else np.zeros(0, "<u4")
             full = len(ids) // block_ids
             payloads = rangecoder.encode_blocks(ids[: full * block_ids].reshape(full, block_ids)) if full else []
@@ -100,7 +101,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
                 payloads += rangecoder.encode_blocks(rest[None, :])
                 lengths.append(len(rest))
                 rest = rest[:0]
-            out = {c: [] for c in ("block", "n", "keys", "counts", "row", "piece", "open")}
+            out = {c: [] for c in ("block", "at", "n", "keys", "counts", "row", "piece", "open")}
             at = 0
             for n in lengths:
                 keys, counts, left = [], [], n
@@ -116,17 +117,19 @@ def _blocks(path: str, end_id: int, block_ids: int):
                         break
                     at += 1
                 still_open = at < len(spans) and spans[at][3] > 0 and spans[at][4] > spans[at][3]
-                for c, v in zip(out, (block, n, keys, counts, first[1], first[2], still_open), strict=True):
+                for c, v in zip(out, (block, coded, n, keys, counts, first[1], first[2], still_open), strict=True):
                     out[c].append(v)
                 if still_open:
                     spans[at][2] = first[2] + 1 if spans[at] is first else 1
                 block += 1
+                coded += n
             spans = spans[at:]
             held, n_held = [rest] if len(rest) else [], len(rest)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part] * len(lengths), pa.int32()),
                     pa.array(out["block"], pa.int32()),
+                    pa.array(out["at"], pa.int64()),
                     pa.array(out["n"], pa.int32()),
                     pa.array(out["keys"], pa.list_(pa.int64())),
                     pa.array(out["counts"], pa.list_(pa.int32())),
@@ -135,7 +138,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
                     pa.array(out["open"], pa.bool_()),
                     pa.array(payloads, pa.binary()),
                 ],
-                ["part", "block", "n", "keys", "counts", "row", "piece", "open", "payload"],
+                ["part", "block", "at", "n", "keys", "counts", "row", "piece", "open", "payload"],
             )
 
         for batch in batches:
@@ -197,25 +200,21 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 _PIECE = "part int, row bigint, piece int, key bigint, start bigint, n bigint, crc bigint, whole boolean"
 
 
-def _pieces(block_ids: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, ids in _decoded(batches):
-            out = []
-            cols = (batch[c].to_pylist() for c in ("part", "block", "keys", "counts", "row", "piece", "open"))
-            for i, (part, block, keys, counts, row, piece, still_open) in enumerate(zip(*cols, strict=True)):
-                raw, at = ids[i].tobytes(), 0
-                for j, (key, n) in enumerate(zip(keys, counts, strict=True)):
-                    p = piece if j == 0 else 0
-                    whole = p == 0 and not (still_open and j == len(keys) - 1)
-                    crc = zlib.crc32(raw[4 * at : 4 * (at + n)])
-                    out.append((part, row + j, p, key, block * block_ids + at, n, crc, whole))
-                    at += n
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            names = [x.split()[0] for x in _PIECE.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-    return rows
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    names = [x.split()[0] for x in _PIECE.split(", ")]
+    for batch, ids in _decoded(batches):
+        out = []
+        cols = (batch[c].to_pylist() for c in ("part", "at", "keys", "counts", "row", "piece", "open"))
+        for i, (part, start, keys, counts, row, piece, still_open) in enumerate(zip(*cols, strict=True)):
+            raw, at = ids[i].tobytes(), 0
+            for j, (key, n) in enumerate(zip(keys, counts, strict=True)):
+                p = piece if j == 0 else 0
+                whole = p == 0 and not (still_open and j == len(keys) - 1)
+                out.append((part, row + j, p, key, start + at, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), whole))
+                at += n
+        columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _with_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +229,10 @@ def _with_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*rest, pa.array(crcs, pa.int64())], ["part", "key", "start", "n", "crc"])
 
 
-def document_index(spark: SparkSession, path: str, key: str = "doc_id", block_ids: int = BLOCK_IDS) -> DataFrame:
+def document_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document, from the decoded blocks."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    pieces = blocks.mapInArrow(_pieces(block_ids), _PIECE)
+    pieces = blocks.mapInArrow(_pieces, _PIECE)
     # a document within one block is complete; the pieces of the others meet here
     parts = F.array_sort(F.collect_list(F.when(~F.col("whole"), F.struct("piece", "n", "crc"))))
     grouped = pieces.groupBy("part", "row").agg(
