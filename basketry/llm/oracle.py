@@ -31,5 +31,49 @@ def _op9() -> str:
     FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id"""
 
 
+def _op7() -> str:
+    def bits(*parts: str) -> str:
+        return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT"
+
+    return f"""
+    WITH sized AS (SELECT source, sum(length(text))::DOUBLE AS size FROM documents GROUP BY source),
+    rates AS (SELECT source, (SELECT sum(size) FROM sized) * pow(size, 0.7) / (SELECT sum(pow(size, 0.7)) FROM sized) / size AS rate FROM sized),
+    cdf AS (
+        SELECT source, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+        FROM (SELECT source, rate, unnest(range(0, ceil(rate + 10 * sqrt(rate) + 12)::BIGINT + 1)) AS k FROM rates)),
+    lists AS (SELECT source, list(c) AS cs FROM cdf GROUP BY source),
+    drawn AS (
+        SELECT doc_id, source, length(text) AS n_chars,
+               len(list_filter(cs, lambda c: c <= {bits("'11'", "'count'", "doc_id::VARCHAR")} / 4503599627370496.0)) AS n
+        FROM documents JOIN lists USING (source)),
+    copies AS (SELECT doc_id, source, n_chars, unnest(range(1, n + 1)) AS copy FROM drawn)
+    SELECT doc_id, source, n_chars, copy::INTEGER AS copy,
+           {bits("'11'", "'order'", "doc_id::VARCHAR", "copy::VARCHAR")} AS shuffle_key
+    FROM copies"""
+
+
+def _op8() -> str:
+    return r"""
+    WITH l AS (
+        SELECT doc_id, i - 1 AS line_no, line FROM (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+    able AS (SELECT * FROM l WHERE length(line) >= 20 AND regexp_matches(line, '\S')),
+    d AS (SELECT line, min(doc_id * 1000000000 + line_no) AS first, length(line) AS n FROM able GROUP BY line),
+    halves AS (
+        SELECT line, first, n, n - longer AS short, longer, side,
+               CASE side WHEN 0 THEN left(line, ((n - longer) // 2)::BIGINT) ELSE right(line, ((n - longer) // 2)::BIGINT) END AS half
+        FROM d, (VALUES (0), (1)) a(longer), (VALUES (0), (1)) b(side)),
+    near AS (
+        SELECT DISTINCT a.line FROM halves a JOIN halves b USING (side, short, half)
+        WHERE b.first < a.first AND levenshtein(a.line, b.line) <= 1),
+    judged AS (
+        SELECT l.doc_id, l.line_no, l.line, d.first IS NOT NULL AND d.first <> l.doc_id * 1000000000 + l.line_no AS equal,
+               d.first = l.doc_id * 1000000000 + l.line_no AND near.line IS NOT NULL AS near
+        FROM l LEFT JOIN d ON l.line = d.line LEFT JOIN near ON l.line = near.line)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (equal) AS n_equal, count(*) FILTER (near) AS n_near,
+           md5(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT equal AND NOT coalesce(near, false)), '')) AS kept_md5
+    FROM judged GROUP BY doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_secret_scan": _op9()}
+    return {"op7_mixing": _op7(), "op8_line_dedup": _op8(), "op9_secret_scan": _op9()}

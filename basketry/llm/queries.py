@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.workspace import session_workspace
-from . import htmltext, quality, secrets, tokenids, toxicity
+from . import htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
 from .labelled import crc_bucket
 
 
@@ -51,6 +51,22 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score_quality(docs, model), "quality_score", held_out, 0.7)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.replicate(docs)
+    return mixed.select("doc_id", "source", F.length("text").cast("bigint").alias("n_chars"), "copy", "shuffle_key")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.dedup_lines(docs)
+    return kept.select(
+        "doc_id",
+        *[F.col(c).cast("bigint").alias(c) for c in ("n_lines", "n_equal", "n_near")],
+        F.md5("text").alias("kept_md5"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = secrets.scan_secrets(docs)
@@ -80,6 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_ids": op4_token_ids,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
+        "op7_mixing": op7_mixing,
+        "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_main_text": op10_main_text,
     }
