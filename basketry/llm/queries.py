@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.workspace import session_workspace
-from . import htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
+from . import decontaminate, htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
 from .labelled import crc_bucket
 
 
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = decontaminate.scan_benchmark(docs, _table(spark, sf_dir, "benchmark"))
+    return scanned.select("doc_id", F.explode("benchmark_hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -93,6 +99,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontamination": op2_decontamination,
         "op4_token_ids": op4_token_ids,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
