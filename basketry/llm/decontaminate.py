@@ -82,22 +82,35 @@ def item_window(n_words: int, threshold: float) -> int:
 
 
 def _hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = memo.get(w)
-        if h is None:
-            if len(memo) >= _MEMO:
-                memo.clear()
-            h = memo[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+    new = [w for w in set(words) if w not in memo]
+    if len(memo) + len(new) > _MEMO:
+        memo.clear()
+        new = list(set(words))
+    memo.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+
+def _spread(lane: int) -> np.ndarray:
+    """Table of a byte's bits, each in a lane of ``lane`` bytes of unsigned 64-bit integers."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)
+    return bits.astype(f"u{lane}").view(np.uint64).reshape(256, lane)
+
+
+_LANES = {1: _spread(1), 2: _spread(2)}
+
 
+def _running(hashes: np.ndarray, largest: int) -> np.ndarray:
+    """Running counts of each hash bit over the words, packed into 64-bit integers.
 
-def _running(hashes: np.ndarray) -> np.ndarray:
-    """Running sums of the +1/-1 bit vectors of the words; sums wrap, differences don't."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
-    out = np.zeros((len(hashes) + 1, 64), np.int16)
-    np.cumsum(bits * np.int8(2) - np.int8(1), axis=0, dtype=np.int16, out=out[1:])
+    The counts run over their lanes, but the difference of two rows, taken as integers,
+    holds the exact counts between them as long as these fit a lane.
+    """
+    lane = 1 if largest < 256 else 2
+    if largest >= 65536:
+        raise ValueError("items of more than 65535 words aren't supported")
+    wide = _LANES[lane][hashes.view(np.uint8)].reshape(len(hashes), 8 * lane)
+    out = np.zeros((len(hashes) + 1, 8 * lane), np.uint64)
+    np.cumsum(wide, axis=0, out=out[1:])
     return out
 
 
@@ -106,7 +119,9 @@ def _fingerprints(running: np.ndarray, size: int, step: int) -> np.ndarray:
     n = len(running) - 1
     if n < size:
         return np.zeros((0, 8), np.uint8)
-    return np.packbits(running[size::step][: (n - size) // step + 1] > running[: n - size + 1 : step], axis=1)
+    counts = running[size::step][: (n - size) // step + 1] - running[: n - size + 1 : step]
+    lane = running.shape[1] // 8
+    return np.packbits(counts.view(f"u{lane}") > size // 2, axis=1)
 
 
 class BenchmarkIndex:
@@ -131,7 +146,7 @@ class BenchmarkIndex:
         for size, members in by_size.items():
             prints, item, offset = [], [], []
             for j in members:
-                f = _fingerprints(_running(_hashes(self.words[j], {})), size, 1)
+                f = _fingerprints(_running(_hashes(self.words[j], {}), max(by_size)), size, 1)
                 prints.append(f)
                 item += [j] * len(f)
                 offset += range(len(f))
@@ -152,7 +167,7 @@ class BenchmarkIndex:
     def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(item, aligned start) of all windows within the radius; starts count from the
         first word of ``hashes`` and can lie before it."""
-        running = _running(hashes)
+        running = _running(hashes, self.longest)
         found: set[tuple[int, int]] = set()
         for size, (prints, item, offset, tables) in self.by_size.items():
             step = stride(size)
