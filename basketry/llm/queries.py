@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.workspace import session_workspace
-from . import decontaminate, htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
+from . import chosenpath, decontaminate, htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
 from .labelled import crc_bucket
 
 
@@ -22,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", F.explode("benchmark_hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def tokenizer_file() -> str:
     import public_tokenizers
 
@@ -100,6 +104,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_token_ids": op4_token_ids,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
