@@ -5,8 +5,8 @@ A node walks down a forest of ``runs`` trees: at a tree's vertex it takes the br
 of those of its shingles whose hash with the vertex is below fanout / (threshold * |x|),
 so two sets with similarity ``threshold`` take at least ``fanout`` branches in common on
 average. A vertex with few nodes is a bucket; a larger one is split again, down to
-``max_depth`` or until splitting no longer parts its nodes. The nodes of a bucket are
-compared with each other. The number of runs follows from the target recall
+``max_depth``, unless a branch holds half of its nodes or more: then splitting doesn't
+part them and it stays a bucket. The nodes of a bucket are compared with each other. The number of runs follows from the target recall
 (``needed_runs``: the chance that a pair at the threshold meets in a run is that of a
 branching process of mean ``fanout``).
 
@@ -126,7 +126,7 @@ def _profile_rows(threshold: float, size: int):
     return rows
 
 
-_STEP = "path bigint, held bigint, node binary, n int"
+_STEP = "path bigint, parent bigint, held bigint, node binary, n int"
 
 
 def _step_rows(fanout: float):
@@ -135,7 +135,7 @@ def _step_rows(fanout: float):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             cols = (batch[c].to_pylist() for c in ("node", "n", "sample", "paths"))
             for node, n, sample, paths in zip(*cols, strict=True):
                 s = np.array(sample, np.int64).view(np.uint64)
@@ -143,13 +143,14 @@ def _step_rows(fanout: float):
                 child = _mix(_mix(p)[:, None] + s[None, :])
                 at, which = np.nonzero(_mix(child + _M1) <= limit)
                 out[0].append(child[at, which].view(np.int64))
-                out[1].append(np.array([x["held"] for x in paths], np.int64)[at])
-                out[2] += [node] * len(at)
-                out[3] += [n] * len(at)
-            path, held = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out[:2])
+                out[1].append(p.view(np.int64)[at])
+                out[2].append(np.array([x["held"] for x in paths], np.int64)[at])
+                out[3] += [node] * len(at)
+                out[4] += [n] * len(at)
+            ints = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out[:3]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(path), pa.array(held), pa.array(out[2], pa.binary()), pa.array(out[3], pa.int32())],
-                ["path", "held", "node", "n"],
+                [*ints, pa.array(out[3], pa.binary()), pa.array(out[4], pa.int32())],
+                ["path", "parent", "held", "node", "n"],
             )
 
     return rows
@@ -335,24 +336,26 @@ def jaccard_join(
     runs = needed_runs(recall, fanout, max_depth)
     roots = F.transform(F.sequence(F.lit(1), F.lit(runs)), lambda r: F.struct(r.cast("bigint").alias("path"), F.lit(0).cast("bigint").alias("held")))
     walking = nodes.select("node", "n", "sample", roots.alias("paths"))
-    buckets = None
+    found: list[DataFrame] = []
+    wide = None  # buckets that are being split
     for depth in range(1, max_depth + 1):
         steps = work.table(walking.mapInArrow(_step_rows(fanout), _STEP), f"steps-{depth}")
         counts = steps.groupBy("path").agg(F.count("*").alias("count")).filter("count > 1")
-        met = steps.join(counts, "path")
-        whole = F.col("count") <= small
-        if depth == max_depth:
-            whole = F.lit(True)
-        elif depth > 1:  # splitting has not parted its nodes
-            whole = whole | (F.col("count") >= 0.5 * F.col("held"))
-        met = work.table(met.withColumn("whole", whole).select("path", "node", "n", "count", "whole"), f"met-{depth}")
-        found = met.filter("whole").select("path", "node", "n", "count")
-        buckets = found if buckets is None else buckets.unionByName(found)
+        met = work.table(steps.join(counts, "path"), f"met-{depth}")
+        if wide is not None:  # a bucket whose branches hold as many nodes is not split
+            firm = met.filter("count >= 0.5 * held").select(F.col("parent").alias("path")).distinct()
+            found.append(wide.join(firm, "path", "left_semi").select("path", "node", "n", "count"))
+            met = met.join(firm.withColumnRenamed("path", "parent"), "parent", "left_anti")
+        whole = F.lit(depth == max_depth) | (F.col("count") <= small)
+        found.append(met.filter(whole).select("path", "node", "n", "count"))
         if depth < max_depth:
-            on = met.filter("not whole").groupBy("node").agg(
-                F.collect_list(F.struct("path", F.col("count").alias("held"))).alias("paths")
-            )
+            wide = met.filter(~whole)
+            on = wide.groupBy("node").agg(F.collect_list(F.struct("path", F.col("count").alias("held"))).alias("paths"))
             walking = nodes.select("node", "n", "sample").join(on, "node")
+    buckets = found[0]
+    for more in found[1:]:
+        buckets = buckets.unionByName(more)
+    buckets = work.table(buckets, "buckets")
 
     # cells: a bucket, or a pair of blocks of a large one
     lists = buckets.groupBy("node").agg(F.collect_list("path").alias("buckets"))
