@@ -8,14 +8,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.workspace import session_workspace
-from . import chosenpath, decontaminate, htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
+from . import chosenpath, decontaminate, fingerprints, htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
 from .labelled import crc_bucket
+from .ordering import with_next
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = with_next(docs, "doc_id", ["text"], "text", "next_text")
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    versions = pairs.withColumn("edited", edited)
+    for text, version in (("text", "a"), ("edited", "b"), ("next_text", "c")):
+        versions = fingerprints.with_sketch(versions, text, version, f"{version}_cells")
+
+    for version in "bc":
+        pair = F.col("a"), F.col(version), F.col("a_cells"), F.col(f"{version}_cells")
+        versions = versions.withColumn(f"{version}_apart", fingerprints.differences(*pair))
+
+    def near(version: str) -> Column:
+        return fingerprints.likeness(F.col("a"), F.col(version), F.col(f"{version}_apart"))
+
+    return versions.select(
+        "doc_id",
+        n.cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("a_cells")).alias("fingerprint"),
+        fingerprints.fingerprint(F.col("b_cells")).alias("edited_fingerprint"),
+        near("b").alias("near_edited"),
+        near("c").alias("near_next"),
+    )
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = decontaminate.scan_benchmark(docs, _table(spark, sf_dir, "benchmark"))
@@ -103,6 +132,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": op1_fingerprints,
         "op2_decontamination": op2_decontamination,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_token_ids": op4_token_ids,
