@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.workspace import session_workspace
+from ..functions.workspace import Workspace, session_workspace
 from . import chosenpath, decontaminate, fingerprints, htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
 from .labelled import crc_bucket
 from .ordering import with_next
@@ -52,7 +52,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosenpath.jaccard_join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    with Workspace(spark) as work:
+        return session_workspace(spark).table(chosenpath.jaccard_join(docs, workspace=work), "op3")
 
 
 def tokenizer_file() -> str:

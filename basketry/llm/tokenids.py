@@ -164,11 +164,15 @@ def write_tokens(
     text: str = "text",
     end_id: int = 0,
     block_ids: int = BLOCK_IDS,
+    ordered: bool = True,
 ) -> None:
-    """Write the coded blocks of all documents, in ascending key order, to ``path``."""
+    """Write the coded blocks of all documents to ``path``, in ascending key order; or, not
+    ``ordered``, in the order in which the rows come (a shuffled table stays shuffled, and
+    nothing is exchanged)."""
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ordered = rows.repartitionByRange("_key").sortWithinPartitions("_key", "_text")
-    blocks = ordered.mapInArrow(_blocks(tokenizer, end_id, block_ids), BLOCK_SCHEMA)
+    if ordered:
+        rows = rows.repartitionByRange("_key").sortWithinPartitions("_key", "_text")
+    blocks = rows.mapInArrow(_blocks(tokenizer, end_id, block_ids), BLOCK_SCHEMA)
     blocks.write.option("compression", "snappy").parquet(path)
 
 

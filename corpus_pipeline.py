@@ -1,8 +1,74 @@
-"""Corpus preparation: filters, deduplicates, decontaminates, mixes and encodes the documents."""
+"""Corpus preparation: filters, deduplicates, decontaminates, mixes and encodes the documents.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next stage's ``docs``. All but the last return the columns
+of ``documents``. A stage decides on its own input alone; its decisions take effect.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basketry.functions.workspace import Workspace, session_workspace
+from basketry.llm import chosenpath, decontaminate, mixing, tokenids, toxicity
+from basketry.llm.queries import tokenizer_file
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5, by a model fitted on the labelled ones."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train_toxicity(docs, labels, F.lit(True))
+    return toxicity.score_toxicity(docs, model).filter("toxicity < 0.5").drop("toxicity")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that copies and links connect.
+
+    Equal rows count as one; a text without words is a copy of any other such text."""
+    with Workspace(spark) as work:
+        classes = chosenpath.jaccard_join(docs.select("doc_id", "text"), workspace=work)
+        first = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept"))
+        kept = session_workspace(spark).table(first.distinct(), "kept")
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    scanned = decontaminate.scan_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return scanned.filter(F.size("benchmark_hits") == 0).drop("benchmark_hits")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the target weights of their sources, in a global random order."""
+    return mixing.replicate(docs).select(*docs.columns)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents as coded blocks of token ids, in the order of the mix; returns the
+    document index read back from them: doc_id, start, n_tokens, ids_crc32."""
+    path = session_workspace(spark).path("corpus-tokens")
+    tokenids.write_tokens(docs, path, tokenizer_file(), ordered=False)
+    return tokenids.document_index(spark, path)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("token_ids", encode_tokens),
+]
+
+#: A trained model and a tokenizer decide the rows, which SQL can't state.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("stages follow")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents table."""
+    work = session_workspace(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = work.table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
