@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import with_scalars
+from ..functions.workspace import Workspace, session_workspace
 
 UNIFORM_HEX = 13  # hex digits of a hash that make a uniform number: 52 bits
 
@@ -90,16 +91,23 @@ def replicate(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    max_broadcast: int = 1_000_000,
+    workspace: Workspace | None = None,
 ) -> DataFrame:
     """``docs`` with one row for each repetition, in a global random order.
 
-    Adds ``copy`` (from 1), ``shuffle_key`` (the order) and ``rate`` (of the source).
+    Adds ``copy`` (from 1), ``shuffle_key`` (the order) and ``rate`` (of the source). The
+    sources' distributions are broadcast if they hold at most ``max_broadcast`` numbers.
     """
     rows = docs.drop("copy", "shuffle_key", "rate")
+    work = workspace or session_workspace(docs.sparkSession)
     rates = source_rates(docs, weights, temperature, epochs, source, text).select(
         F.col("source").alias("_source"), "rate", poisson_cdf(F.col("rate")).alias("_cdf")
     )
-    # one row for each source; a hot source is split by the adaptive skew join
+    rates = work.table(rates, "source-rates")
+    # broadcast what is known to be small; beyond that the adaptive join splits a hot source
+    if (rates.agg(F.sum(F.size("_cdf"))).first()[0] or 0) <= max_broadcast:
+        rates = F.broadcast(rates)
     joined = rows.join(rates, rows[source].eqNullSafe(rates["_source"]))
     u = hashed_bits(str(seed), "count", F.col(key)) / float(16**UNIFORM_HEX)
     drawn = joined.withColumn("_u", u).withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
