@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scalars import with_scalars
+from .workspace import session_workspace
 
 DEFAULT_BUCKETS = 128
 _BUCKET = "_pos_bucket"
@@ -42,16 +43,10 @@ def materialize(df: DataFrame) -> DataFrame:
     Used before a result is read by more than one pass. The input is computed
     once (an eager ``checkpoint()`` of an unpersisted plan would compute it
     twice), the lineage is cut, the files survive the loss of executors, and
-    later reads get column pruning and filter pushdown.
+    later reads get column pruning and filter pushdown. The session's workspace owns
+    the table and removes it at the end.
     """
-    import uuid
-
-    from ..session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-table-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return session_workspace(df.sparkSession).table(df)
 
 
 def uniform_bucket(key: str, key_bits: int = 31, bucket_bits: int = 8) -> Column:

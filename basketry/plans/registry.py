@@ -11,17 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import uuid
-
 from ..operators import delivery, overview, payments, ranktest, retention, rfm
 from ..operators.churn import features as churn_features
 from ..operators.churn import metrics as churn_metrics
 from ..operators.churn import models as churn_models
 from ..operators.churn import sampling as churn_sampling
 from ..functions.position import materialize
-from ..session import ensure_checkpoint_dir
+from ..functions.workspace import session_workspace
 from ..sources import csv as csv_source
-from ..sources.fixtures import fixture_views, orders_raw_view, scored
+from ..sources.fixtures import fixture_views, raw_exports, scored
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -79,27 +77,22 @@ VIEW_JOBS = {
 # ----------------------------------------------------------------- ingest
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketry-{name}-{uuid.uuid4().hex}"
-
-
 _EXPORTS: dict = {}
 
 
-def orders_export(spark: SparkSession, sf_dir: str) -> str:
-    """The orders in their export form (day-first text) as header CSV in the shared
-    scratch folder, written once per session and data set: the ingest input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def export(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A table in its export form as header CSV in the shared folder, written once per
+    session and data set: the input of the ingest jobs."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _EXPORTS:
-        raw = orders_raw_view(fixture_views(spark, sf_dir).orders)
-        _EXPORTS[key] = csv_source.write_csv(raw, _scratch(spark, "orders-csv"))
+        path = session_workspace(spark).path(f"{name}-csv")
+        _EXPORTS[key] = csv_source.write_csv(raw_exports(spark, sf_dir)[name], path)
     return _EXPORTS[key]
 
 
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read the order export: all columns as text, named by the header row."""
-    return csv_source.read_text_table(spark, orders_export(spark, sf_dir))
+    return csv_source.read_text_table(spark, export(spark, sf_dir, "orders"))
 
 
 def parse_order_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,6 +154,10 @@ CHURN_JOBS: dict[str, Job] = {
 
 INGEST_JOBS: dict[str, Job] = {
     "csv_ingest": csv_ingest,
+    "csv_ingest_payments": lambda spark, d: csv_source.read_payments(spark, export(spark, d, "payments")),
+    "csv_ingest_customers": lambda spark, d: csv_source.read_customers(spark, export(spark, d, "customers")),
+    "csv_ingest_reviews": lambda spark, d: csv_source.read_reviews(spark, export(spark, d, "reviews")),
+    "csv_ingest_items": lambda spark, d: csv_source.read_items(spark, export(spark, d, "items")),
     "parse_order_timestamps": parse_order_timestamps,
     "timestamp_null_counts": timestamp_null_counts,
 }

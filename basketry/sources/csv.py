@@ -1,7 +1,10 @@
 """CSV exports -> typed views.
 
-The exports have a header row. Columns are picked by header name and cast;
-text that does not convert becomes NULL (``try_cast`` / ``try_to_timestamp``),
+The exports have a header row. Fields may be quoted, with doubled quotes inside, and a
+table whose texts hold line breaks is read with ``multi_line`` (such files can't be
+split, so it is a choice for each table). All files of a table must have the same
+header; one that differs fails the read. Columns are picked by header name and cast;
+empty text is NULL, and text that does not convert becomes NULL (``try_cast`` / ``try_to_timestamp``),
 as a permissive reader would. Order timestamps are day-first text
 (``dd-MM-yy HH:mm``) and parsed with ``functions.dates.parse_day_first``.
 """
@@ -17,12 +20,16 @@ from ..functions.dates import parse_day_first
 from . import Views, schemas
 
 
-def read_text_table(spark: SparkSession, path: str) -> DataFrame:
+def read_text_table(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """All columns as text, named by the header row (no inference pass)."""
     return (
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("inferSchema", False)
+        .option("enforceSchema", False)  # a file with another header fails
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("multiLine", multi_line)
         .csv(path)
     )
 
@@ -34,7 +41,7 @@ def _typed(raw: DataFrame, columns: Mapping[str, tuple[str, str]]) -> DataFrame:
         if kind == "day_first":
             out.append(parse_day_first(c).alias(name))
         elif kind == "string":
-            out.append(c.alias(name))
+            out.append(F.nullif(c, F.lit("")).alias(name))
         else:
             out.append(F.trim(c).try_cast(kind).alias(name))
     return raw.select(*out)
@@ -72,20 +79,38 @@ def timestamp_null_counts(raw_orders: DataFrame) -> DataFrame:
     )
 
 
+def read_payments(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(read_text_table(spark, path), schemas.PAYMENTS)
+
+
+def read_customers(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(read_text_table(spark, path), schemas.CUSTOMERS)
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    return _typed(read_text_table(spark, path), schemas.ITEMS)
+
+
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """Reviews, with their comment text if the export has it (which may hold line breaks)."""
+    raw = read_text_table(spark, path, multi_line=True)
+    extra = {h: c for h, c in schemas.REVIEW_COMMENT.items() if h in raw.columns}
+    return _typed(raw, schemas.REVIEWS | extra)
+
+
 def read_csv_views(spark: SparkSession, paths: Mapping[str, str]) -> Views:
     """Typed views from CSV exports; ``paths`` maps orders/payments/customers/reviews
     (and optionally items) to a file or directory."""
-    items = read_text_table(spark, paths["items"]) if "items" in paths else None
     return Views(
         orders=parse_order_timestamps(read_text_table(spark, paths["orders"])),
-        payments=_typed(read_text_table(spark, paths["payments"]), schemas.PAYMENTS),
-        customers=_typed(read_text_table(spark, paths["customers"]), schemas.CUSTOMERS),
-        reviews=_typed(read_text_table(spark, paths["reviews"]), schemas.REVIEWS),
-        items=items,
+        payments=read_payments(spark, paths["payments"]),
+        customers=read_customers(spark, paths["customers"]),
+        reviews=read_reviews(spark, paths["reviews"]),
+        items=read_items(spark, paths["items"]) if "items" in paths else None,
     )
 
 
 def write_csv(df: DataFrame, path: str) -> str:
     """Write ``df`` as header CSV (the export format) and return ``path``."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return path

@@ -148,3 +148,48 @@ def orders_raw_view(f_orders: DataFrame) -> DataFrame:
         "order_status",
         *[_as_source_text(ts, k).alias(name) for name, ts in stamps.items()],
     )
+
+
+PAYMENTS_RAW_EXPR = (
+    "CAST(payment_value AS STRING) AS payment_value",
+    "CAST(payment_installments AS STRING) AS payment_installments",
+    "payment_type",
+    "CAST(order_id AS STRING) AS order_id",
+)
+CUSTOMERS_RAW_EXPR = (
+    "CAST(customer_unique_id AS STRING) AS customer_unique_id",
+    "CAST(customer_id AS STRING) AS customer_id",
+)
+# The comment comes before the id and holds quotes, commas and line breaks.
+REVIEWS_RAW_EXPR = (
+    "CASE order_id % 4 WHEN 0 THEN concat('\"good\", \"really\" ', order_id, ',\\nmore')"
+    " WHEN 1 THEN NULL WHEN 2 THEN concat('plain ', order_id) ELSE 'a, b' END AS review_comment_message",
+    "CAST(order_id AS STRING) AS order_id",
+    "CASE WHEN order_id % 31 = 3 THEN 'five' ELSE CAST(review_score AS STRING) END AS review_score",
+)
+ITEMS_RAW_EXPR = (
+    "CAST(l_orderkey AS STRING) AS order_id",
+    "CAST(l_linenumber AS STRING) AS order_item_id",
+    "CAST(l_partkey AS STRING) AS product_id",
+    "CAST(l_suppkey AS STRING) AS seller_id",
+    "CAST(l_extendedprice AS STRING) AS price",
+    "CAST(l_tax AS STRING) AS freight_value",
+    "CAST(l_shipdate AS TIMESTAMP_NTZ) AS _limit",
+)
+
+
+def items_raw_view(lineitem: DataFrame) -> DataFrame:
+    rows = lineitem.selectExpr(*ITEMS_RAW_EXPR)
+    return rows.withColumn("shipping_limit_date", _as_source_text(F.col("_limit"), F.lit(0))).drop("_limit")
+
+
+def raw_exports(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The five tables in their export form: every column as text."""
+    v = fixture_views(spark, sf_dir)
+    return {
+        "orders": orders_raw_view(v.orders),
+        "payments": v.payments.selectExpr(*PAYMENTS_RAW_EXPR),
+        "customers": v.customers.selectExpr(*CUSTOMERS_RAW_EXPR),
+        "reviews": v.reviews.selectExpr(*REVIEWS_RAW_EXPR),
+        "items": items_raw_view(_table(spark, sf_dir, "lineitem")),
+    }

@@ -2,8 +2,8 @@
 
 The exports are read with ``header=true`` and every column as text (no
 inference pass over the data); the used columns are then selected **by header
-name** and cast, so the column order of a file and any extra columns in it do
-not matter.
+name** and cast, so the column order of a table and any extra columns in it do
+not matter. The files of one table must agree on the header.
 """
 
 from __future__ import annotations
@@ -33,5 +33,15 @@ REVIEWS = {
     "order_id": ("order_id", "string"),
     "review_score": ("review_score", "int"),
 }
+REVIEW_COMMENT = {"review_comment_message": ("review_comment", "string")}
+ITEMS = {
+    "order_id": ("order_id", "string"),
+    "order_item_id": ("order_item_id", "int"),
+    "product_id": ("product_id", "string"),
+    "seller_id": ("seller_id", "string"),
+    "shipping_limit_date": ("shipping_limit_ts", "day_first"),
+    "price": ("price", "double"),
+    "freight_value": ("freight_value", "double"),
+}
 
 ORDER_TIMESTAMP_HEADERS = tuple(h for h, (_, t) in ORDERS.items() if t == "day_first")

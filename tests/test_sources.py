@@ -6,8 +6,10 @@ import datetime as dt
 import tempfile
 from pathlib import Path
 
+import pytest
+
 from basketry.operators import overview, payments
-from basketry.sources.csv import read_csv_views
+from basketry.sources.csv import read_csv_views, read_payments, read_reviews
 
 
 def _write(folder: Path, name: str, text: str) -> str:
@@ -53,3 +55,25 @@ def test_null_keys_follow_each_source_rule(views):
     # the SQL-derived payment summary keeps the NULL payment type as a group
     types = {r.payment_type for r in payments.payment_method_summary(v).collect()}
     assert types == {None, "credit_card"}
+
+
+def test_quotes_commas_and_line_breaks(spark):
+    d = Path(tempfile.mkdtemp(prefix="basketry-csv-"))
+    text = (
+        'review_comment_message,order_id,review_score\n'
+        '"good ""really"", item",o1,5\n'
+        '"first line\n second, ""more""",o2,4\n'
+        '"",o3,\n'
+    )
+    rows = read_reviews(spark, _write(d, "reviews.csv", text)).collect()
+    assert sorted(map(tuple, rows)) == [
+        ("o1", 5, 'good "really", item'), ("o2", 4, 'first line\n second, "more"'), ("o3", None, None),
+    ]
+
+
+def test_a_file_with_another_header_fails(spark):
+    d = Path(tempfile.mkdtemp(prefix="basketry-csv-"))
+    _write(d, "a.csv", "order_id,payment_type,payment_installments,payment_value\no1,boleto,2,50.0\n")
+    _write(d, "b.csv", "order_id,payment_type,payment_value,payment_installments\no2,boleto,50.0,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_payments(spark, str(d)).collect()
