@@ -18,6 +18,9 @@ the order of work.
 No pairs within a group are formed: a group of equal variants is aggregated to its
 earliest lines before any join, and each line is compared with one of those.
 
+Lookup tables of at most ``max_broadcast`` rows (shared halves, lines with a partner,
+repeated lines) are broadcast after their rows have been counted, larger ones joined.
+
 Defined results: a null text has no lines and stays null; lines shorter than
 ``min_chars`` characters, and lines of white space, are never dropped; rows with
 equal keys count as one document, so a line of theirs is kept in each of them; a null
@@ -42,6 +45,11 @@ def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     )
 
 
+def _small(table: DataFrame, limit: int) -> DataFrame:
+    """A written table, marked for broadcast if it has at most ``limit`` rows."""
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+
+
 def _half_keys(n: Column, line: Column) -> Column:
     """Keys of the shared halves: (side, whether the line is the longer of the two, hash)."""
     out = []
@@ -85,6 +93,7 @@ def duplicate_lines(
     text: str = "text",
     min_chars: int = 20,
     max_edits: int = 1,
+    max_broadcast: int = 200_000,
     workspace: Workspace | None = None,
 ) -> DataFrame:
     """(key, line_no, near): the lines to drop; ``near`` is true for those without an
@@ -94,28 +103,28 @@ def duplicate_lines(
     work = workspace or session_workspace(docs.sparkSession)
     lines = _lines(docs, key, text, min_chars)
     place = F.struct("key", "line_no")
-    firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("first"))
-    if not max_edits:
-        near = None
-    else:
-        near = work.table(_near_lines(lines, work), "near-lines")
-    if near is not None:
+    firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    if max_edits:
+        near = work.table(_near_lines(lines, work, max_broadcast), "near-lines")
         firsts = firsts.join(near.select("h", "h2", F.lit(True).alias("near")), ["h", "h2"], "left")
     else:
         firsts = firsts.withColumn("near", F.lit(None).cast("boolean"))
-    seen = lines.select("key", "line_no", "h", "h2").join(firsts, ["h", "h2"])
+    # lines that occur once and are near no earlier one have nothing to drop
+    firsts = work.table(firsts.filter((F.col("n") > 1) | F.col("near")), "repeated-lines")
+    seen = lines.select("key", "line_no", "h", "h2").join(_small(firsts, max_broadcast), ["h", "h2"])
     is_first = F.col("first").eqNullSafe(F.struct("key", "line_no"))
     return seen.filter(~is_first | F.col("near")).select("key", "line_no", is_first.alias("near"))
 
 
-def _near_lines(lines: DataFrame, work: Workspace) -> DataFrame:
+def _near_lines(lines: DataFrame, work: Workspace, max_broadcast: int) -> DataFrame:
     """(h, h2) of the distinct lines with an earlier line one edit away."""
     n = F.length("line")
     keys = lines.select("h", F.explode(_half_keys(n, F.col("line"))).alias("x")).select("h", "x.*")
     shared = keys.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("k")
+    shared = _small(work.table(shared, "shared-halves"), max_broadcast)
     halves = work.table(keys.join(shared, "k", "left_semi").select("h", "side", "longer").distinct(), "half-matches")
 
-    partners = halves.select("h").distinct()
+    partners = _small(work.table(halves.select("h").distinct(), "partners"), max_broadcast)
     texts = lines.join(partners, "h", "left_semi").groupBy("h", "h2").agg(
         F.min(F.struct("key", "line_no")).alias("first"), F.min("line").alias("line")
     )
@@ -148,11 +157,12 @@ def dedup_lines(
     text: str = "text",
     min_chars: int = 20,
     max_edits: int = 1,
+    max_broadcast: int = 200_000,
     workspace: Workspace | None = None,
 ) -> DataFrame:
     """``docs`` with ``text`` less its dropped lines, and ``n_lines``, ``n_equal``, ``n_near``:
     the lines of the text, and those dropped for an equal and for a near earlier line."""
-    drop = duplicate_lines(docs, key, text, min_chars, max_edits, workspace)
+    drop = duplicate_lines(docs, key, text, min_chars, max_edits, max_broadcast, workspace)
     gone = drop.groupBy(F.col("key").alias("_key")).agg(
         F.collect_set(F.struct("line_no", "near")).alias("_gone")
     )

@@ -197,22 +197,34 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     digits = np.zeros((n + 64, lanes), np.uint16)
     pos = np.zeros(lanes, np.int64)
 
-    def put(lane: np.ndarray) -> None:
+    def room(most: int) -> None:
         nonlocal digits
-        at = pos[lane]
-        if len(at) and int(at.max()) >= len(digits):
+        if most >= len(digits):
             digits = np.concatenate([digits, np.zeros((n // 2 + 64, lanes), np.uint16)])
-        l = low[lane]  # noqa: E741
-        digits[at, lane] = l >> _TOP
-        low[lane] = (l & _MASK) << _DIGIT
+
+    def put(lane: np.ndarray) -> None:
+        at = pos[lane]
+        room(int(at.max()))
+        held = low[lane]
+        digits[at, lane] = held >> _TOP
+        low[lane] = (held & _MASK) << _DIGIT
         pos[lane] = at + 1
 
-    for x in columns:
+    for t, x in enumerate(columns):
         model.predict()
         cum, freq = model.interval(x)
         unit = span >> _TOTAL
         low += unit * cum
         span = unit * freq
+        # the first digit of all lanes at once: one that isn't due is written over later
+        if t % 32 == 0:
+            room(int(pos.max()) + 128)
+        digits.ravel()[pos * lanes + model.lane] = low >> _TOP
+        due = span < (1 << _TOP)
+        shift = due * _DIGIT
+        low = np.where(due, low & _MASK, low) << shift
+        span <<= shift
+        pos += due
         while len(lane := np.flatnonzero(span < (1 << _TOP))):
             put(lane)
             span[lane] <<= _DIGIT
@@ -269,6 +281,11 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         cum, freq = model.interval(x)
         code -= unit * cum
         span = unit * freq
+        due = span < (1 << _TOP)
+        shift = due * _DIGIT
+        code = (code << shift) | flat.take(pos * lanes + model.lane, mode="clip") * due
+        span <<= shift
+        pos += due
         while len(lane := np.flatnonzero(span < (1 << _TOP))):
             at = pos[lane]
             code[lane] = (code[lane] << _DIGIT) | flat.take(at * lanes + lane, mode="clip")
