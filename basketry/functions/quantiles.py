@@ -21,15 +21,18 @@ from .position import materialize, running_sums
 QUINTILE_PROBS = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], group_by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, col: str, probs: Sequence[float], group_by: Sequence[str] = (), bucket: Column | None = None
+) -> DataFrame:
     """Rows ``(*group_by, prob, value)`` for each group and requested probability
-    (no rows for an empty group)."""
+    (no rows for an empty group). ``bucket`` is a monotone expression of the value
+    column ``v`` that spreads it over tasks; without it approximate quantiles do."""
     groups = list(group_by)
     vals = df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("c")
     )
     vals = materialize(vals)  # distinct values and counts, read by four branches below
-    cum = running_sums(vals, ["v"], {"_end": F.col("c")}, partition_by=groups)
+    cum = running_sums(vals, ["v"], {"_end": F.col("c")}, partition_by=groups, bucket=bucket)
     cum = cum.select(*groups, "v", (F.col("_end") - F.col("c")).alias("_start"), "_end")
     total = vals.groupBy(*groups).agg(F.sum("c").alias("n")).where(F.col("n") > 0)
     # groups x probs rows: bounded by the caller's handful of groups
@@ -67,7 +70,7 @@ def quantile_edges(df: DataFrame, col: str, probs: Sequence[float] = QUINTILE_PR
 
 
 def quantile_edges_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUINTILE_PROBS,
-                         method: str = "exact", digits: int = 6) -> DataFrame:
+                         method: str = "exact", digits: int = 6, bucket: Column | None = None) -> DataFrame:
     """One row with ``<col>_edges`` for every column, from a single pass over a
     long (column, value) form of ``df``.
 
@@ -83,7 +86,7 @@ def quantile_edges_multi(df: DataFrame, cols: Sequence[str], probs: Sequence[flo
         arr = F.percentile(F.col("x"), list(probs))
         per = long.groupBy("metric").agg(F.transform(arr, lambda e: round_half_up(e, digits)).alias("edges"))
     else:
-        q = exact_quantiles(long, "x", probs, group_by=["metric"])
+        q = exact_quantiles(long, "x", probs, group_by=["metric"], bucket=bucket)
         pairs = F.array_sort(F.collect_list(F.struct("prob", round_half_up("value", digits).alias("edge"))))
         per = q.groupBy("metric").agg(F.transform(pairs, lambda s: s["edge"]).alias("edges"))
     return per.agg(*[F.max(F.when(F.col("metric") == c, F.col("edges"))).alias(f"{c}_edges") for c in cols])

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .position import materialize, running_sums
@@ -23,20 +23,13 @@ def u_statistic(
     cx: str,
     cy: str,
     group_by: Sequence[str] = (),
-    bounded_domain: bool = False,
 ) -> DataFrame:
     """One row per group: ``n1``, ``n2``, ``u_stat`` and ``tie_term`` = sum(t^3 - t).
 
     ``counts`` holds one row per (group, value) with the counts of each sample.
-    With ``bounded_domain`` (few possible values, e.g. 1-5 star scores) the
-    values themselves are the buckets of the running sum.
     """
-    if bounded_domain:
-        bucket = F.col(value)
-    else:
-        counts = materialize(counts)  # read by the edges, bucket totals and rows of the running sum
-        bucket = None
-    cum = running_sums(counts, [value], {"_cy_le": F.col(cy).cast("bigint")}, partition_by=group_by, bucket=bucket)
+    counts = materialize(counts)  # read by the edges, bucket totals and rows of the running sum
+    cum = running_sums(counts, [value], {"_cy_le": F.col(cy).cast("bigint")}, partition_by=group_by)
     below = (F.col("_cy_le") - F.col(cy)).cast("double")
     contrib = F.col(cx).cast("double") * (below + F.col(cy).cast("double") / F.lit(2.0))
     t = (F.col(cx) + F.col(cy)).cast("double")
@@ -48,8 +41,28 @@ def u_statistic(
     )
 
 
+def bounded_u_statistic(counts: DataFrame, value: str, cx: str, cy: str) -> DataFrame:
+    """One row: n1, n2, u_stat, tie_term and ``nulls`` (rows without a value), for a value
+    with few distinct values (ordinal scores): the window and the aggregate run over one row
+    for each of them."""
+    below = Window.orderBy(F.col(value).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    x, y = F.col(cx).cast("double"), F.col(cy).cast("double")
+    known = F.col(value).isNotNull()
+    t = x + y
+    rows = counts.withColumn("_below", F.coalesce(F.sum(y).over(below), F.lit(0.0)))
+    sums = rows.agg(
+        F.sum(F.when(known, F.col(cx))).cast("bigint").alias("n1"),
+        F.sum(F.when(known, F.col(cy))).cast("bigint").alias("n2"),
+        F.sum(F.when(known, x * (F.col("_below") + y / F.lit(2.0)))).alias("u_stat"),
+        F.sum(F.when(known, t * t * t - t)).alias("tie_term"),
+        F.coalesce(F.sum(F.when(~known, F.col(cx) + F.col(cy))), F.lit(0)).cast("bigint").alias("nulls"),
+    )
+    return sums
+
+
 def normal_z(u, n1, n2, tie_term, continuity: bool = True):
-    """Tie-corrected normal approximation of U for the one-sided 'greater' test."""
+    """Tie-corrected normal approximation of U for the one-sided 'greater' test; NULL if
+    all values are equal (the variance is 0)."""
     n1d, n2d = n1.cast("double"), n2.cast("double")
     n = n1d + n2d
     mu = n1d * n2d / F.lit(2.0)

@@ -51,6 +51,23 @@ class Workspace:
 _OPEN: dict[str, Workspace] = {}
 
 
+_ACTIVE: list[Workspace] = []
+
+
+@contextlib.contextmanager
+def working_in(work: Workspace):
+    """Within the block ``current_workspace`` is ``work``."""
+    _ACTIVE.append(work)
+    try:
+        yield work
+    finally:
+        _ACTIVE.pop()
+
+
+def current_workspace(spark: SparkSession) -> Workspace:
+    return _ACTIVE[-1] if _ACTIVE else session_workspace(spark)
+
+
 def session_workspace(spark: SparkSession) -> Workspace:
     """The workspace of the session, removed when the process ends."""
     app = spark.sparkContext.applicationId

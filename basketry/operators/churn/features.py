@@ -3,11 +3,12 @@
 Payments and reviews are aggregated to one row per order before any join, so
 the joins are 1:1 on order id (an order with two reviews gets their mean; with
 none, the neutral score 3). The person's first order and their distinct-order
-count come from ONE hash aggregation per person: ``min_by`` over the order's
+count come from one aggregation per person: ``min_by`` over the order's
 fields with the key (purchase time missing?, purchase time, order id), so NULL
 times sort last and ties go to the lower order id, next to ``count_distinct``.
 Both are combined on the map side, so a person with a third of all orders is
-reduced before the shuffle, and the orders x payments join is computed once.
+reduced before the shuffle, and the orders x payments join is computed once. The
+state of ``min_by`` is a struct, so Spark aggregates by sorting, not hashing.
 """
 
 from __future__ import annotations
@@ -80,8 +81,3 @@ def label_balance(features: DataFrame) -> DataFrame:
         as_long(F.sum("label")).alias("repeaters"),
         round_half_up(F.lit(100.0) * F.avg("label"), 1).alias("repeat_pct"),
     )
-
-
-def feature_label_frame(spark) -> DataFrame:
-    return spark.createDataFrame(list(zip(FEATURES, FEATURE_LABELS)), "feature string, feature_label string")
-

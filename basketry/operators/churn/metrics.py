@@ -11,12 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.numeric import round_half_up
 from ...functions.position import materialize, running_sums
-from ...functions.ranks import u_statistic
 from ...functions.scalars import with_scalars
 
 
@@ -26,15 +25,24 @@ def _score_counts(scored: DataFrame, score: str, label: str, group_by: Sequence[
     )
 
 
-def roc_points(scored: DataFrame, score: str = "score", label: str = "label", group_by: Sequence[str] = ()) -> DataFrame:
-    """(threshold, fpr, tpr) at every distinct score, plus the origin at threshold +inf.
+def _cumulative(scored: DataFrame, score: str, label: str, group_by: Sequence[str], bucket: Column | None) -> DataFrame:
+    """Written once: counts per distinct score with the counts at or below it."""
+    counts = _score_counts(scored, score, label, group_by)
+    spread = F.floor(F.col("threshold") * F.lit(4096.0)) if bucket is None else bucket
+    sums = {"_pos_le": F.col("pos"), "_neg_le": F.col("neg")}
+    return materialize(running_sums(counts, ["threshold"], sums, partition_by=group_by, bucket=spread))
 
-    A point counts the rows with ``score >= threshold`` as predicted positive.
-    Collinear points are all kept.
-    """
-    counts = materialize(_score_counts(scored, score, label, group_by))
-    cum = running_sums(counts, ["threshold"], {"_pos_le": F.col("pos"), "_neg_le": F.col("neg")}, partition_by=group_by)
-    totals = counts.groupBy(*group_by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+
+def _totals(cum: DataFrame, group_by: Sequence[str]) -> DataFrame:
+    """Class totals and AUC: each threshold adds the trapezoid under its part of the curve."""
+    below = (F.col("_neg_le") - F.col("neg")).cast("double")
+    area = F.col("pos").cast("double") * (below + F.col("neg").cast("double") / F.lit(2.0))
+    sums = cum.groupBy(*group_by).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"), F.sum(area).alias("_area"))
+    pairs = F.col("_P").cast("double") * F.col("_N").cast("double")
+    return sums.select(*group_by, "_P", "_N", F.try_divide(F.col("_area"), pairs).alias("auc"))
+
+
+def _points(cum: DataFrame, totals: DataFrame, group_by: Sequence[str]) -> DataFrame:
     # one row per group (bounded by the caller's handful of models), or one row
     joined = cum.join(F.broadcast(totals), list(group_by), "inner") if group_by else with_scalars(cum, totals)
     tp = F.col("_P") - (F.col("_pos_le") - F.col("pos"))
@@ -44,23 +52,46 @@ def roc_points(scored: DataFrame, score: str = "score", label: str = "label", gr
         "threshold",
         F.try_divide(fp, F.col("_N")).alias("fpr"),
         F.try_divide(tp, F.col("_P")).alias("tpr"),
+        "auc",
+    )
+    origin = totals.select(
+        *group_by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), "auc"
     )
-    origin = totals.select(*group_by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return points.unionByName(origin)
 
 
-def auc(scored: DataFrame, score: str = "score", label: str = "label", group_by: Sequence[str] = ()) -> DataFrame:
+def roc_points(
+    scored: DataFrame,
+    score: str = "score",
+    label: str = "label",
+    group_by: Sequence[str] = (),
+    bucket: Column | None = None,
+) -> DataFrame:
+    """(threshold, fpr, tpr) at every distinct score, plus the origin at threshold +inf.
+
+    A point counts the rows with ``score >= threshold`` as predicted positive.
+    Collinear points are all kept. ``bucket``, a monotone expression of ``threshold``,
+    spreads the scores over tasks; the default suits scores from 0 to 1.
+    """
+    cum = _cumulative(scored, score, label, group_by, bucket)
+    return _points(cum, _totals(cum, group_by), group_by).drop("auc")
+
+
+def auc(
+    scored: DataFrame,
+    score: str = "score",
+    label: str = "label",
+    group_by: Sequence[str] = (),
+    bucket: Column | None = None,
+) -> DataFrame:
     """ROC AUC per group (NULL when a class is missing)."""
-    counts = _score_counts(scored, score, label, group_by)
-    u = u_statistic(counts, "threshold", "pos", "neg", group_by)
-    return u.select(
-        *group_by, F.try_divide(F.col("u_stat"), F.col("n1").cast("double") * F.col("n2").cast("double")).alias("auc")
-    )
+    return _totals(_cumulative(scored, score, label, group_by, bucket), group_by).select(*group_by, "auc")
 
 
 def roc_curve_and_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """The ROC points with the AUC repeated on each row."""
-    return with_scalars(roc_points(scored, score, label), auc(scored, score, label))
+    """The ROC points with the AUC repeated on each row, from one table of cumulative counts."""
+    cum = _cumulative(scored, score, label, (), None)
+    return _points(cum, _totals(cum, ()), ())
 
 
 def classification_metrics(

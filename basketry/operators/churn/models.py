@@ -11,6 +11,9 @@ Mapping of the reference settings onto MLlib:
   on unscaled features. MLlib bins features and fits its own leaf values, so
   trees are not identical to other libraries; compare by AUC and importance order.
 
+A person with a missing feature (an unreadable purchase time leaves no month) takes no
+part in fitting and gets no score.
+
 Training data is persisted (memory and disk, lineage kept) because every
 boosting round scans it; intermediate RDDs of the boosting loop are
 checkpointed to the session's checkpoint folder.
@@ -18,6 +21,7 @@ checkpointed to the session's checkpoint folder.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -53,12 +57,13 @@ class ChurnModels:
     scaler: DataFrame  # one row of training means and sds
     test: DataFrame  # test part with both feature vectors
     gb_weighted_importances: list[float]
+    training: dict  # name -> (training rows, weight column, L2 strength) of the logistic models
 
 
 def _vectors(df: DataFrame, stats: DataFrame) -> DataFrame:
     z = standardize(df, stats)
-    raw = VectorAssembler(inputCols=list(FEATURES), outputCol=_RAW).transform(z)
-    return VectorAssembler(inputCols=[f"z_{f}" for f in FEATURES], outputCol=_SCALED).transform(raw)
+    raw = VectorAssembler(inputCols=list(FEATURES), outputCol=_RAW, handleInvalid="skip").transform(z)
+    return VectorAssembler(inputCols=[f"z_{f}" for f in FEATURES], outputCol=_SCALED, handleInvalid="skip").transform(raw)
 
 
 def _sum(df: DataFrame, col) -> float:
@@ -72,8 +77,9 @@ def fit_churn_models(features: DataFrame, seed: int = 42, gbt_rounds: int = 200,
     stats = scaler_stats(train_rows)
     weighted = _vectors(class_weights(train_rows), stats).persist(StorageLevel.MEMORY_AND_DISK)
     balanced = _vectors(undersample_majority(train_rows, seed=seed), stats).persist(StorageLevel.MEMORY_AND_DISK)
-    test = _vectors(split.where(F.col("split") == TEST).drop("split"), stats).persist(StorageLevel.MEMORY_AND_DISK)
+    test = _vectors(split.where(F.col("split") == TEST).drop("split"), stats)
 
+    kept = (weighted, balanced)
     label = F.col("label").cast("double")
     weighted = weighted.withColumn("label_d", label)
     balanced = balanced.withColumn("label_d", label)
@@ -108,14 +114,22 @@ def fit_churn_models(features: DataFrame, seed: int = 42, gbt_rounds: int = 200,
             gb.setWeightCol(weight_col)
         return gb
 
-    models = {
-        LR_WEIGHTED: (logistic(1.0 / w_total if w_total else 0.0, "weight").fit(weighted), _SCALED),
-        LR_UNDERSAMPLED: (logistic(1.0 / n_balanced if n_balanced else 0.0, None).fit(balanced), _SCALED),
-        GB_WEIGHTED: (boosted("weight").fit(weighted), _RAW),
-        GB_UNDERSAMPLED: (boosted(None).fit(balanced), _RAW),
+    reg_weighted, reg_balanced = (1.0 / n if n else 0.0 for n in (w_total, n_balanced))
+    fits = {
+        LR_WEIGHTED: (logistic(reg_weighted, "weight"), weighted, _SCALED),
+        LR_UNDERSAMPLED: (logistic(reg_balanced, None), balanced, _SCALED),
+        GB_WEIGHTED: (boosted("weight"), weighted, _RAW),
+        GB_UNDERSAMPLED: (boosted(None), balanced, _RAW),
     }
+    # independent jobs: submitted together, so that one fit's small stages fill the other's gaps
+    with ThreadPoolExecutor(len(fits)) as pool:
+        started = {name: pool.submit(estimator.fit, rows) for name, (estimator, rows, _) in fits.items()}
+        models = {name: (started[name].result(), fits[name][2]) for name in fits}
+    for rows in kept:
+        rows.unpersist()
     importances = [float(x) for x in models[GB_WEIGHTED][0].featureImportances.toArray()]
-    return ChurnModels(models=models, scaler=stats, test=test, gb_weighted_importances=importances)
+    training = {LR_WEIGHTED: (weighted, "weight", reg_weighted), LR_UNDERSAMPLED: (balanced, None, reg_balanced)}
+    return ChurnModels(models=models, scaler=stats, test=test, gb_weighted_importances=importances, training=training)
 
 
 def _predict(model, features_col: str, df: DataFrame, name: str) -> DataFrame:
@@ -172,7 +186,7 @@ def score_profiles(cm: ChurnModels, profiles: DataFrame, threshold: float = RETU
     """Repeat and churn probability of each profile (a first order described by
     the six features) under the class-weighted boosted model."""
     model, col = cm.models[GB_WEIGHTED]
-    vec = VectorAssembler(inputCols=list(FEATURES), outputCol=_RAW).transform(profiles)
+    vec = VectorAssembler(inputCols=list(FEATURES), outputCol=_RAW, handleInvalid="skip").transform(profiles)
     scored = model.setFeaturesCol(col).transform(vec)
     p = vector_to_array("probability")[1]
     keep = [c for c in profiles.columns if c not in ("label",)]

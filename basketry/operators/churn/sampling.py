@@ -3,8 +3,8 @@
 Seeded draws are prefixes of a seeded order (``functions.sampling``). The
 positions inside a class come from ``functions.position.row_positions``, which
 range-buckets the seeded key instead of sorting a whole class in one task.
-Tables of per-class counts have one row per class (labels are 0/1), so
-broadcasting them is bounded.
+Class sizes come from the bucket totals of the same pass. Tables of per-class counts
+have one row per class (labels are 0/1), so broadcasting them is bounded.
 """
 
 from __future__ import annotations
@@ -13,27 +13,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.numeric import round_half_up
-from ...functions.position import row_positions, uniform_bucket
-from ...functions.sampling import mix_bits, seeded_mix
+from ...functions.position import BUCKET_BITS, materialize, row_positions, uniform_bucket
+from ...functions.sampling import SPLIT, UNDERSAMPLE, mix_bits, seeded_mix
 from .features import FEATURES, PERSON
 from ...functions.scalars import with_scalars
 
 TRAIN, TEST = "train", "test"
 
 
-def stratified_split(features: DataFrame, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+def stratified_split(
+    features: DataFrame, test_fraction: float = 0.2, seed: int = 42, bucket_bits: int = BUCKET_BITS
+) -> DataFrame:
     """Add ``split``: within each label the first ``ceil(test_fraction * n_label)``
     persons in seeded order are 'test', the rest 'train'."""
-    keyed = features.withColumn("_mix", seeded_mix(features, PERSON, seed))
-    bucket = uniform_bucket("_mix", mix_bits(features, PERSON))
-    ranked = row_positions(keyed, ["_mix", PERSON], partition_by=["label"], key="_mix", name="_pos", bucket=bucket)
-    sizes = features.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.ceil(F.col("_n").cast("double") * F.lit(float(test_fraction)))
-    return (
-        ranked.join(F.broadcast(sizes), "label", "inner")  # one row per class
-        .withColumn("split", F.when(F.col("_pos") <= cut, TEST).otherwise(TRAIN))
-        .drop("_mix", "_pos", "_n")
+    keyed = features.withColumn("_mix", seeded_mix(features, PERSON, seed, SPLIT))
+    bucket = uniform_bucket("_mix", mix_bits(features, PERSON), bucket_bits)
+    ranked = row_positions(
+        keyed, ["_mix", PERSON], partition_by=["label"], key="_mix", name="_pos", bucket=bucket, sizes="_n"
     )
+    cut = F.ceil(F.col("_n").cast("double") * F.lit(float(test_fraction)))
+    return ranked.withColumn("split", F.when(F.col("_pos") <= cut, TEST).otherwise(TRAIN)).drop("_mix", "_pos", "_n")
 
 
 def class_weights(train: DataFrame) -> DataFrame:
@@ -46,20 +45,21 @@ def class_weights(train: DataFrame) -> DataFrame:
     return train.join(F.broadcast(per_class), "label", "inner")
 
 
-def undersample_majority(train: DataFrame, seed: int = 42) -> DataFrame:
+def undersample_majority(train: DataFrame, seed: int = 42, bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """All minority rows plus an equal number of majority rows drawn without
     replacement in seeded order. The majority class is read from the data (on
-    equal counts class 0 is treated as the majority)."""
+    equal counts class 0 is treated as the majority). With one class only there is
+    nothing to draw against, and the result is empty."""
     counts = train.groupBy("label").agg(F.count(F.lit(1)).alias("_nc"))
     roles = counts.agg(
         F.max_by("label", F.struct(F.col("_nc"), -F.col("label"))).alias("_major"),
-        F.min("_nc").alias("_keep"),
+        F.when(F.count(F.lit(1)) > 1, F.min("_nc")).otherwise(0).alias("_keep"),
     )
     tagged = with_scalars(train, roles)
     minority = tagged.where(F.col("label") != F.col("_major"))
     majority = tagged.where(F.col("label") == F.col("_major"))
-    majority = majority.withColumn("_mix", seeded_mix(train, PERSON, seed))
-    bucket = uniform_bucket("_mix", mix_bits(train, PERSON))
+    majority = majority.withColumn("_mix", seeded_mix(train, PERSON, seed, UNDERSAMPLE))
+    bucket = uniform_bucket("_mix", mix_bits(train, PERSON), bucket_bits)
     drawn = row_positions(majority, ["_mix", PERSON], key="_mix", name="_pos", bucket=bucket)
     drawn = drawn.where(F.col("_pos") <= F.col("_keep"))
     cols = train.columns
@@ -87,7 +87,7 @@ def standardize(df: DataFrame, stats: DataFrame, digits: int | None = None) -> D
 
 def standardize_features(features: DataFrame, seed: int = 42, digits: int = 6) -> DataFrame:
     """Standardised features of every person, scaled with the training part's statistics."""
-    split = stratified_split(features, seed=seed)
+    split = materialize(stratified_split(features, seed=seed))  # read by the statistics and the rows
     stats = scaler_stats(split.where(F.col("split") == TRAIN))
     z = standardize(split, stats, digits)
     return z.select(PERSON, "label", "split", *[f"z_{f}" for f in FEATURES])

@@ -107,8 +107,14 @@ def peak_and_growth(v: Views, min_orders: int = 100) -> DataFrame:
 def month_over_month(v: Views, start_month: str | None = None, end_month: str | None = None) -> DataFrame:
     """% change of each month against the calendar month before it (no row if either is missing)."""
     monthly = monthly_order_trend(v)
-    prev = monthly.select(F.add_months("month", 1).alias("month"), F.col("order_count").alias("prev_order_count"))
-    out = monthly.join(prev, "month", "inner")
+    by_month = Window.orderBy("month")  # one row for each month
+    before = monthly.select(
+        "month",
+        "order_count",
+        F.lag("order_count").over(by_month).alias("prev_order_count"),
+        F.lag("month").over(by_month).alias("_prev"),
+    )
+    out = before.where(F.col("_prev") == F.add_months("month", -1).cast("date"))
     if start_month:
         out = out.where(F.col("month") >= F.to_date(F.lit(f"{start_month}-01")))
     if end_month:
@@ -120,7 +126,15 @@ def month_over_month(v: Views, start_month: str | None = None, end_month: str |
 def yoy_monthly(v: Views, years: Sequence[int] = (1999, 2000), last_month: int = 8) -> DataFrame:
     """Orders per (year, month number) for ``years``, months 1..``last_month``."""
     ts = F.col("purchase_ts")
-    df = v.orders.where(F.year(ts).isin(list(years)) & F.month(ts).between(1, last_month))
+    if not 1 <= last_month <= 12:
+        raise ValueError("last_month must be between 1 and 12")
+    # ranges of the raw timestamp, so that they reach the scan and prune partitions
+    in_years = F.lit(False)
+    for y in years:
+        after = f"{y + last_month // 12:04d}-{last_month % 12 + 1:02d}-01 00:00:00"
+        start, end = (F.to_timestamp_ntz(F.lit(t)) for t in (f"{y:04d}-01-01 00:00:00", after))
+        in_years = in_years | ((ts >= start) & (ts < end))
+    df = v.orders.where(in_years)
     return df.groupBy(
         as_long(F.year(ts)).alias("year"),
         as_long(F.month(ts)).alias("month_num"),

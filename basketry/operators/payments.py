@@ -47,9 +47,10 @@ def payment_type_share(v: Views, payment_type: str = "credit_card") -> DataFrame
 
 def installment_profile(v: Views, min_tier: int = 1, max_tier: int = MAX_TIER) -> DataFrame:
     """Credit-card payment rows per installment tier (1..12): row count, mean value."""
-    lo, hi = max(1, min_tier), min(MAX_TIER, max_tier)
+    if not 1 <= min_tier <= max_tier <= MAX_TIER:
+        raise ValueError(f"tiers must lie between 1 and {MAX_TIER}")
     rows = v.payments.where(
-        (F.col("payment_type") == "credit_card") & F.col("payment_installments").between(lo, hi)
+        (F.col("payment_type") == "credit_card") & F.col("payment_installments").between(min_tier, max_tier)
     )
     profile = rows.groupBy(as_long("payment_installments").alias("payment_installments")).agg(
         as_long(F.count(F.lit(1))).alias("order_count"),

@@ -1,26 +1,25 @@
 """One-sided Mann-Whitney U test of review scores, on time against late.
 
-The samples are reduced to counts per (group, score) by a distributed
-aggregation; U, the tie term and z come from those counts (see
-``functions.ranks``). Only the final one-row p-value needs ``erfc``, which Spark
-SQL lacks: it is a vectorised pandas UDF over that single row.
+The samples are reduced to counts per (group, score) by one distributed
+aggregation; U, the tie term, z and the number of missing scores come from those
+counts (see ``functions.ranks``), and the p-value from built-in functions.
 
 The normal approximation with continuity correction and tie correction is used
-throughout; the exact small-sample distribution (both groups of at most eight
-values and no ties) is not implemented.
+throughout; the exact distribution for small samples (either group of at most eight
+values, no ties) is not implemented. If all values are equal, z is NULL and the
+p-value is 1.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..functions.numeric import round_half_up, safe_div
-from ..functions.ranks import normal_z, u_statistic
+from ..functions.numeric import erfc, round_half_up, safe_div, significant
+from ..functions.ranks import bounded_u_statistic, normal_z, u_statistic
+from ..functions.position import materialize
 from ..sources import Views
 from .delivery import LATE, ON_TIME, delivery_facts
 from ..functions.scalars import with_scalars
@@ -37,11 +36,6 @@ def _effect_label(r):
     return expr.otherwise("negligible")
 
 
-@F.pandas_udf(DoubleType())
-def _upper_tail(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: float("nan") if pd.isna(x) else 0.5 * math.erfc(x / math.sqrt(2.0)))
-
-
 def mann_whitney_from_values(
     values: DataFrame,
     group: str,
@@ -55,28 +49,34 @@ def mann_whitney_from_values(
 
     One row: n1, n2, u_stat, z_score, effect_size (rank-biserial 2U/(n1 n2) - 1,
     positive when x ranks higher), effect_label, null_values_dropped, and with
-    ``with_p_value`` the one-sided p-value P(Z >= z) from the unrounded z.
-    ``bounded_domain`` declares that ``value`` takes few distinct values (ordinal
-    scores), so their running counts need no quantile bucketing.
+    ``with_p_value`` the one-sided p-value P(Z >= z) from the unrounded z, to nine
+    significant digits. ``bounded_domain`` declares that ``value`` takes few distinct
+    values (ordinal scores), so that everything comes from one small table of counts.
     """
     in_test = F.col(group).isin([x_group, y_group])
     rows = values.where(in_test)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
+    counts = rows.groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count_if(F.col(group) == x_group).alias("cx"), F.count_if(F.col(group) == y_group).alias("cy")
     )
-    nulls = rows.agg(F.count_if(F.col(value).isNull()).cast("bigint").alias("null_values_dropped"))
-    u = u_statistic(counts, "v", "cx", "cy", bounded_domain=bounded_domain)
+    if bounded_domain:
+        u = bounded_u_statistic(counts, "v", "cx", "cy")
+    else:
+        counts = materialize(counts)
+        missing = counts.agg(F.sum(F.when(F.col("v").isNull(), F.col("cx") + F.col("cy"))).alias("nulls"))
+        u = with_scalars(u_statistic(counts.where("v IS NOT NULL"), "v", "cx", "cy"), missing)
     z = normal_z(F.col("u_stat"), F.col("n1"), F.col("n2"), F.col("tie_term"))
     r = safe_div(F.lit(2.0) * F.col("u_stat"), F.col("n1").cast("double") * F.col("n2").cast("double")) - F.lit(1.0)
-    extra = [_upper_tail(z).alias("p_value")] if with_p_value else []
-    return with_scalars(u, nulls).select(
+    tail = significant(F.lit(0.5) * erfc(z / F.lit(math.sqrt(2.0))))
+    p = F.when(z.isNull() & (F.col("n1") > 0) & (F.col("n2") > 0), F.lit(1.0)).otherwise(tail)
+    extra = [p.alias("p_value")] if with_p_value else []
+    return u.select(
         "n1",
         "n2",
         "u_stat",
         round_half_up(z, 6).alias("z_score"),
         round_half_up(r, 6).alias("effect_size"),
         _effect_label(r).alias("effect_label"),
-        "null_values_dropped",
+        F.coalesce("nulls", F.lit(0)).cast("bigint").alias("null_values_dropped"),
         *extra,
     )
 

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_days
 from ..functions.numeric import as_long, round_half_up, sort_small
-from ..functions.position import materialize
+from ..functions.position import log_bucket, materialize
 from ..functions.quantiles import bin_count, inner_edges, quantile_edges_multi, quantile_score
-from ..functions.sampling import seeded_mix
+from ..functions.sampling import SAMPLE, seeded_mix
 from ..sources import Views
 from .retention import delivered_person_orders
 from ..functions.scalars import with_scalars
@@ -57,10 +57,15 @@ def rfm_base(v: Views) -> DataFrame:
 
 
 def rfm_scores(v: Views, method: str = "exact") -> DataFrame:
-    """``rfm_base`` plus r_score, f_score, m_score (quintiles) and their sum."""
+    """``rfm_base`` plus r_score, f_score, m_score (quintiles) and their sum.
+
+    The base is written once when the job is built. The jobs below take the scores of
+    an earlier call as ``scores``, so that several of them share one scoring."""
     # Read by the quantile pass and the scoring pass: compute and write it once.
     base = materialize(rfm_base(v))
-    wide = quantile_edges_multi(base, ["recency_days", "frequency", "monetary"], method=method)
+    wide = quantile_edges_multi(
+        base, ["recency_days", "frequency", "monetary"], method=method, bucket=log_bucket(F.col("v"))
+    )
     edges = wide.select(
         *[
             x
@@ -96,8 +101,8 @@ def segment_of(r, f, m):
     )
 
 
-def rfm_segments(v: Views, method: str = "exact") -> DataFrame:
-    s = rfm_scores(v, method)
+def rfm_segments(v: Views, method: str = "exact", scores: DataFrame | None = None) -> DataFrame:
+    s = rfm_scores(v, method) if scores is None else scores
     return s.withColumn("segment", segment_of(F.col("r_score"), F.col("f_score"), F.col("m_score")))
 
 
@@ -113,18 +118,18 @@ def summarize_segments(segs: DataFrame) -> DataFrame:
     return sort_small(per.select("*", round_half_up(share, 1).alias("pct_of_base")), F.col("customers").desc())
 
 
-def rfm_segment_summary(v: Views, method: str = "exact") -> DataFrame:
-    return summarize_segments(rfm_segments(v, method))
+def rfm_segment_summary(v: Views, method: str = "exact", scores: DataFrame | None = None) -> DataFrame:
+    return summarize_segments(rfm_segments(v, method, scores))
 
 
-def rfm_segment_coverage(v: Views, method: str = "exact") -> DataFrame:
+def rfm_segment_coverage(v: Views, method: str = "exact", scores: DataFrame | None = None) -> DataFrame:
     """All six segments with their % of persons (0 when empty), an empty flag, and
     the % of persons with a single order.
 
     One aggregation per segment carries both counts, so the persons are scored
     once; the shares are windows over the six joined rows.
     """
-    segs = rfm_segments(v, method)
+    segs = rfm_segments(v, method, scores)
     per = segs.groupBy("segment").agg(
         as_long(F.count("customer_unique_id")).alias("customers"),
         as_long(F.count_if(F.col("frequency") == 1)).alias("_one"),
@@ -144,9 +149,11 @@ def rfm_segment_coverage(v: Views, method: str = "exact") -> DataFrame:
     )
 
 
-def rfm_sample(v: Views, n: int = 3000, seed: int = 42, method: str = "exact") -> DataFrame:
+def rfm_sample(
+    v: Views, n: int = 3000, seed: int = 42, method: str = "exact", scores: DataFrame | None = None
+) -> DataFrame:
     """Exactly ``min(n, persons)`` scored persons, drawn without replacement by a
     seeded order (a top-k: each task keeps its best ``n`` rows)."""
-    segs = rfm_segments(v, method)
-    key = seeded_mix(segs, "customer_unique_id", seed)
+    segs = rfm_segments(v, method, scores)
+    key = seeded_mix(segs, "customer_unique_id", seed, SAMPLE)
     return segs.orderBy(key, F.col("customer_unique_id")).limit(n)

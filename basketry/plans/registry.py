@@ -12,12 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import delivery, overview, payments, ranktest, retention, rfm
+from ..operators.churn import checks as churn_checks
 from ..operators.churn import features as churn_features
 from ..operators.churn import metrics as churn_metrics
 from ..operators.churn import models as churn_models
 from ..operators.churn import sampling as churn_sampling
 from ..functions.position import materialize
-from ..functions.workspace import session_workspace
+from ..functions.workspace import Workspace, session_workspace, working_in
 from ..sources import csv as csv_source
 from ..sources.fixtures import fixture_views, raw_exports, scored
 
@@ -66,11 +67,36 @@ VIEW_JOBS = {
     "return_milestones": retention.return_milestones,
     # rfm
     "rfm_base": rfm.rfm_base,
-    "rfm_scores": rfm.rfm_scores,
-    "rfm_segments": rfm.rfm_segments,
-    "rfm_segment_summary": rfm.rfm_segment_summary,
-    "rfm_segment_coverage": rfm.rfm_segment_coverage,
-    "rfm_sample": rfm.rfm_sample,
+}
+
+_SCORES: dict = {}
+
+
+def rfm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored persons, written once per session and data set for the five jobs on them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORES:
+        with Workspace(spark) as work, working_in(work):  # the steps' tables go, the scores stay
+            _SCORES[key] = session_workspace(spark).table(rfm.rfm_scores(fixture_views(spark, sf_dir)), "rfm-scores")
+    return _SCORES[key]
+
+
+def _on_scores(fn, **params) -> Job:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fn(fixture_views(spark, sf_dir), scores=rfm_scores(spark, sf_dir), **params)
+
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
+RFM_JOBS: dict[str, Job] = {
+    "rfm_scores": rfm_scores,
+    "rfm_segments": _on_scores(rfm.rfm_segments),
+    "rfm_segment_summary": _on_scores(rfm.rfm_segment_summary),
+    "rfm_segment_coverage": _on_scores(rfm.rfm_segment_coverage),
+    "rfm_sample": _on_scores(rfm.rfm_sample),
+    "rfm_sample_small": _on_scores(rfm.rfm_sample, n=100, seed=7),
 }
 
 
@@ -136,8 +162,10 @@ CHURN_JOBS: dict[str, Job] = {
     "first_order_features": _features,
     "label_balance": lambda spark, d: churn_features.label_balance(_features(spark, d)),
     "stratified_split": lambda spark, d: churn_sampling.stratified_split(_features_written(spark, d)),
+    "stratified_split_seed7": lambda spark, d: churn_sampling.stratified_split(_features_written(spark, d), seed=7),
     "class_weights": lambda spark, d: churn_sampling.class_weights(_train(spark, d)),
     "undersample_majority": lambda spark, d: churn_sampling.undersample_majority(_train(spark, d)),
+    "undersample_majority_seed7": lambda spark, d: churn_sampling.undersample_majority(_train(spark, d), seed=7),
     "standardize_features": lambda spark, d: churn_sampling.standardize_features(_features_written(spark, d)),
     "churn_logistic": lambda spark, d: churn_models.test_predictions(
         fitted_models(spark, d), (churn_models.LR_WEIGHTED, churn_models.LR_UNDERSAMPLED)
@@ -149,9 +177,22 @@ CHURN_JOBS: dict[str, Job] = {
     "roc_curve_and_auc": lambda spark, d: churn_metrics.roc_curve_and_auc(scored(spark, d)),
     "classification_metrics": lambda spark, d: churn_metrics.classification_metrics(scored(spark, d)),
     "model_comparison": lambda spark, d: churn_models.model_comparison(fitted_models(spark, d)),
+    "churn_test_rows": lambda spark, d: churn_checks.test_rows(fitted_models(spark, d)),
+    "churn_prediction_checks": lambda spark, d: churn_checks.prediction_checks(fitted_models(spark, d)),
+    "churn_logistic_optimum": lambda spark, d: churn_checks.logistic_optimum(fitted_models(spark, d)),
+    "churn_importance_checks": lambda spark, d: churn_checks.importance_checks(fitted_models(spark, d), spark),
+    "model_comparison_checks": lambda spark, d: churn_checks.comparison_checks(fitted_models(spark, d)),
+    "score_profile_checks": lambda spark, d: churn_checks.profile_checks(fitted_models(spark, d), _features(spark, d)),
     "score_profiles": lambda spark, d: churn_models.score_profiles(fitted_models(spark, d), _features(spark, d)),
 }
 
+#: Jobs that need the fitted models; the first of them fits all four.
+MODEL_JOBS = (
+    "churn_logistic", "churn_boosted_trees", "churn_feature_importance", "model_comparison", "score_profiles",
+    "churn_test_rows", "churn_prediction_checks", "churn_logistic_optimum", "churn_importance_checks",
+    "model_comparison_checks", "score_profile_checks",
+)
+
 INGEST_JOBS: dict[str, Job] = {
     "csv_ingest": csv_ingest,
     "csv_ingest_payments": lambda spark, d: csv_source.read_payments(spark, export(spark, d, "payments")),
@@ -166,6 +207,7 @@ INGEST_JOBS: dict[str, Job] = {
 def queries() -> dict[str, Job]:
     jobs: dict[str, Job] = dict(INGEST_JOBS)
     jobs.update({name: _on_views(fn) for name, fn in VIEW_JOBS.items()})
+    jobs.update(RFM_JOBS)
     jobs.update(CHURN_JOBS)
     return jobs
 

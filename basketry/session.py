@@ -7,24 +7,29 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "basketry") -> SparkSession:
-    """A local session with the settings the jobs assume (UTC, AQE with skew-join
-    splitting). On a cluster, size ``spark.sql.shuffle.partitions`` (or rely on
-    AQE's ``advisoryPartitionSizeInBytes``) and ``spark.sql.files.maxPartitionBytes``
-    to the data, and name a shared ``spark.checkpoint.dir``."""
-    spark = (
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None, app: str = "basketry") -> SparkSession:
+    """A session with the settings the jobs assume (UTC, AQE with skew-join splitting).
+
+    On a local master ``spark.sql.shuffle.partitions`` defaults to 8. On a cluster it is
+    left as configured: set it to the data (AQE merges small partitions but never makes
+    more than that), likewise ``spark.sql.files.maxPartitionBytes``, and name a shared
+    ``spark.checkpoint.dir``."""
+    builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if master.startswith("local"):
+        builder = builder.config("spark.driver.memory", "8g")
+        shuffle_partitions = shuffle_partitions or 8
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from basketry.plans import registry
 
 from .conftest import SMALL
 
@@ -38,12 +39,12 @@ def duck():
     return con
 
 
-ORACLE = entry.oracle_sql()
+ORACLE = registry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, SMALL)
+    df = registry.queries()[name](spark, SMALL)
     res = duck.execute(ORACLE[name])
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
@@ -54,7 +55,7 @@ def test_matches_oracle(spark, duck, name):
 
 
 def test_every_job_registered_with_survey_key():
-    keys = set(entry.queries())
+    keys = set(registry.queries())
     survey = {
         "csv_ingest", "parse_order_timestamps", "kpi_summary", "late_rate_orders", "monthly_order_trend",
         "peak_and_growth", "month_over_month", "yoy_monthly", "yoy_pivot", "status_breakdown",

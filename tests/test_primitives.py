@@ -11,6 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.functions.position import row_positions, running_sums
+from basketry.functions.numeric import erfc, round_half_up
+from basketry.functions.sampling import SAMPLE, SPLIT, seeded_mix
+from basketry.operators.churn.sampling import undersample_majority
 from basketry.functions.quantiles import exact_quantiles, inner_edges, quantile_edges, quantile_score
 from basketry.functions.ranks import u_statistic
 from basketry.operators.ranktest import mann_whitney_from_values
@@ -132,3 +135,48 @@ def test_percentile_method_agrees_with_exact(spark):
     exact = quantile_edges_multi(df, ["a", "b"], method="exact").first()
     builtin = quantile_edges_multi(df, ["a", "b"], method="percentile").first()
     assert exact["a_edges"] == builtin["a_edges"] and exact["b_edges"] == builtin["b_edges"]
+
+
+def test_all_equal_values_have_p_value_one(spark):
+    df = spark.createDataFrame([("x", 3.0)] * 5 + [("y", 3.0)] * 4 + [("y", None)], "g string, v double")
+    for bounded in (True, False):
+        r = mann_whitney_from_values(df, "g", "v", "x", "y", with_p_value=True, bounded_domain=bounded).first()
+        assert (r.n1, r.n2, r.u_stat, r.z_score, r.p_value, r.null_values_dropped) == (5, 4, 10.0, None, 1.0, 1)
+
+
+def test_erfc_matches_the_library(spark):
+    xs = [-8.0, -2.5, -0.7, -0.5, -0.3, -1e-9, 0.0, 1e-12, 0.2, 0.499, 0.5, 0.9, 2.0, 5.0, 12.0, 26.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("e")).collect()
+    for r in got:
+        assert math.isclose(r.e, math.erfc(r.x), rel_tol=1e-13), (r.x, r.e, math.erfc(r.x))
+
+
+def test_rounding_is_symmetric(spark):
+    xs = [1.005, -1.005, 2.5, -2.5, -0.004, 0.0, -1.25]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", round_half_up("x", 1).alias("r")).collect()
+    for r in got:
+        assert r.r == math.copysign(math.floor(abs(r.x) * 10 + 0.5) / 10, r.x) and str(r.r) != "-0.0"
+
+
+def _draw(spark, seed, purpose, n=2000, k=300):
+    df = spark.range(n).withColumnRenamed("id", "i")
+    return {r.i for r in df.orderBy(seeded_mix(df, "i", seed, purpose), "i").limit(k).collect()}
+
+
+def test_seeds_and_purposes_give_unrelated_draws(spark):
+    base = _draw(spark, 42, SAMPLE)
+    assert base == _draw(spark, 42, SAMPLE)
+    for other in (_draw(spark, 43, SAMPLE), _draw(spark, 1000, SAMPLE), _draw(spark, 42, SPLIT)):
+        assert 20 < len(base & other) < 80  # 45 expected of 300
+
+
+def test_seeded_mix_is_even_and_one_to_one(spark):
+    df = spark.range(1 << 16).withColumnRenamed("id", "i")
+    keys = df.select(seeded_mix(df, "i", 5, SPLIT).alias("k"))
+    row = keys.agg(F.count_distinct("k").alias("n"), F.avg(F.col("k") / 2.0**31).alias("m")).first()
+    assert row.n == 1 << 16 and abs(row.m - 0.5) < 0.01
+
+
+def test_undersampling_one_class_gives_nothing(spark):
+    df = spark.createDataFrame([(i, 0) for i in range(10)], "customer_unique_id bigint, label bigint")
+    assert undersample_majority(df).count() == 0
