@@ -129,9 +129,9 @@ def _profile_rows(threshold: float, size: int):
 _STEP = "path bigint, parent bigint, held bigint, node binary, n int"
 
 
-def _step_rows(fanout: float):
-    """From (node, n, sample, paths: (path, held)) to the chosen branches of each path."""
-    limit = _below(fanout / _SAMPLE)
+def _step_rows(fanout: float, threshold: float):
+    """From (node, n, sample, paths: (path, held)) to the chosen branches of each path. A
+    shingle's chance, being in the sample included, is fanout / (threshold * n)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +141,7 @@ def _step_rows(fanout: float):
                 s = np.array(sample, np.int64).view(np.uint64)
                 p = np.array([x["path"] for x in paths], np.int64).view(np.uint64)
                 child = _mix(_mix(p)[:, None] + s[None, :])
-                at, which = np.nonzero(_mix(child + _M1) <= limit)
+                at, which = np.nonzero(_mix(child + _M1) <= _below(fanout / min(_SAMPLE, threshold * n)))
                 out[0].append(child[at, which].view(np.int64))
                 out[1].append(p.view(np.int64)[at])
                 out[2].append(np.array([x["held"] for x in paths], np.int64)[at])
@@ -339,7 +339,7 @@ def jaccard_join(
     found: list[DataFrame] = []
     wide = None  # buckets that are being split
     for depth in range(1, max_depth + 1):
-        steps = work.table(walking.mapInArrow(_step_rows(fanout), _STEP), f"steps-{depth}")
+        steps = work.table(walking.mapInArrow(_step_rows(fanout, threshold), _STEP), f"steps-{depth}")
         counts = steps.groupBy("path").agg(F.count("*").alias("count")).filter("count > 1")
         met = work.table(steps.join(counts, "path"), f"met-{depth}")
         if wide is not None:  # a bucket whose branches hold as many nodes is not split

@@ -211,14 +211,16 @@ def _scan(index: BenchmarkIndex, texts: list[str | None], memo: dict[str, int])
             d = int(np.searchsorted(ends, middle, side="right"))
             first = int(ends[d]) - len(lists[d])
             seen.add((d, j, lo + start - first))
-    best: dict[tuple[int, int], tuple[float, int]] = {}
+    best: dict[tuple[int, int], tuple[float, float, int]] = {}
     for d, j, start in seen:
         n = len(index.words[j])
         margin = max(1, n // 8)
         s = index.similarity(j, lists[d][max(0, start - margin) : max(0, start + n + margin)])
         if s >= index.threshold:
-            best[d, j] = max(best.get((d, j), (0.0, 0)), (s, -start))
-    for (d, j), (s, start) in sorted(best.items()):
+            # of equal alignments with the margin the one that is best without it
+            tight = index.similarity(j, lists[d][max(0, start) : max(0, start + n)])
+            best[d, j] = max(best.get((d, j), (0.0, 0.0, 0)), (s, tight, -start))
+    for (d, j), (s, _, start) in sorted(best.items()):
         spans = [m.span() for m in _WORD.finditer(texts[d].lower())]
         a, b = max(0, -start), min(len(spans), len(index.words[j]) - start)
         exact = len(texts[d].lower()) == len(texts[d])

@@ -84,7 +84,7 @@ def _variants(n: Column, line: Column, side: Column, longer: Column) -> Column:
     none = F.array().cast("array<struct<v:bigint,role:int>>")
     cuts = F.when(last >= first, F.transform(F.sequence(first, last), cut)).otherwise(none)
     itself = F.struct(F.xxhash64(F.lit("line"), line).alias("v"), F.lit(WHOLE).alias("role"))
-    return F.array_distinct(F.concat(cuts, F.when(longer == 0, F.array(itself)).otherwise(none)))
+    return F.concat(cuts, F.when(longer == 0, F.array(itself)).otherwise(none))
 
 
 def duplicate_lines(

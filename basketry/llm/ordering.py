@@ -24,7 +24,8 @@ def key_buckets(df: DataFrame, key: str, name: str, rows: int = 2000) -> DataFra
     cut = Bucketizer(
         splits=[-math.inf, *(edges or [0.0]), math.inf], inputCol="_x", outputCol=name, handleInvalid="keep"
     ).transform(cast)
-    return cut.withColumn(name, F.col(name).cast("int")).drop("_x")
+    # a null key has no bucket of its own yet
+    return cut.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(len(edges or [0.0]) + 1))).drop("_x")
 
 
 def with_next(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:

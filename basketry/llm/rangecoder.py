@@ -274,25 +274,30 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
     span = np.full(lanes, 1 << 60, np.int64)
     out = np.empty((n, lanes), np.int64)
     most = (1 << _TOTAL) - 1
-    for t in range(n):
-        model.predict()
-        unit = span >> _TOTAL
-        x = model.find(np.minimum(code // unit, most))
-        cum, freq = model.interval(x)
-        code -= unit * cum
-        span = unit * freq
-        due = span < (1 << _TOP)
-        shift = due * _DIGIT
-        code = (code << shift) | flat.take(pos * lanes + model.lane, mode="clip") * due
-        span <<= shift
-        pos += due
-        while len(lane := np.flatnonzero(span < (1 << _TOP))):
-            at = pos[lane]
-            code[lane] = (code[lane] << _DIGIT) | flat.take(at * lanes + lane, mode="clip")
-            span[lane] <<= _DIGIT
-            pos[lane] = at + 1
-        model.update(x)
-        out[t] = x
+    try:
+        for t in range(n):
+            model.predict()
+            unit = span >> _TOTAL
+            x = model.find(np.minimum(code // unit, most))
+            cum, freq = model.interval(x)
+            code -= unit * cum
+            span = unit * freq
+            due = span < (1 << _TOP)
+            shift = due * _DIGIT
+            code = (code << shift) | flat.take(pos * lanes + model.lane, mode="clip") * due
+            span <<= shift
+            pos += due
+            while len(lane := np.flatnonzero(span < (1 << _TOP))):
+                at = pos[lane]
+                code[lane] = (code[lane] << _DIGIT) | flat.take(at * lanes + lane, mode="clip")
+                span[lane] <<= _DIGIT
+                pos[lane] = at + 1
+                if int(at.max()) > len(digits):
+                    raise ValueError("no digits left")
+            model.update(x)
+            out[t] = x
+    except (IndexError, FloatingPointError, ValueError) as e:  # places that no coder leads to
+        raise ValueError("the block is damaged") from e
     ids = _swap(np.ascontiguousarray(out.T)).astype("<u4")
     for b, p in enumerate(parsed):
         if zlib.crc32(ids[b].tobytes()) != p[1]:
