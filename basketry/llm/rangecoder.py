@@ -186,13 +186,17 @@ class _Model:
         self.mixed, self.prev = self.prev * 0x85EBCA77, x
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """Code equally long blocks: ``ids`` is (blocks, length)."""
+def encode_blocks(ids: np.ndarray, lengths: np.ndarray | None = None) -> list[bytes]:
+    """Code blocks: ``ids`` is (blocks, length); ``lengths`` gives the ids that count of
+    each, if not all do."""
     lanes, n = ids.shape
     if ids.size and int(ids.max()) > MAX_ID:
         raise ValueError(f"ids above {MAX_ID} can't be coded")
+    lengths = np.full(lanes, n) if lengths is None else np.asarray(lengths)
+    ends = {int(t): np.flatnonzero(lengths == t) for t in np.unique(lengths)}
+    going = np.ones(lanes, bool)
     model = _Model(lanes)
-    columns = _swap(np.ascontiguousarray(ids.T).astype(np.int64))
+    columns = _swap(np.ascontiguousarray(ids.T).astype(np.uint16))
     low, span = np.zeros(lanes, np.int64), np.full(lanes, 1 << 60, np.int64)
     digits = np.zeros((n + 64, lanes), np.uint16)
     pos = np.zeros(lanes, np.int64)
@@ -210,7 +214,15 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         low[lane] = (held & _MASK) << _DIGIT
         pos[lane] = at + 1
 
+    def finish(lane: np.ndarray) -> None:
+        for _ in range(5):
+            put(lane)
+        going[lane] = False
+
+    if 0 in ends:
+        finish(ends[0])
     for t, x in enumerate(columns):
+        x = x.astype(np.int64)
         model.predict()
         cum, freq = model.interval(x)
         unit = span >> _TOTAL
@@ -221,16 +233,20 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             room(int(pos.max()) + 128)
         digits.ravel()[pos * lanes + model.lane] = low >> _TOP
         due = span < (1 << _TOP)
+        if not going.all():
+            due &= going
         shift = due * _DIGIT
         low = np.where(due, low & _MASK, low) << shift
         span <<= shift
         pos += due
-        while len(lane := np.flatnonzero(span < (1 << _TOP))):
+        while len(lane := np.flatnonzero((span < (1 << _TOP)) & going)):
             put(lane)
             span[lane] <<= _DIGIT
         model.update(x)
-    for _ in range(5):
-        put(model.lane)
+        if t + 1 in ends:
+            finish(ends[t + 1])
+        if not going.all():  # a lane at its end goes on without effect
+            low[~going], span[~going] = 0, 1 << 60
     for j in range(len(digits) - 1, 0, -1):
         digits[j - 1] += digits[j] >> _DIGIT
     digits &= (1 << _DIGIT) - 1
@@ -241,7 +257,8 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
             d = np.append(d, np.uint32(0))
         pair = (d[0::2] << 12) | d[1::2]
         body = np.column_stack([pair >> 16, pair >> 8, pair]).astype(np.uint8).tobytes()
-        out.append(_HEAD.pack(MAGIC, n, zlib.crc32(ids[b].astype("<u4").tobytes()), int(pos[b])) + body)
+        own = ids[b, : lengths[b]]
+        out.append(_HEAD.pack(MAGIC, len(own), zlib.crc32(own.astype("<u4").tobytes()), int(pos[b])) + body)
     return out
 
 
@@ -256,12 +273,13 @@ def _digits(block: bytes) -> tuple[int, int, np.ndarray]:
     return n, crc, np.column_stack([pair >> 12, pair & 4095]).ravel()[:count]
 
 
-def decode_blocks(blocks: list[bytes]) -> np.ndarray:
-    """The ids of equally long blocks, (blocks, length); raises if a checksum differs."""
+def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
+    """The ids of each block; raises if a checksum differs."""
+    if not blocks:
+        return []
     parsed = [_digits(b) for b in blocks]
-    lanes, n = len(parsed), parsed[0][0]
-    if any(p[0] != n for p in parsed):
-        raise ValueError("blocks of different lengths")
+    lanes, n = len(parsed), max(p[0] for p in parsed)
+    # digits past a block's end read as zeros
     digits = np.zeros((max(len(p[2]) for p in parsed) + 8, lanes), np.uint16)
     for b, p in enumerate(parsed):
         digits[: len(p[2]), b] = p[2]
@@ -272,7 +290,7 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
         code = (code << _DIGIT) | digits[j]
     pos = np.full(lanes, 5, np.int64)
     span = np.full(lanes, 1 << 60, np.int64)
-    out = np.empty((n, lanes), np.int64)
+    out = np.empty((n, lanes), np.uint16)
     most = (1 << _TOTAL) - 1
     try:
         for t in range(n):
@@ -292,15 +310,17 @@ def decode_blocks(blocks: list[bytes]) -> np.ndarray:
                 code[lane] = (code[lane] << _DIGIT) | flat.take(at * lanes + lane, mode="clip")
                 span[lane] <<= _DIGIT
                 pos[lane] = at + 1
-                if int(at.max()) > len(digits):
+                if int(at.max()) > 3 * n + len(digits):
                     raise ValueError("no digits left")
             model.update(x)
             out[t] = x
     except (IndexError, FloatingPointError, ValueError) as e:  # places that no coder leads to
         raise ValueError("the block is damaged") from e
-    ids = _swap(np.ascontiguousarray(out.T)).astype("<u4")
-    for b, p in enumerate(parsed):
-        if zlib.crc32(ids[b].tobytes()) != p[1]:
+    rows = _swap(np.ascontiguousarray(out.T)).astype("<u4")
+    # a block shorter than the others has gone on without meaning
+    ids = [rows[b, : p[0]] for b, p in enumerate(parsed)]
+    for own, p in zip(ids, parsed, strict=True):
+        if zlib.crc32(own.tobytes()) != p[1]:
             raise ValueError("checksum differs: the block is damaged")
     return ids
 

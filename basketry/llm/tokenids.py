@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from . import rangecoder
 
 BLOCK_IDS = 4096
-LANES = 2048
-_MEMO = 200_000
+LANES = 1024
+_MEMO = 400_000
 _ODD_SPACE = re.compile(r" \s|\s ")
 
 BLOCK_SCHEMA = (
@@ -59,27 +59,46 @@ class DocumentTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        # ids whose token begins with a space: each begins a word of a text cut at its spaces
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
         self.memo: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def __call__(self, text: str, end_id: int) -> np.ndarray:
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of `` word`` in the memory, many words in one text."""
+        for lo in range(0, len(words), 5000):
+            part = words[lo : lo + 5000]
+            ids = self._encode(" " + " ".join(part))
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) == len(part) and cuts[0] == 0:
+                raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+                self.memo.update((w, raw[a:b]) for w, a, b in zip(part, (4 * cuts).tolist(), ends, strict=True))
+            else:  # a word that holds a space token of its own
+                self.memo.update((w, self._encode(f" {w}").tobytes()) for w in part)
+
+    def __call__(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text, ``end_id`` after them."""
         end = np.array([end_id], "<u4").tobytes()
-        if not text:
-            return np.frombuffer(end, "<u4")
-        if _ODD_SPACE.search(text) or text[0] == " " or text[-1] == " ":
-            return np.frombuffer(self._encode([text])[0] + end, "<u4")
-        first, *rest = text.split(" ")
-        memo = self.memo
-        new = [w for w in set(rest) if w not in memo]
-        if new:
-            if len(memo) + len(new) > _MEMO:
-                memo.clear()
-                new = list(set(rest))
-            memo.update(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-        return np.frombuffer(b"".join([self._encode([first])[0], *map(memo.__getitem__, rest), end]), "<u4")
+        for lo in range(0, len(texts), 200):
+            part = texts[lo : lo + 200]
+            cut = [None if not t or _ODD_SPACE.search(t) or t[0] == " " or t[-1] == " " else t.split(" ") for t in part]
+            words = {w for c in cut if c for w in c[1:]}
+            new = [w for w in words if w not in self.memo]
+            if len(self.memo) + len(new) > _MEMO:
+                self.memo.clear()
+                new = list(words)
+            self._learn(new)
+            known = self.memo.__getitem__
+            for text, c in zip(part, cut, strict=True):
+                if c is None:
+                    raw = self._encode(text).tobytes() if text else b""
+                else:
+                    raw = b"".join([self._encode(c[0]).tobytes(), *map(known, c[1:])])
+                yield np.frombuffer(raw + end, "<u4")
 
 
 def _blocks(path: str, end_id: int, block_ids: int):
@@ -94,13 +113,14 @@ def _blocks(path: str, end_id: int, block_ids: int):
             nonlocal held, n_held, block, coded, spans
             ids = np.concatenate(held) if held else np.zeros(0, "<u4")
             full = len(ids) // block_ids
-            payloads = rangecoder.encode_blocks(ids[: full * block_ids].reshape(full, block_ids)) if full else []
             lengths = [block_ids] * full
             rest = ids[full * block_ids :]
             if last and len(rest):
-                payloads += rangecoder.encode_blocks(rest[None, :])
                 lengths.append(len(rest))
+                ids = np.concatenate([ids, np.zeros(block_ids - len(rest), "<u4")])
                 rest = rest[:0]
+            rows = len(lengths)
+            payloads = rangecoder.encode_blocks(ids[: rows * block_ids].reshape(rows, block_ids), lengths) if rows else []
             out = {c: [] for c in ("block", "at", "n", "keys", "counts", "row", "piece", "open")}
             at = 0
             for n in lengths:
@@ -142,8 +162,8 @@ def _blocks(path: str, end_id: int, block_ids: int):
             )
 
         for batch in batches:
-            for key, text in zip(batch["_key"].to_pylist(), batch["_text"].to_pylist(), strict=True):
-                ids = tokenize(text or "", end_id)
+            texts = [t or "" for t in batch["_text"].to_pylist()]
+            for key, ids in zip(batch["_key"].to_pylist(), tokenize(texts, end_id), strict=True):
                 spans.append([key, row, 0, len(ids), len(ids)])
                 row += 1
                 held.append(ids)
@@ -176,22 +196,18 @@ def write_tokens(
     blocks.write.option("compression", "snappy").parquet(path)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, dict[int, np.ndarray]]]:
-    """Each batch in slices of at most LANES blocks, with the ids of its blocks by place."""
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Each batch in slices of at most LANES blocks, with the ids of its blocks."""
     for whole in batches:
         for lo in range(0, whole.num_rows, LANES):
             batch = whole.slice(lo, LANES)
-            payloads, lengths = batch["payload"].to_pylist(), np.array(batch["n"].to_pylist())
-            ids: dict[int, np.ndarray] = {}
-            for n in np.unique(lengths):
-                at = np.flatnonzero(lengths == n)
-                ids.update(zip(at.tolist(), rangecoder.decode_blocks([payloads[i] for i in at]), strict=True))
+            ids = rangecoder.decode_blocks(batch["payload"].to_pylist())
             yield batch, ids
 
 
 def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, ids in _decoded(batches):
-        column = pa.array([ids[i] for i in range(batch.num_rows)], pa.list_(pa.int64()))
+        column = pa.array(ids, pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch[c] for c in ("part", "block", "keys", "counts")] + [column], ["part", "block", "keys", "counts", "ids"])
 
 

@@ -12,7 +12,7 @@ from basketry.llm.ordering import key_buckets, with_next
 
 
 def paragraphs(text):
-    return Counter(re.split(r"\n|(?<=[.!?]) ", text or ""))
+    return Counter(re.split(r"\n|(?<=[.!?]) (?=[A-DÀ-È])", text or ""))
 
 
 def likeness(a, b):
