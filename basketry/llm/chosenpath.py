@@ -43,7 +43,7 @@ from ..functions.workspace import Workspace, session_workspace
 from .components import components
 
 _WORD = re.compile(r"\w+")
-_MEMO = 300_000
+_MEMO = 150_000
 _SAMPLE = 32  # shingles kept for choosing paths, times 1 / threshold
 _BINS = 128
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -102,7 +102,7 @@ def _sketch(s: np.ndarray) -> bytes:
 def _profile_rows(threshold: float, size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             nodes, counts, samples, sketches = [], [], [], []
             for text in batch["_text"].to_pylist():
                 node, s = shingler(text)

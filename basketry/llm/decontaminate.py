@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 _WORD = re.compile(r"\w+")
 _STRETCH = 1 << 16  # words at a time
-_MEMO = 300_000
+_MEMO = 150_000
 HITS = T.ArrayType(
     T.StructType(
         [

@@ -33,7 +33,7 @@ from .labelled import labelled_sample
 _WORD = re.compile(r"\w+")
 _SYMBOLS = str.maketrans("", "", " \n\t.,;:'\"-()")
 N_STATS = 18
-_MEMO = 200_000
+_MEMO = 120_000
 
 
 def structure(text: str, words: list[str], counts: Counter) -> list[float]:

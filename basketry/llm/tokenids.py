@@ -39,7 +39,7 @@ from . import rangecoder
 
 BLOCK_IDS = 4096
 LANES = 1024
-_MEMO = 400_000
+_MEMO = 200_000
 _ODD_SPACE = re.compile(r" \s|\s ")
 
 BLOCK_SCHEMA = (

@@ -39,7 +39,7 @@ from .labelled import labelled_sample
 _WORD = re.compile(r"\w+")
 _SAVED, _REST = 8, (5, 7, 9)  # classes: bytes saved, and bytes that the toxic dictionary leaves
 _CLASSES = _SAVED * (len(_REST) + 1)
-_MEMO = 200_000  # remembered windows per task
+_MEMO = 120_000  # remembered windows per task
 
 
 def _params() -> zstandard.ZstdCompressionParameters:
@@ -219,7 +219,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer() if len(model.weights) > 1 else None
         base = 1 / (1 + math.exp(-model.weights[0]))
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             texts = batch[text].to_pylist()
             s = [scorer.score(t or "") if scorer else base for t in texts]
             yield batch.append_column("toxicity", pa.array(s, pa.float64()))
