@@ -10,30 +10,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The source files write timestamps day-first with a two-digit year,
-# e.g. "07-08-18 15:27". The lenient single-letter pattern also accepts "7-8-18 9:05".
-SOURCE_TIMESTAMP_PATTERN = "d-M-yy H:mm"
-# Two-digit years 69..99 belong to the 1900s (the pandas / C strptime pivot);
-# Spark's "yy" maps every two-digit year into 2000..2099.
-TWO_DIGIT_YEAR_PIVOT = 2069
+# e.g. "07-08-18 15:27"; one-digit days, months and hours ("7-8-18 9:05") are accepted.
+DAY_FIRST = r"^\d{1,2}-\d{1,2}-\d{2} \d{1,2}:\d{2}$"
+# Two-digit years 69..99 belong to the 1900s (the pandas / C strptime pivot).
+TWO_DIGIT_YEAR_PIVOT = 69
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_day_first(text, pattern: str = SOURCE_TIMESTAMP_PATTERN) -> Column:
+def parse_day_first(text) -> Column:
     """Parse day-first text to ``timestamp_ntz``; unparsable text becomes NULL.
 
-    ``try_to_timestamp`` (which never raises under ANSI mode) only decides
-    whether the text parses; the value comes from ``to_timestamp_ntz``, which
-    reads the wall clock without any session time zone (no DST shifts). The
-    CASE evaluates the strict parser only for text that parses.
+    The text is cut into its five numbers once, and ``try_make_timestamp_ntz`` puts them
+    together without any session time zone (no DST shifts); it gives NULL for a date or
+    time that doesn't exist.
     """
-    fmt = F.lit(pattern)
-    valid = F.try_to_timestamp(_col(text), fmt).isNotNull()
-    ts = F.when(valid, F.to_timestamp_ntz(_col(text), fmt))
-    century_back = ts - F.make_ym_interval(F.lit(100), F.lit(0))
-    return F.when(F.year(ts) >= TWO_DIGIT_YEAR_PIVOT, century_back).otherwise(ts)
+    c = _col(text)
+    year = lambda p: F.when(p[2] >= TWO_DIGIT_YEAR_PIVOT, p[2] + 1900).otherwise(p[2] + 2000)
+    made = F.transform(
+        F.array(F.split(c, "[- :]").cast("array<int>")),
+        lambda p: F.try_make_timestamp_ntz(year(p), p[1], p[0], p[3], p[4], F.lit(0)),
+    )[0]
+    return F.when(F.rlike(c, F.lit(DAY_FIRST)), made)
 
 
 def calendar_days(end, start) -> Column:
