@@ -110,9 +110,9 @@ class _Model:
         cum = cum * self.a0 + self.m1 * (self.p1 < x) + self.m2 * (self.p2 < x)
         return cum, freq * self.a0 + self.m1 * self.hit1 + self.m2 * self.hit2
 
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The symbols whose interval holds ``v``."""
-        got, out = np.zeros(len(v), bool), np.zeros(len(v), np.int64)
+    def find(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbol, cumulative, frequency) of the intervals that hold ``v``."""
+        held: list[tuple[np.ndarray, ...]] = []
         below = np.zeros(len(v), np.int64)
         for p, m, q, n in ((self.p1, self.m1, self.p2, self.m2), (self.p2, self.m2, self.p1, self.m1)):
             at = np.flatnonzero(m)  # predictions without weight have no interval of their own
@@ -121,8 +121,7 @@ class _Model:
             start, end = self._at(at, p[at], q[at], m[at], n[at])
             va = v[at]
             hit = (va >= start) & (va < end)
-            got[at] |= hit
-            out[at[hit]] = p[at[hit]]
+            held.append((at[hit], p[at[hit]], start[hit], end[hit] - start[hit]))
             below[at] += m[at] * (va >= end)
         v = (v - below) // self.a0
         # order 0: group, then half byte, then high byte
@@ -138,12 +137,19 @@ class _Model:
         at = self.lane17 + i
         rows = rows.ravel()
         i0 = rows.take(at).astype(np.int64)
-        f = rows.take(at + 1) - i0
+        gi = gf * (rows.take(at + 1) - i0)
         lo = (g << 4) | i
-        h = (rest - ((gf * i0) << _HI)) // (gf * f)
+        before = (gf * i0) << _HI
+        h = (rest - before) // gi
         last = self.last.take(self.lane256 + lo)
         hi = np.where(h <= last, h, np.maximum(h - 256, last))
-        return np.where(got, out, (lo << 8) | hi)
+        x = (lo << 8) | hi
+        cum = (((g0 << (_F + _HI)) + before) + gi * (hi + ((hi > last) * 256))) * self.a0 + below
+        freq = gi * (1 + ((hi == last) * 256)) * self.a0
+        for at, symbol, start, size in held:
+            x[at], cum[at], freq[at] = symbol, start, size
+        self.hit1, self.hit2 = self.p1 == x, self.p2 == x
+        return x, cum, freq
 
     def _at(self, at, p, q, m, n) -> tuple[np.ndarray, np.ndarray]:
         """The mixture's interval of the predicted symbols ``p`` of the lanes ``at``."""
@@ -296,8 +302,7 @@ def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
         for t in range(n):
             model.predict()
             unit = span >> _TOTAL
-            x = model.find(np.minimum(code // unit, most))
-            cum, freq = model.interval(x)
+            x, cum, freq = model.find(np.minimum(code // unit, most))
             code -= unit * cum
             span = unit * freq
             due = span < (1 << _TOP)
