@@ -75,5 +75,36 @@ def _op8() -> str:
     FROM judged GROUP BY doc_id"""
 
 
+def _op3() -> str:
+    return r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS words FROM documents),
+    reps AS (SELECT array_to_string(words, ' ') AS body, any_value(words) AS words, min(doc_id) AS copy_of FROM w GROUP BY 1),
+    sh AS (
+        SELECT DISTINCT copy_of, array_to_string(words[i : i + 4], ' ') AS s
+        FROM (SELECT copy_of, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM reps WHERE len(words) > 0)),
+    sizes AS (SELECT copy_of, count(*) AS n FROM sh GROUP BY 1),
+    common AS (SELECT a.copy_of AS a, b.copy_of AS b, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.copy_of <> b.copy_of GROUP BY 1, 2),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.copy_of = a JOIN sizes y ON y.copy_of = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+    reach AS (SELECT copy_of AS a, copy_of AS b FROM reps UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    classes AS (SELECT a AS copy_of, min(b) AS class_id FROM reach GROUP BY 1),
+    degrees AS (SELECT a AS copy_of, count(*) AS n FROM links GROUP BY 1)
+    SELECT w.doc_id, c.class_id, c.copy_of, coalesce(d.n, 0) AS n_links
+    FROM w JOIN reps ON array_to_string(w.words, ' ') = reps.body JOIN classes c USING (copy_of) LEFT JOIN degrees d USING (copy_of)"""
+
+
+def _op10() -> str:
+    # the given pages keep their article in one element; its blocks are h1 and p
+    return r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS body FROM pages),
+    blocks AS (
+        SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1)>|<br>'), lambda x:
+            trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'),
+                '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM a)
+    SELECT page_id, url, text, length(text) AS n_chars
+    FROM (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM blocks)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": _op7(), "op8_line_dedup": _op8(), "op9_secret_scan": _op9()}
+    return {"op3_jaccard_join": _op3(), "op10_main_text": _op10(), "op7_mixing": _op7(), "op8_line_dedup": _op8(), "op9_secret_scan": _op9()}
