@@ -66,25 +66,20 @@ def _half_keys(n: Column, line: Column) -> Column:
 WHOLE, INSERTED, REPLACED = 0, 1, 2
 
 
-def _variants(n: Column, line: Column, side: Column, longer: Column) -> Column:
-    """array<struct<v, role>>: the line itself (as the shorter of a pair) or with one
-    character deleted, hashed."""
+def _cuts(n: Column, line: Column, side: Column, longer: Column) -> Column:
+    """array<bigint>: the line with one character deleted, hashed, for the half where the
+    edit must lie. A replacement leaves the same place in both lines, an insertion any."""
     q = F.floor((n - longer) / 2).cast("int")
     # a shared first half leaves the edit in the rest, a shared last half before it
     first = F.when(side == 0, q).otherwise(0)
     last = F.when(side == 0, n - 1).otherwise(n - q - 1)
-
-    def cut(i: Column) -> Column:
-        gone = F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n))
-        # an insertion can be at any place; a replacement leaves the same place in both lines
-        return F.when(
-            longer == 1, F.struct(F.xxhash64(F.lit("line"), gone).alias("v"), F.lit(INSERTED).alias("role"))
-        ).otherwise(F.struct(F.xxhash64(F.lit("cut"), i, gone).alias("v"), F.lit(REPLACED).alias("role")))
-
-    none = F.array().cast("array<struct<v:bigint,role:int>>")
-    cuts = F.when(last >= first, F.transform(F.sequence(first, last), cut)).otherwise(none)
-    itself = F.struct(F.xxhash64(F.lit("line"), line).alias("v"), F.lit(WHOLE).alias("role"))
-    return F.concat(cuts, F.when(longer == 0, F.array(itself)).otherwise(none))
+    rest = lambda i: F.substring(line, i + 2, n)
+    start = lambda i: F.substring(line, F.lit(1), i)
+    places = F.sequence(first, last)
+    inserted = F.transform(places, lambda i: F.xxhash64(F.lit("line"), F.concat(start(i), rest(i))))
+    replaced = F.transform(places, lambda i: F.xxhash64(F.lit("cut"), i, start(i), rest(i)))
+    none = F.array().cast("array<bigint>")
+    return F.when(last < first, none).when(longer == 1, inserted).otherwise(replaced)
 
 
 def duplicate_lines(
@@ -130,10 +125,13 @@ def _near_lines(lines: DataFrame, work: Workspace, max_broadcast: int) -> DataFr
     )
     texts = work.table(texts, "half-match-lines")
 
-    cut = texts.join(halves, "h").select(
-        "h", "h2", "first", F.explode(_variants(n, F.col("line"), F.col("side"), F.col("longer"))).alias("x")
+    found = texts.join(halves, "h")
+    role = F.when(F.col("longer") == 1, INSERTED).otherwise(REPLACED).alias("role")
+    cuts = found.select("h", "h2", "first", F.explode(_cuts(n, F.col("line"), F.col("side"), F.col("longer"))).alias("v"), role)
+    whole = found.filter("longer = 0").select(
+        "h", "h2", "first", F.xxhash64(F.lit("line"), "line").alias("v"), F.lit(WHOLE).alias("role")
     )
-    cut = work.table(cut.select("h", "h2", "first", "x.*").distinct(), "variants")
+    cut = work.table(cuts.unionByName(whole.distinct()), "variants")
     # the earliest line of each role; a line is compared with that of the role across from its own
     earliest = cut.groupBy("v", "role").agg(F.min(F.struct("first", "h", "h2")).alias("e"))
     across = F.when(F.col("role") == REPLACED, REPLACED).otherwise(1 - F.col("role"))
