@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workspace import session_workspace
+
 
 def crc_bucket(key: str, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus`` (a null key counts as empty text)."""
@@ -19,6 +21,7 @@ def labelled_sample(
 
     The keys are those with the smallest hash, so the draw is the same in every run.
     A key with several labels counts as its largest. Null keys and labels are left out.
+    The rows are written once, so that training reads the documents only for them.
     """
     rows = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1) & keep)
@@ -31,4 +34,5 @@ def labelled_sample(
     ids = drawn[0].unionByName(drawn[1])
     # 2 * per_class rows at most
     body = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return body.join(F.broadcast(ids), "_id").select("text", "y"), sizes
+    sample = body.join(F.broadcast(ids), "_id").select("text", "y")
+    return session_workspace(docs.sparkSession).table(sample, "labelled-sample"), sizes
