@@ -56,3 +56,12 @@ def test_roc_curve_ends_at_one_and_matches_auc(spark):
     assert pts[0] == (0.0, 0.0) and pts[-1] == (1.0, 1.0)
     area = sum((x2 - x1) * (y1 + y2) / 2 for (x1, y1), (x2, y2) in zip(pts, pts[1:]))
     assert abs(area - metrics.auc(df).first().auc) < 1e-9
+
+
+def test_a_missing_feature_does_not_stop_training(spark):
+    month = F.when(F.col("customer_unique_id") % 50 == 3, None).otherwise(F.col("purchase_month"))
+    rows = _synthetic(spark, n=200).withColumn("purchase_month", month)
+    cm = M.fit_churn_models(rows, gbt_rounds=2)
+    held = cm.test.count()
+    assert M.test_predictions(cm).groupBy("model").count().select("count").distinct().collect()[0][0] == held > 0
+    assert M.score_profiles(cm, rows).count() == 196
