@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.workspace import Workspace, session_workspace
+from .batches import bound_batches
 from .components import components
 
 _WORD = re.compile(r"\w+")
@@ -323,6 +324,7 @@ def jaccard_join(
     """
     spark = docs.sparkSession
     work = workspace or session_workspace(spark)
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     profile_schema = f"_key {docs.schema[key].dataType.simpleString()}, node binary, n int, sample array<bigint>, sketch binary"
     profiles = work.table(rows.mapInArrow(_profile_rows(threshold, size), profile_schema), "profiles")

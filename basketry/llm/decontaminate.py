@@ -37,6 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import bound_batches
+
 _WORD = re.compile(r"\w+")
 _STRETCH = 1 << 16  # words at a time
 _MEMO = 150_000
@@ -248,6 +250,7 @@ def scan_benchmark(
 ) -> DataFrame:
     """``docs`` with ``benchmark_hits``: array<struct<item_id, start, end, similarity>>, the
     items that a text holds, with the place of the passage in code points."""
+    bound_batches(docs.sparkSession)
     rows = docs.drop("benchmark_hits")
     items = _items(benchmark, item, item_text)
     size = items.agg(F.sum("n").alias("words"), F.count("*").alias("items")).first()

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .batches import bound_batches
+
 # Element groups of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
@@ -232,6 +234,7 @@ def main_text(page: str | None) -> str:
 
 def extract_main_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with ``main_text``: string, empty if the page has no content."""
+    bound_batches(pages.sparkSession)
     rows = pages.drop("main_text")
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

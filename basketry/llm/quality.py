@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from .batches import bound_batches
 from .labelled import labelled_sample
 
 _WORD = re.compile(r"\w+")
@@ -138,6 +139,7 @@ def train_quality(
     """Fit on at most ``max_docs_per_class`` labelled documents of each class among those
     that ``keep`` (a condition on ``labels``) admits, by Adam steps on mini-batches. The
     driver holds at most 2 * max_docs_per_class * n_hash features."""
+    bound_batches(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, label, keep, max_docs_per_class, key, text)
     width = n_hash + N_STATS
     n = sizes[0] + sizes[1]
@@ -193,6 +195,7 @@ def train_quality(
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """``docs`` with ``quality_score``: double from 0 to 1, higher for good text."""
+    bound_batches(docs.sparkSession)
     rows = docs.drop("quality_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # n_hash * (rank + 1) numbers
 

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
+from .batches import bound_batches
 
 BLOCK_IDS = 4096
 LANES = 1024
@@ -189,6 +190,7 @@ def write_tokens(
     """Write the coded blocks of all documents to ``path``, in ascending key order; or, not
     ``ordered``, in the order in which the rows come (a shuffled table stays shuffled, and
     nothing is exchanged)."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     if ordered:
         rows = rows.repartitionByRange("_key").sortWithinPartitions("_key", "_text")
@@ -251,6 +253,7 @@ def _with_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_index(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document, from the decoded blocks."""
+    bound_batches(spark)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     pieces = blocks.mapInArrow(_pieces, _PIECE)
     # a document within one block is complete; the pieces of the others meet here

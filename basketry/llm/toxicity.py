@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import bound_batches
 from .labelled import labelled_sample
 
 _WORD = re.compile(r"\w+")
 _SAVED, _REST = 8, (5, 7, 9)  # classes: bytes saved, and bytes that the toxic dictionary leaves
 _CLASSES = _SAVED * (len(_REST) + 1)
+EVIDENCE = 16.0  # least evidence for a marking word form
 _MEMO = 120_000  # remembered windows per task
 
 
@@ -117,7 +119,10 @@ def _marking_units(sample: DataFrame, n_toxic: int, n_ordinary: int, max_units:
         .filter(F.col("a") >= min_docs)
     )
     p, q = (F.col("a") + 0.5) / (n_toxic + 1), (F.col("b") + 0.5) / (n_ordinary + 1)
-    marked = df.filter(p > ratio * q).withColumn("w", F.col("a") * F.log(p / q))
+    both = (F.col("a") + F.col("b") + 0.5) / (n_toxic + n_ordinary + 1)
+    # likelihood ratio of two document frequencies against one: chance leaves it small
+    evidence = 2 * (F.col("a") * F.log(p / both) + F.col("b") * F.log(q / both))
+    marked = df.filter((p > ratio * q) & (evidence > EVIDENCE)).withColumn("w", F.col("a") * F.log(p / q))
     rows = marked.orderBy(F.desc("w"), "unit").limit(max_units).collect()  # max_units rows
     return [r["unit"] for r in rows]
 
@@ -172,6 +177,7 @@ def train_toxicity(
     """Fit on at most ``max_docs_per_class`` labelled documents of each class among those
     that ``keep`` (a condition on ``labels``) admits. At most ``max_windows`` windows of
     eight words and ``max_units`` marking segments reach the driver."""
+    bound_batches(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, label, keep, max_docs_per_class, key, text)
     n = sizes[0] + sizes[1]
     if not sizes[0] or not sizes[1]:
@@ -214,6 +220,7 @@ def _feature_rows(model: ToxicityModel):
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """``docs`` with ``toxicity``: double from 0 to 1, higher for toxic text."""
+    bound_batches(docs.sparkSession)
     rows = docs.drop("toxicity")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
