@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+
 from basketry.operators import delivery, overview, payments, retention
 from basketry.sources.fixtures import fixture_views
 
@@ -47,3 +49,12 @@ def test_clip_and_bins(spark):
     curve = retention.cumulative_return_curve(v, max_days=100).collect()
     assert max(r.days for r in curve) <= 100
     assert len(curve) == sum(1 for r in retention.return_gaps(v).collect() if r.days_to_return <= 100)
+
+
+def test_out_of_range_parameters_raise(views):
+    v = views(payments=[(1, "credit_card", 1, 5.0)])
+    for bad in ({"max_tier": 24}, {"min_tier": 0}, {"min_tier": 5, "max_tier": 4}):
+        with pytest.raises(ValueError):
+            payments.installment_profile(v, **bad)
+    with pytest.raises(ValueError):
+        overview.yoy_monthly(v, last_month=13)
