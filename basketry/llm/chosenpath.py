@@ -235,8 +235,8 @@ def _partner_rows(threshold: float):
 
 
 def _set_rows(size: int):
-    """From (text, node, cells) to one row for each cell with the node's shingle set; a
-    row whose text isn't the node's is another document of the same key."""
+    """From (text, node) to (node, shingle set); null for a
+    row whose text isn't the node's, which is another document of the same key."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
