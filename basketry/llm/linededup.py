@@ -9,8 +9,8 @@ the order of work.
 2. Two lines one edit apart share their first or their last half (of the shorter
    line). Lines that share no half with another line of fitting length have no
    partner and leave here; this loses nothing.
-3. The others emit the variants within the edit bound, with one character deleted, as
-   hashed keys (in the half where the edit must lie). Equal variants with the same
+3. The others emit the variants within the edit bound, with one character deleted in the
+   half where the edit must lie, as keys hashed with the shared half. Equal variants with the same
    place of deletion differ by a replacement there; a variant equal to a whole line
    differs by an insertion.
 4. Each line's earliest partner is verified with the edit distance.
@@ -66,20 +66,23 @@ def _half_keys(n: Column, line: Column) -> Column:
 WHOLE, INSERTED, REPLACED = 0, 1, 2
 
 
-def _cuts(n: Column, line: Column, side: Column, longer: Column) -> Column:
-    """array<bigint>: the line with one character deleted, hashed, for the half where the
-    edit must lie. A replacement leaves the same place in both lines, an insertion any."""
+def _open_half(n: Column, line: Column, side: Column, longer: Column) -> Column:
+    """The part of a line where the edit must lie: what the shared half leaves."""
     q = F.floor((n - longer) / 2).cast("int")
-    # a shared first half leaves the edit in the rest, a shared last half before it
-    first = F.when(side == 0, q).otherwise(0)
-    last = F.when(side == 0, n - 1).otherwise(n - q - 1)
-    rest = lambda i: F.substring(line, i + 2, n)
-    start = lambda i: F.substring(line, F.lit(1), i)
-    places = F.sequence(first, last)
-    inserted = F.transform(places, lambda i: F.xxhash64(F.lit("line"), F.concat(start(i), rest(i))))
-    replaced = F.transform(places, lambda i: F.xxhash64(F.lit("cut"), i, start(i), rest(i)))
+    return F.when(side == 0, F.substring(line, q + 1, n)).otherwise(F.substring(line, F.lit(1), n - q))
+
+
+def _cuts(part: Column, key: Column, longer: Column) -> Column:
+    """array<bigint>: the open half with one character deleted, hashed with the key of the
+    shared one. A replacement leaves the same place in both lines, an insertion any."""
+    n = F.length(part)
+    rest = lambda i: F.substring(part, i + 2, n)
+    start = lambda i: F.substring(part, F.lit(1), i)
+    places = F.sequence(F.lit(0), n - 1)
+    inserted = F.transform(places, lambda i: F.xxhash64(key, F.concat(start(i), rest(i))))
+    replaced = F.transform(places, lambda i: F.xxhash64(key, i, start(i), rest(i)))
     none = F.array().cast("array<bigint>")
-    return F.when(last < first, none).when(longer == 1, inserted).otherwise(replaced)
+    return F.when(n == 0, none).when(longer == 1, inserted).otherwise(replaced)
 
 
 def duplicate_lines(
@@ -117,7 +120,7 @@ def _near_lines(lines: DataFrame, work: Workspace, max_broadcast: int) -> DataFr
     keys = lines.select("h", F.explode(_half_keys(n, F.col("line"))).alias("x")).select("h", "x.*")
     shared = keys.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("k")
     shared = _small(work.table(shared, "shared-halves"), max_broadcast)
-    halves = work.table(keys.join(shared, "k", "left_semi").select("h", "side", "longer").distinct(), "half-matches")
+    halves = work.table(keys.join(shared, "k", "left_semi").select("h", "side", "longer", "k").distinct(), "half-matches")
 
     partners = _small(work.table(halves.select("h").distinct(), "partners"), max_broadcast)
     texts = lines.join(partners, "h", "left_semi").groupBy("h", "h2").agg(
@@ -125,13 +128,12 @@ def _near_lines(lines: DataFrame, work: Workspace, max_broadcast: int) -> DataFr
     )
     texts = work.table(texts, "half-match-lines")
 
-    found = texts.join(halves, "h")
+    part = _open_half(n, F.col("line"), F.col("side"), F.col("longer"))
+    found = texts.join(halves, "h").select("h", "h2", "first", "k", "longer", part.alias("part"))
     role = F.when(F.col("longer") == 1, INSERTED).otherwise(REPLACED).alias("role")
-    cuts = found.select("h", "h2", "first", F.explode(_cuts(n, F.col("line"), F.col("side"), F.col("longer"))).alias("v"), role)
-    whole = found.filter("longer = 0").select(
-        "h", "h2", "first", F.xxhash64(F.lit("line"), "line").alias("v"), F.lit(WHOLE).alias("role")
-    )
-    cut = work.table(cuts.unionByName(whole.distinct()), "variants")
+    cuts = found.select("h", "h2", "first", F.explode(_cuts(F.col("part"), F.col("k"), F.col("longer"))).alias("v"), role)
+    whole = found.filter("longer = 0").select("h", "h2", "first", F.xxhash64("k", "part").alias("v"), F.lit(WHOLE).alias("role"))
+    cut = work.table(cuts.unionByName(whole), "variants")
     # the earliest line of each role; a line is compared with that of the role across from its own
     earliest = cut.groupBy("v", "role").agg(F.min(F.struct("first", "h", "h2")).alias("e"))
     across = F.when(F.col("role") == REPLACED, REPLACED).otherwise(1 - F.col("role"))
