@@ -1,9 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs (built-in functions only).
 
-A text is the set of its paragraphs: its lines, cut after a sentence end where the next
-sentence begins with A to D (so the content sets the cuts, and an edit moves only those
-beside it). A paragraph's digest is 48 bits of a hash of its text and of how many equal paragraphs come before
-it, with 16 check bits of its own. A sketch has blocks of 32 cells; each digest is
+A text is the set of its paragraphs: its lines, cut after every sentence end. A sentence
+of more than ``LONG`` characters is cut further where a hash of the next four characters
+says so, in any script, so that the content sets the cuts and an edit moves only those
+beside it. A paragraph's digest is 48 bits of a hash of its text and of how many equal
+paragraphs come before it, with 16 check bits of its own. A sketch has blocks of 32 cells; each digest is
 entered in three cells of one block. A cell keeps the number of its entries
 and the exclusive-or of their digests.
 
@@ -33,22 +34,52 @@ ROUNDS = 9
 TIERS = 8  # retries with larger sketches
 LOAD = 40  # paragraphs of both texts for a block, halved with every retry
 
-_BREAK = r"\n|(?<=[.!?]) (?=[A-DÀ-È])"
+LONG = 160  # characters of a paragraph at most
+SPACING = 64  # characters from one place that the content marks to the next, on average
+APART = 16  # a mark closer to the one before it is no cut
+
+_BREAK = r"\n|(?<=[.!?]) |(?<=[。！？｡।؟۔])"
+
+
+def _short(sentence: Column) -> Column:
+    """array<string> of a sentence's parts of at most ``LONG`` characters."""
+
+    def at(items: Column, i: Column, end: Column) -> Column:
+        return F.coalesce(F.get(items, i), end)
+
+    def marked(chars: Column) -> Column:
+        window = lambda i: F.xxhash64(*[F.get(chars, i + j) for j in range(4)])
+        return F.filter(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.pmod(window(i), F.lit(SPACING)) == 0)
+
+    def cut(chars: Column) -> Column:
+        n = F.size(chars)
+
+        def starts(marks: Column) -> Column:
+            # the same text has the same cuts: a mark counts by the one before it, cut or not
+            apart = F.filter(marks, lambda m, j: F.coalesce(m - F.get(marks, j - 1) >= APART, F.lit(True)))
+            # what has no mark for long is cut at even distances
+            even = lambda b: F.transform(b, lambda x, j: F.sequence(x, at(b, j + 1, n) - 1, F.lit(LONG)))
+            return F.flatten(_bind(F.concat(F.array(F.lit(0)), apart), even))
+
+        def parts(first: Column) -> Column:
+            return F.transform(first, lambda x, j: F.array_join(F.slice(chars, x + 1, at(first, j + 1, n) - x), ""))
+
+        return _bind(_bind(marked(chars), starts), parts)
+
+    return F.when(F.length(sentence) <= LONG, F.array(sentence)).otherwise(_bind(F.split(sentence, "", -1), cut))
 
 
 def digests(text: Column) -> Column:
     """array<bigint> of a text's paragraph digests, each once."""
 
     def held(paragraphs: Column) -> Column:
-        hashed = F.array_sort(F.transform(paragraphs, lambda p: F.xxhash64(p)))
+        hashed = F.sort_array(F.transform(paragraphs, lambda p: F.xxhash64(p)))
         # equal paragraphs are next to each other: their number makes them differ
-        return F.transform(
-            F.array(hashed),
-            lambda hs: F.transform(hs, lambda h, i: F.xxhash64(h, i - F.array_position(hs, h).cast("int") + 1)),
-        )[0]
+        numbered = lambda same: F.transform(same, lambda h, i: F.xxhash64(h, i))
+        return _bind(hashed, lambda hs: F.flatten(F.transform(_runs(hs, lambda h: h), numbered)))
 
     cut = F.split(F.coalesce(text, F.lit("")), _BREAK, -1)
-    return F.transform(held(cut), _checked)
+    return F.transform(held(F.flatten(F.transform(cut, _short))), _checked)
 
 
 def _checked(h: Column) -> Column:
@@ -66,6 +97,18 @@ def _bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _runs(items: Column, key) -> Column:
+    """A sorted array cut into the arrays of items with the same ``key``."""
+
+    def cut(starts: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(items))
+        return F.transform(starts, lambda x, j: F.slice(items, x + 1, end(j) - x))
+
+    places = F.transform(items, lambda _, i: i)
+    first = lambda i: F.coalesce(key(F.get(items, i)) != key(F.get(items, i - 1)), F.lit(True))
+    return _bind(F.filter(places, first), cut)
+
+
 def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
@@ -207,11 +250,16 @@ def differences(a: Column, b: Column, cells_a: Column | None = None, cells_b: Co
                 F.lit(2), F.ceil((F.size(g["a"]) + F.size(g["b"])) * F.pow(F.lit(2.0), tier) / LOAD).cast("int")
             )
 
-            def part(i: Column) -> Column:
-                own = lambda ds: F.filter(ds, lambda d: F.pmod(F.xxhash64(F.lit("block"), d, tier), parts) == i)
-                return F.struct(own(g["a"]).alias("a"), own(g["b"]).alias("b"))
+            def side(ds: Column, n: int) -> Column:
+                place = lambda d: F.pmod(F.xxhash64(F.lit("block"), d, tier), parts).alias("p")
+                return F.transform(ds, lambda d: F.struct(place(d), F.lit(n).alias("s"), d.alias("d")))
+
+            def part(run: Column) -> Column:
+                own = lambda n: F.transform(F.filter(run, lambda e: e["s"] == n), lambda e: e["d"])
+                return F.struct(own(0).alias("a"), own(1).alias("b"))
 
-            return F.transform(F.sequence(F.lit(0), parts - 1), part)
+            dealt = F.sort_array(F.concat(side(g["a"], 0), side(g["b"], 1)))
+            return F.transform(_bind(dealt, lambda es: _runs(es, lambda e: e["p"])), part)
 
         return F.struct(
             F.flatten(F.transform(bad, cut)).alias("todo"),
@@ -272,6 +320,10 @@ def fingerprint(sketch: Column) -> Column:
 
 def with_sketch(docs: DataFrame, text: str, digest_column: str, sketch_column: str) -> DataFrame:
     """``docs`` with the paragraph digests of ``text`` and their one-block sketch."""
+    conf = docs.sparkSession.conf
+    name = "spark.sql.analyzer.maxIterations"  # one for each level of nested lambdas
+    if int(conf.get(name, "100")) < 400:
+        conf.set(name, "400")
     rows = docs.withColumn(digest_column, digests(F.col(text)))
     return rows.withColumn(sketch_column, cells(F.col(digest_column), F.lit(0)))
 

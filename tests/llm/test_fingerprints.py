@@ -81,3 +81,30 @@ def test_next_row_in_key_order(spark):
     assert with_next(one.limit(0), "k", ["v"], "v", "n").count() == 0
     spread = key_buckets(df, "k", "b", rows=50).groupBy("b").count().collect()
     assert max(x["count"] for x in spread) < 150
+
+
+LETTERS = {
+    "latin": "abcdefghij klmno pqrst. ", "lower": "abcdefghij klmno pqrst ", "cyrillic": "абвгдежзи клмно прсту. ",
+    "han": "天地玄黄宇宙洪荒日月盈昃辰宿列张。", "run": "abcdefghijklmnopqrst",
+}
+
+
+def test_half_an_edited_text_stays_alike_in_any_script(spark):
+    r = random.Random(6)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    pairs = []
+    for letters in LETTERS.values():
+        text = draw(letters, 800)
+        pairs += [(text, text[:400] + draw(letters, 400)), (text, text[:300] + "#" + text[300:])]
+    for row in compare(spark, pairs):
+        half = row["i"] % 2 == 0
+        assert 0.15 < row["l"] < 0.7 if half else 0.6 < row["l"] < 1
+
+
+def test_paragraphs_are_short_and_whole(spark):
+    r = random.Random(7)
+    texts = ["a" * 5000, "", "x" * 160, "ab" * 300, "".join(r.choice("abc😀é 天") for _ in range(4000))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x["i"]: x["p"] for x in rows.select("i", fp._short(F.col("t")).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        assert "".join(got[i]) == t and max(map(len, got[i])) <= fp.LONG
