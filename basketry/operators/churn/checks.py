@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.ranks import u_statistic
 from .features import PERSON
 from .models import LR_UNDERSAMPLED, LR_WEIGHTED, RETURN_THRESHOLD, ChurnModels, model_comparison, score_profiles, test_predictions
 
@@ -64,11 +65,12 @@ def comparison_checks(cm: ChurnModels, digits: int = 3) -> DataFrame:
     """Per model: whether the compared figures are those of its predictions, recomputed by
     a rank sum and by counts, and whether exactly the best AUC is marked."""
     preds = test_predictions(cm)
-    pairs = preds.where("label = 1").select("model", F.col("score").alias("a")).join(
-        preds.where("label = 0").groupBy("model", F.col("score").alias("b")).agg(F.count(F.lit(1)).alias("n")), "model"
-    )  # test rows of label 1 x distinct scores of label 0, both of a held-out part
-    wins = F.when(F.col("a") > F.col("b"), 1.0).when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
-    area = pairs.groupBy("model").agg((F.sum(wins * F.col("n")) / F.sum("n")).alias("_auc"))
+    scores = preds.groupBy("model", "score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
+    )
+    ranks = u_statistic(scores, "score", "pos", "neg", group_by=["model"])
+    both_labels = F.col("n1").cast("double") * F.col("n2").cast("double")
+    area = ranks.select("model", F.try_divide(F.col("u_stat"), both_labels).alias("_auc"))
     yes, said = F.col("label") == 1, F.col("prediction") == 1
     counts = preds.groupBy("model").agg(
         F.count_if(yes & said).alias("tp"), F.count_if(said).alias("said"), F.count_if(yes).alias("yes")

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from basketry.operators.churn import metrics
+from basketry.operators.churn import checks, metrics
 from basketry.operators.churn import models as M
 from basketry.operators.churn.features import FEATURES
 
@@ -65,3 +65,25 @@ def test_a_missing_feature_does_not_stop_training(spark):
     held = cm.test.count()
     assert M.test_predictions(cm).groupBy("model").count().select("count").distinct().collect()[0][0] == held > 0
     assert M.score_profiles(cm, rows).count() == 196
+
+
+def test_comparison_checks_count_ranks_and_not_pairs(spark, monkeypatch):
+    rnd = random.Random(2)
+    rows = [(m, i, int(rnd.random() < 0.4), rnd.randint(0, 6) / 6) for m in ("a", "b") for i in range(90)]
+    preds = spark.createDataFrame(rows, "model string, person int, label int, score double")
+    preds = preds.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
+
+    def area(m):
+        yes, no = ([x[3] for x in rows if x[0] == m and x[2] == y] for y in (1, 0))
+        return sum((a > b) + (a == b) / 2 for a in yes for b in no) / (len(yes) * len(no))
+
+    said = [(m, round(area(m) + off, 3), 0.0, 0.0, 0.0) for m, off in (("a", 0.0), ("b", 0.01))]
+    table = spark.createDataFrame(said, "model string, roc_auc double, precision double, recall double, f1 double")
+    monkeypatch.setattr(checks, "test_predictions", lambda cm: preds)
+    monkeypatch.setattr(checks, "model_comparison", lambda cm, digits: table)
+    joined = []
+    join = type(preds).join
+    monkeypatch.setattr(type(preds), "join", lambda a, b, *on, **kw: joined.append(set(a.columns) | set(b.columns)) or join(a, b, *on, **kw))
+    got = {r["model"]: r["auc_agrees"] for r in checks.comparison_checks(None).collect()}
+    assert got == {"a": True, "b": False}
+    assert not any({"a", "b"} <= columns for columns in joined)  # scores of one label beside those of the other
