@@ -9,7 +9,10 @@ one of the item's windows word for word.
 
 The 64 bits are split into ``radius + 1`` blocks; two fingerprints within ``radius``
 bits agree on one block at least, so the block tables miss none of them. Fingerprints
-within the radius are candidates. The exact check compares five-word shingles, each
+within the radius are candidates. So that edits can't hide a passage, an item's rarest
+shingles, as many as hold more weight than a match may lose, are looked up word for word
+at every place of a document: a passage above the threshold holds one of them, however
+its words were replaced, inserted or deleted, and is a candidate too. The exact check compares five-word shingles, each
 weighted by its rarity among the items: a document passage of the item's length
 (and a margin for insertions) is a hit if the shared weight is at least
 ``threshold`` of the item's.
@@ -127,7 +130,20 @@ def _fingerprints(running: np.ndarray, size: int, step: int) -> np.ndarray:
 
 
 class BenchmarkIndex:
-    """Fingerprints of the items' windows by window size, in block tables."""
+    """Fingerprints of the items' windows by window size, in block tables, and the items'
+    rarest shingles by their size."""
+def _combined(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words, from the words' hashes."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    return out ^ (out >> np.uint64(32))
+
+
+_LOW = np.uint64((1 << 20) - 1)
+
+
 
     def __init__(self, items: list[tuple[int, str]], rarity: dict[tuple[str, ...], float], threshold: float, radius: int):
         self.threshold, self.radius = threshold, radius
@@ -163,6 +179,33 @@ class BenchmarkIndex:
         self.longest = max(self.by_size, default=0)
 
     @staticmethod
+        rare: dict[int, list[tuple[int, int, int]]] = {}
+        for j, w in enumerate(self.words):
+            if w:
+                size = min(5, len(w))
+                keys = _combined(_hashes(w, {}), size).tolist()
+                held = self._must_hold(j)
+                rare.setdefault(size, []).extend(
+                    (key, j, at) for at, (key, s) in enumerate(zip(keys, shingles(w, size), strict=True)) if s in held
+                )
+        self.rare = {}
+        for size, rows in rare.items():
+            key, item, offset = (np.array(x, t) for x, t in zip(zip(*sorted(rows), strict=True), ("u8", "i8", "i8"), strict=True))
+            used = np.zeros(1 << 20, bool)
+            used[(key & _LOW).astype(np.int64)] = True
+            self.rare[size] = (key, item, offset, used)
+
+    def _must_hold(self, j: int) -> set[tuple[str, ...]]:
+        """The rarest shingles of item ``j``: without all of them no passage is a match."""
+        weights = self.weights[j]
+        spare = (1 - self.threshold) * sum(weights.values()) * (1 + 1e-9)
+        held: set[tuple[str, ...]] = set()
+        for s in sorted(weights, key=lambda s: (-weights[s], s)):
+            if spare < 0:
+                break
+            held.add(s)
+            spare -= weights[s]
+        return held
     def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
         return ((prints >> np.uint64(64 - b)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
 
@@ -190,6 +233,19 @@ class BenchmarkIndex:
 
     def similarity(self, j: int, words: list[str]) -> float:
         """The share of item ``j``'s shingle weight that ``words`` holds."""
+    def rare_places(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item, aligned start, place) of all places that hold one of an item's rarest shingles."""
+        found: set[tuple[int, int, int]] = set()
+        for size, (key, item, offset, used) in self.rare.items():
+            mine = _combined(hashes, size)
+            at = np.flatnonzero(used[(mine & _LOW).astype(np.int64)])
+            lo, hi = (np.searchsorted(key, mine[at], side) for side in ("left", "right"))
+            n = hi - lo
+            place = np.repeat(at, n)
+            theirs = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.update(zip(item[theirs].tolist(), (place - offset[theirs]).tolist(), place.tolist(), strict=True))
+        return found
+
         weights = self.weights[j]
         size = min(5, len(self.words[j]))
         there = set(zip(*(words[i:] for i in range(size)), strict=False))
@@ -203,7 +259,7 @@ def _scan(index: BenchmarkIndex, texts: list[str | None], memo: dict[str, int])
     ends = np.cumsum([len(w) for w in lists])
     words = [w for ws in lists for w in ws]
     seen: set[tuple[int, int, int]] = set()
-    overlap = index.longest
+    overlap = max(5, index.longest)
     for lo in range(0, len(words), _STRETCH):
         hashes = _hashes(words[lo : lo + _STRETCH + overlap], memo)
         for j, start in index.candidates(hashes):
@@ -215,6 +271,9 @@ def _scan(index: BenchmarkIndex, texts: list[str | None], memo: dict[str, int])
             seen.add((d, j, lo + start - first))
     best: dict[tuple[int, int], tuple[float, float, int]] = {}
     for d, j, start in seen:
+        for j, start, place in index.rare_places(hashes):
+            d = int(np.searchsorted(ends, lo + place, side="right"))
+            seen.add((d, j, lo + start - int(ends[d]) + len(lists[d])))
         n = len(index.words[j])
         margin = max(1, n // 8)
         s = index.similarity(j, lists[d][max(0, start - margin) : max(0, start + n + margin)])
@@ -260,8 +319,8 @@ def scan_benchmark(
         return rows.withColumn("benchmark_hits", F.array().cast(HITS))
     out = rows
     for c in range(chunks):
-        # at most about max_words words; an item's rarity counts within its chunk
-        own: Column = F.pmod(F.xxhash64("text"), F.lit(chunks)) == c
+        # at most about max_words words
+        own: Column = chunk == c
         held = sorted((r["id"], r["text"]) for r in items.filter(own).select("id", "text").collect())
         if not held:
             continue

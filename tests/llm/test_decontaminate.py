@@ -105,3 +105,25 @@ def test_odd_rows(spark):
     assert got == [(0, []), (1, []), (2, [3]), (2, [3]), (3, [4, 5])]
     assert dc.scan_benchmark(rows, bench.limit(0)).filter("size(benchmark_hits) > 0").count() == 0
     assert dc.scan_benchmark(rows.limit(0), bench).count() == 0
+
+
+def edited(r, w, k):
+    w = list(w)
+    for _ in range(k):
+        at, kind = r.randrange(len(w)), r.randrange(3)
+        w[at : at + (kind != 1)] = [] if kind == 2 else [f"new{r.randrange(10**6)}"]
+    return w
+
+
+def test_every_edited_passage_above_the_threshold_is_found(spark):
+    r = random.Random(12)
+    items = [(i, " ".join(words(r, r.choice([5, 12, 30, 39, 59, 120])))) for i in range(60)]
+    docs = []
+    for d in range(600):
+        w = words(r, r.randint(0, 60))
+        at = r.randint(0, len(w))
+        it = items[d % 60][1].split()
+        w[at:at] = edited(r, it, r.randint(0, max(1, len(it) // 20)))
+        docs.append((d, " ".join(w)))
+    pairs = {(d, h["item_id"]) for d, hs in scan(spark, items, docs).items() for h in hs}
+    assert pairs == containment(items, docs) and len(pairs) > 200
