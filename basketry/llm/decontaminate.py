@@ -18,7 +18,8 @@ weighted by its rarity among the items: a document passage of the item's length
 ``threshold`` of the item's.
 
 The index of a benchmark chunk of at most ``max_words`` words is broadcast; a larger
-benchmark is scanned in several passes over the documents. Texts of any length are
+benchmark is scanned in several passes over the documents, with the rarities of the
+whole benchmark in each. Texts of any length are
 read in overlapping stretches of bounded size.
 
 Defined results: a null text counts as empty; items without words match nothing;
@@ -40,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.workspace import session_workspace
 from .batches import bound_batches
 
 _WORD = re.compile(r"\w+")
@@ -129,9 +131,6 @@ def _fingerprints(running: np.ndarray, size: int, step: int) -> np.ndarray:
     return np.packbits(counts.view(f"u{lane}") > size // 2, axis=1)
 
 
-class BenchmarkIndex:
-    """Fingerprints of the items' windows by window size, in block tables, and the items'
-    rarest shingles by their size."""
 def _combined(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` words, from the words' hashes."""
     n = max(0, len(hashes) - size + 1)
@@ -144,6 +143,9 @@ def _combined(hashes: np.ndarray, size: int) -> np.ndarray:
 _LOW = np.uint64((1 << 20) - 1)
 
 
+class BenchmarkIndex:
+    """Fingerprints of the items' windows by window size, in block tables, and the items'
+    rarest shingles by their size."""
 
     def __init__(self, items: list[tuple[int, str]], rarity: dict[tuple[str, ...], float], threshold: float, radius: int):
         self.threshold, self.radius = threshold, radius
@@ -177,8 +179,6 @@ _LOW = np.uint64((1 << 20) - 1)
                 tables.append((starts, order, starts[1:] > starts[:-1]))
             self.by_size[size] = (prints, np.array(item), np.array(offset), tables)
         self.longest = max(self.by_size, default=0)
-
-    @staticmethod
         rare: dict[int, list[tuple[int, int, int]]] = {}
         for j, w in enumerate(self.words):
             if w:
@@ -206,6 +206,8 @@ _LOW = np.uint64((1 << 20) - 1)
             held.add(s)
             spare -= weights[s]
         return held
+
+    @staticmethod
     def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
         return ((prints >> np.uint64(64 - b)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
 
@@ -231,8 +233,6 @@ _LOW = np.uint64((1 << 20) - 1)
                 found.update(zip(item[theirs].tolist(), (window * step - offset[theirs]).tolist(), strict=True))
         return found
 
-    def similarity(self, j: int, words: list[str]) -> float:
-        """The share of item ``j``'s shingle weight that ``words`` holds."""
     def rare_places(self, hashes: np.ndarray) -> set[tuple[int, int, int]]:
         """(item, aligned start, place) of all places that hold one of an item's rarest shingles."""
         found: set[tuple[int, int, int]] = set()
@@ -246,6 +246,8 @@ _LOW = np.uint64((1 << 20) - 1)
             found.update(zip(item[theirs].tolist(), (place - offset[theirs]).tolist(), place.tolist(), strict=True))
         return found
 
+    def similarity(self, j: int, words: list[str]) -> float:
+        """The share of item ``j``'s shingle weight that ``words`` holds."""
         weights = self.weights[j]
         size = min(5, len(self.words[j]))
         there = set(zip(*(words[i:] for i in range(size)), strict=False))
@@ -269,11 +271,11 @@ def _scan(index: BenchmarkIndex, texts: list[str | None], memo: dict[str, int])
             d = int(np.searchsorted(ends, middle, side="right"))
             first = int(ends[d]) - len(lists[d])
             seen.add((d, j, lo + start - first))
-    best: dict[tuple[int, int], tuple[float, float, int]] = {}
-    for d, j, start in seen:
         for j, start, place in index.rare_places(hashes):
             d = int(np.searchsorted(ends, lo + place, side="right"))
             seen.add((d, j, lo + start - int(ends[d]) + len(lists[d])))
+    best: dict[tuple[int, int], tuple[float, float, int]] = {}
+    for d, j, start in seen:
         n = len(index.words[j])
         margin = max(1, n // 8)
         s = index.similarity(j, lists[d][max(0, start - margin) : max(0, start + n + margin)])
@@ -297,6 +299,22 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     return rows.select(F.col(item).cast("bigint").alias("id"), F.col(text).alias("text"), n.alias("n")).distinct()
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text, chunk in zip(batch["text"].to_pylist(), batch["chunk"].to_pylist(), strict=True):
+            own = sorted({" ".join(s) for s in shingles(word_list(text))})
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(own), pa.int64()), pa.array(own, pa.string())], ["chunk", "shingle"])
+
+
+def _counts(items: DataFrame, chunk: Column) -> DataFrame:
+    """(chunk, shingle, n): the shingles of each chunk with the number of items of the whole
+    benchmark that hold them."""
+    spark = items.sparkSession
+    rows = items.select("text", chunk.cast("bigint").alias("chunk")).mapInArrow(_shingle_rows, "chunk bigint, shingle string")
+    by_chunk = session_workspace(spark).table(rows.groupBy("chunk", "shingle").agg(F.count("*").alias("n")), "chunk-shingles")
+    return by_chunk.select("chunk", "shingle").join(by_chunk.groupBy("shingle").agg(F.sum("n").alias("n")), "shingle")
+
+
 def scan_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -318,14 +336,19 @@ def scan_benchmark(
     if not chunks:
         return rows.withColumn("benchmark_hits", F.array().cast(HITS))
     out = rows
+    chunk = F.pmod(F.xxhash64("text"), F.lit(chunks))
+    counts = session_workspace(docs.sparkSession).table(_counts(items, chunk), "shingle-counts") if chunks > 1 else None
     for c in range(chunks):
         # at most about max_words words
         own: Column = chunk == c
         held = sorted((r["id"], r["text"]) for r in items.filter(own).select("id", "text").collect())
         if not held:
             continue
-        df = Counter(s for _, t in held for s in set(shingles(word_list(t))))
-        rarity = {s: math.log1p(len(held) / n) for s, n in df.items()}
+        if counts is None:
+            df = Counter(s for _, t in held for s in set(shingles(word_list(t))))
+        else:  # the shingles of this chunk alone
+            df = {tuple(r["shingle"].split(" ")): r["n"] for r in counts.filter(F.col("chunk") == c).collect()}
+        rarity = {s: math.log1p(size["items"] / n) for s, n in df.items()}
         shared = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(held, rarity, threshold, radius))
         out = out.mapInArrow(_pass(shared, text), schema)
     return out if "benchmark_hits" in out.columns else rows.withColumn("benchmark_hits", F.array().cast(HITS))

@@ -127,3 +127,15 @@ def test_every_edited_passage_above_the_threshold_is_found(spark):
         docs.append((d, " ".join(w)))
     pairs = {(d, h["item_id"]) for d, hs in scan(spark, items, docs).items() for h in hs}
     assert pairs == containment(items, docs) and len(pairs) > 200
+
+
+def test_passes_share_the_rarities_of_the_whole_benchmark(spark):
+    r = random.Random(13)
+    frame = words(r, 24)  # every item starts with it, so its shingles are common
+    items = [(i, " ".join(frame + words(r, 10))) for i in range(40)]
+    docs = [(d, " ".join(frame[4:] + t.split()[24:])) for d, t in items] + [(50 + d, " ".join(frame)) for d in range(3)]
+    docs += [(100 + d, " ".join(t.split()[8:])) for d, t in items]
+    whole = scan(spark, items, docs)
+    assert sum(map(len, whole.values())) > 40
+    for max_words in (400, 50):
+        assert {d: sorted(h) for d, h in scan(spark, items, docs, max_words=max_words).items()} == {d: sorted(h) for d, h in whole.items()}
