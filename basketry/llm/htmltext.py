@@ -10,10 +10,12 @@ over the page:
 
 Both are smoothed with the paths next to it in page order, fused as their product,
 and compared with a threshold set from the fused values of the page (their weighted
-spread). The container that holds the selected paths is the content; every block
+spread). The innermost element that holds all selected paths and headings is the content; every block
 below it whose path runs through no boilerplate element is kept, however short, so
 that headings and one-word paragraphs of an article stay. Menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and comments never count.
+sidebars, notices, adverts, forms, scripts, styles and comments never count. A word of a
+class or id marks no element that holds most of the page's text, unless an article or main
+element lies outside it.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by one newline.
@@ -51,6 +53,7 @@ CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "body": {"head"},
 }
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 # Boilerplate by element, role and by words of class and id.
 BOILERPLATE_TAGS = frozenset(
@@ -72,24 +75,26 @@ _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _MARKS = re.compile(r"[,.;:!?…。，、；：！？]")
 
 
-def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, inside_article: bool) -> str:
+    """``-`` for boilerplate, ``~`` if only a word of class or id says so, or nothing."""
     if tag in BOILERPLATE_TAGS or (tag == "header" and not inside_article):
-        return True
+        return "-"
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
+    named = ""
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             if any(w.lower() in BOILERPLATE_WORDS for w in _NAME_WORDS.findall(value)):
-                return True
+                named = "~"
         elif name == "role":
             if value.lower() in BOILERPLATE_ROLES:
-                return True
+                return "-"
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return "-"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "-"
+    return named
 
 
 def text_nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
@@ -145,10 +150,10 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
                     close(i)
                     break
         inside = "article" in tags or "main" in tags
-        mark = "-" if _boilerplate(tag, m[3], inside) else ""
+        mark = _boilerplate(tag, m[3], inside)
         if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
             continue
-        stack.append(mark + tag)
+        stack.append(f"~{tag}#{m.start()}" if mark == "~" else mark + tag)
         tags.append(tag)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, pos)
@@ -156,7 +161,29 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], int, str]]:
             add(page[pos:stop])
             pos = end.end() if end else n
             close(len(tags) - 1)
-    return out
+    return _judged(out)
+
+
+def _judged(nodes: list[tuple[tuple[str, ...], int, str]]) -> list[tuple[tuple[str, ...], int, str]]:
+    """``nodes`` with the elements that a class or id marks (``~tag#place``) settled."""
+    held: dict[str, int] = {}
+    article: dict[str, int] = {}
+    total = whole = 0
+    for path, _, raw in nodes:
+        if any(e[0] == "-" for e in path):
+            continue
+        n = len(raw.strip())
+        named = [e for e in path if e[0] == "~"]
+        # an article outside all marked elements, or inside some of them
+        main = n if "article" in path or "main" in path else 0
+        total, whole = total + n, whole + main
+        for e in named:
+            held[e] = held.get(e, 0) + n
+            article[e] = article.get(e, 0) + main
+    if not held:
+        return [(tuple("-" + e[1:].split("#")[0] if e[0] == "~" else e for e in p), b, r) for p, b, r in nodes]
+    entry = {e: ("" if 2 * n > total and article[e] == whole else "-") + e[1:].split("#")[0] for e, n in held.items()}
+    return [(tuple(entry.get(e, "-" + e[1:].split("#")[0]) if e[0] == "~" else e for e in p), b, r) for p, b, r in nodes]
 
 
 def _threshold(scores: np.ndarray, sizes: np.ndarray) -> float:
@@ -191,11 +218,12 @@ def content_paths(nodes: list[tuple[tuple[str, ...], int, str]]) -> set[tuple[st
 
 
 def _container(nodes: list, chosen: set[tuple[str, ...]]) -> tuple[str, ...]:
-    """The innermost element that holds most of the selected text; an article or main
-    element on the way to it is taken whole."""
+    """The innermost element that holds all selected paths and the page's headings; an
+    article or main element on the way to it is taken whole."""
     size: dict[tuple[str, ...], int] = {}
     for path, _, raw in nodes:
-        if path in chosen:
+        heading = not any(e[0] == "-" for e in path) and not HEADINGS.isdisjoint(path)
+        if path in chosen or heading:
             size[path] = size.get(path, 0) + len(raw.strip())
     total = sum(size.values())
     best: tuple[str, ...] = ()
@@ -208,7 +236,7 @@ def _container(nodes: list, chosen: set[tuple[str, ...]]) -> tuple[str, ...]:
         if not held:
             return best
         top = max(held, key=held.get)
-        if held[top] < 0.8 * total or top[-1] in ("p", "ul", "ol", "table", "blockquote", "pre", "dl"):
+        if held[top] < total or top[-1] in ("p", "ul", "ol", "table", "blockquote", "pre", "dl"):
             return best
         best = top
         if top[-1] in ("article", "main"):

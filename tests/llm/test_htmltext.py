@@ -34,3 +34,18 @@ def test_rows_are_kept(spark):
     got = htmltext.extract_main_text(pages).collect()
     assert sorted((r["page_id"], len(r["main_text"])) for r in got) == [(1, 0), (2, len(TEXT)), (2, len(TEXT)), (3, 299999)]
     assert htmltext.extract_main_text(pages.limit(0)).count() == 0
+
+
+LONG = "".join(f"<p>Sentence number {i}, with some words, and an end.</p>" for i in range(40))
+
+
+def test_title_and_lead_beside_a_long_section_stay():
+    got = htmltext.main_text(f"<body><div><h1>Title</h1><p>The lead, in short.</p><section>{LONG}</section></div></body>")
+    assert got.startswith("Title\nThe lead, in short.\nSentence number 0,") and got.count("\n") == 41
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "has-sidebar", "post-header"])
+def test_a_class_word_does_not_drop_the_page(name):
+    page = f"<body><div class='{name}'><div class='ad'>Buy, now!</div>{LONG}</div></body>"
+    got = htmltext.main_text(page)
+    assert got.count("\n") == 39 and "Buy" not in got
