@@ -8,7 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.workspace import Workspace, session_workspace
-from . import chosenpath, decontaminate, fingerprints, htmltext, linededup, mixing, quality, secrets, tokenids, toxicity
+from . import (
+    chosenpath,
+    decontaminate,
+    fingerprints,
+    htmltext,
+    linededup,
+    mixing,
+    quality,
+    secrets,
+    spelling,
+    tokenids,
+    toxicity,
+)
 from .labelled import crc_bucket
 from .ordering import with_next
 
@@ -132,6 +144,12 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    with Workspace(spark) as work:
+        return session_workspace(spark).table(spelling.spelling_variants(docs, work), "op12")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -144,4 +162,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_main_text": op10_main_text,
+        "op12_spelling_variants": op12_spelling_variants,
     }
