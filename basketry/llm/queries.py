@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.workspace import Workspace, session_workspace
 from . import (
     chosenpath,
+    collisions,
+    collocations,
     decontaminate,
     fingerprints,
     htmltext,
@@ -144,12 +146,24 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    with Workspace(spark) as work:
+        return session_workspace(spark).table(collisions.near_vectors(vectors, work), "op11")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     with Workspace(spark) as work:
         return session_workspace(spark).table(spelling.spelling_variants(docs, work), "op12")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("lang", "text")
+    with Workspace(spark) as work:
+        return session_workspace(spark).table(collocations.collocations(docs, work), "op13")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -162,5 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_secret_scan": op9_secret_scan,
         "op10_main_text": op10_main_text,
+        "op11_embedding_dedup": op11_embedding_dedup,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_collocations": op13_collocations,
     }
