@@ -72,11 +72,34 @@ def test_equal_to_a_plain_count_whatever_the_ranks_hold(spark, seed, kw):
     assert mined(spark, docs, **kw) == plain(docs, kw.get("top", 2000))
 
 
-def test_shares_and_flushes_change_nothing(spark, monkeypatch):
+def test_shares_of_tiles_change_nothing(spark, monkeypatch):
     docs = corpus(6)
-    monkeypatch.setattr(co, "SHARE", 2)
-    monkeypatch.setattr(co, "_FLUSH", 50)
-    assert mined(spark, docs) == plain(docs)
+    monkeypatch.setattr(co, "SHARE", 2)  # the driver's choice; the rest of the module's values are the workers'
+    assert mined(spark, docs, head_words=40, head_pairs=30) == plain(docs)
+
+
+@pytest.mark.parametrize("edge", [8, 32])
+def test_tiles_hold_what_was_added_however_often_a_task_sends(monkeypatch, edge):
+    monkeypatch.setattr(co, "TILE", 8)
+    monkeypatch.setattr(co, "_FLUSH", 100)
+    r = np.random.default_rng(2)
+    held, expected, tiles, grid = co._Held(), Counter(), {}, co._Grid(edge)
+    for step in range(20):
+        codes = (r.integers(0, 90, 60) ** 2 // 90) * co._WIDTH + r.integers(0, 300, 60) ** 2 // 300
+        expected.update(codes.tolist())
+        held.add(codes)
+        if step % 5 == 4:
+            held.settle()
+            for batch in co._tile_batch("en", held.codes, held.counts, 0, grid):
+                for ti, tj, cells, counts in zip(*(batch[c].to_pylist() for c in ("ti", "tj", "cells", "counts")), strict=True):
+                    tiles.setdefault((ti, tj), []).append((cells, counts))
+            held = co._Held()
+    got = Counter()
+    for (ti, tj), arrays in tiles.items():
+        cells, counts = co.add_up(iter(arrays), grid.width(ti) * grid.width(tj), 4)
+        row, col = grid.start(ti) + cells // grid.width(tj), grid.start(tj) + cells % grid.width(tj)
+        got.update(dict(zip((row * co._WIDTH + col).tolist(), counts.tolist(), strict=True)))
+    assert got == expected and len(tiles) > 10
 
 
 def test_dense_and_sparse_tiles_hold_the_same():
@@ -88,8 +111,8 @@ def test_dense_and_sparse_tiles_hold_the_same():
         arrays.append((cells.tobytes(), counts.tobytes()))
         for c, n in zip(cells.tolist(), counts.tolist(), strict=True):
             expected[c] += n
-    for dense_from in (1, 10_000, 1 << 30):
-        cells, counts = co.add_up(iter(arrays), dense_from)
+    for area, share in ((1 << 20, 1 << 20), (1 << 20, 64), (1 << 20, 1), (1 << 28, 64)):
+        cells, counts = co.add_up(iter(arrays), area, share)
         assert dict(zip(cells.tolist(), counts.tolist(), strict=True)) == expected
 
 
@@ -110,4 +133,4 @@ def test_odd_rows(spark):
         clash = spark.createDataFrame([(*d, 1, "x", "y", 2) for d in docs], empty.schema)
         assert sorted(tuple(r) for r in co.collocations(clash, work).collect()) == plain(docs)
     with pytest.raises(ValueError):
-        mined(spark, docs, head_words=1 << 18)
+        mined(spark, docs, head_words=1 << 19)
