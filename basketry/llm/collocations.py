@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from ..functions.workspace import Workspace
 from .batches import bound_batches
 
-HEAD_WORDS, HEAD_PAIRS = 1 << 18, 1 << 20
+HEAD_WORDS, HEAD_PAIRS = 1 << 16, 1 << 20
 TILE = 2048
-SHARE = 256
+SHARE = 64
 WORD_BITS, PAIR_BITS = 26, 27  # sizes of the bit maps, as powers of two
 _SLICE = 18  # bits of a slice of a bit map, as a power of two
 _FLUSH = 1 << 21  # occurrences that a task holds before it adds them up

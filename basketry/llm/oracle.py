@@ -106,5 +106,56 @@ def _op10() -> str:
     FROM (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM blocks)"""
 
 
+def _op11() -> str:
+    return """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+        WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+              AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    n AS (SELECT *, sqrt(list_dot_product(x, x)) AS norm FROM v),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+        WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+    reach(vec_id, other) AS (
+        SELECT a, b FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+    least AS (SELECT vec_id, min(other) AS other FROM reach GROUP BY vec_id),
+    degree AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(d.n_links, 0) AS n_links, least(e.vec_id, coalesce(l.other, e.vec_id)) AS component_id,
+           e.vec_id <= coalesce(l.other, e.vec_id) AS kept
+    FROM embeddings e LEFT JOIN degree d USING (vec_id) LEFT JOIN least l USING (vec_id)"""
+
+
+def _op13() -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+    WITH pieces AS (
+        SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws
+        FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS body FROM documents)),
+    spans AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+        FROM pieces, (VALUES (1), (2), (3)) s(k)),
+    f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM spans GROUP BY ALL),
+    total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+    cuts AS (
+        SELECT c.lang, c.k, c.phrase, c.a, i,
+               array_to_string(string_split(c.phrase, ' ')[1:i], ' ') AS head, array_to_string(string_split(c.phrase, ' ')[i + 1:], ' ') AS tail
+        FROM f c, (VALUES (1), (2)) s(i) WHERE c.a >= 10 AND i < c.k),
+    scored AS (
+        SELECT c.*, l.a AS l, r.a AS r, 1000000 * c.a * c.a // (l.a * r.a) AS score
+        FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head AND l.k = c.i
+                    JOIN f r ON r.lang = c.lang AND r.phrase = c.tail AND r.k = c.k - c.i),
+    best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, i) = 1),
+    longer AS (
+        SELECT lang, part, max(a) AS a FROM (
+            SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part
+            FROM f WHERE k = 3 AND a >= 10) GROUP BY lang, part),
+    kept AS (SELECT b.* FROM best b LEFT JOIN longer m ON m.lang = b.lang AND m.part = b.phrase AND b.k = 2 WHERE m.a IS NULL OR 100 * m.a < 50 * b.a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase,
+           a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+    FROM kept JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": _op3(), "op10_main_text": _op10(), "op7_mixing": _op7(), "op8_line_dedup": _op8(), "op9_secret_scan": _op9()}
+    return {"op3_jaccard_join": _op3(), "op10_main_text": _op10(), "op7_mixing": _op7(), "op8_line_dedup": _op8(), "op9_secret_scan": _op9()} | {
+        "op11_embedding_dedup": _op11(), "op13_collocations": _op13()
+    }
