@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.ranks import u_statistic
-from .features import PERSON
+from ...functions.scalars import with_scalars
+from .boosting import BoostedTrees
+from .features import FEATURES, PERSON
+from .saved import SavedModels
 from .models import LR_UNDERSAMPLED, LR_WEIGHTED, RETURN_THRESHOLD, ChurnModels, model_comparison, score_profiles, test_predictions
 
 
@@ -99,3 +102,28 @@ def profile_checks(cm: ChurnModels, profiles: DataFrame) -> DataFrame:
         F.bool_and(F.abs(p + F.col("churn_probability") - 1) < 1e-12).alias("adds_up"),
         F.bool_and(F.col("likely_to_return") == (p >= RETURN_THRESHOLD)).alias("flag_follows"),
     )
+
+
+def saved_checks(cm: ChurnModels, loaded: SavedModels) -> DataFrame:
+    """Per model: test rows, and whether the model read back scores each of them as the fitted one."""
+    fitted = test_predictions(cm).select("model", PERSON, F.col("score").alias("_fitted"), F.col("prediction").alias("_said"))
+    rows, read = cm.test.select(PERSON, *FEATURES), None
+    for name in loaded.pipelines:
+        part = loaded.score(name, rows).select(F.lit(name).alias("model"), PERSON, "score", "prediction")
+        read = part if read is None else read.unionByName(part)
+    same = F.col("score").eqNullSafe(F.col("_fitted")) & (F.col("prediction") == F.col("_said"))
+    close = (F.abs(F.col("score") - F.col("_fitted")) <= 1e-12) & (F.col("prediction") == F.col("_said"))
+    both = fitted.join(read, ["model", PERSON], "full")
+    return both.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(same | close, F.lit(False))).alias("same_scores"))
+
+
+def exact_checks(scores: DataFrame, trees: BoostedTrees) -> DataFrame:
+    """One row: test rows scored, whether scores are probabilities, whether importances are
+    shares, and whether the trees rank positives above negatives better than chance."""
+    counts = scores.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    pairs = F.col("n1").cast("double") * F.col("n2")
+    area = u_statistic(counts, "score", "pos", "neg").select((F.col("u_stat") > 0.5 * pairs).alias("ranks_better"))
+    shares = trees.importances()
+    sums = abs(sum(shares.values()) - 1) < 1e-9 and all(x >= 0 for x in shares.values())
+    row = scores.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("scores_in_range"))
+    return with_scalars(row, area).withColumn("importances_are_shares", F.lit(sums))

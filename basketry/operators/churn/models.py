@@ -58,6 +58,7 @@ class ChurnModels:
     test: DataFrame  # test part with both feature vectors
     gb_weighted_importances: list[float]
     training: dict  # name -> (training rows, weight column, L2 strength) of the logistic models
+    raw_column: str = _RAW  # the column of unscaled features
 
 
 def _vectors(df: DataFrame, stats: DataFrame) -> DataFrame:

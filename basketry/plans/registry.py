@@ -10,17 +10,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import delivery, overview, payments, ranktest, retention, rfm
+from ..operators.churn import boosting as churn_boosting
 from ..operators.churn import checks as churn_checks
 from ..operators.churn import features as churn_features
 from ..operators.churn import metrics as churn_metrics
 from ..operators.churn import models as churn_models
 from ..operators.churn import sampling as churn_sampling
+from ..operators.churn import saved as churn_saved
+from ..functions.memo import Memo
 from ..functions.position import materialize
 from ..functions.workspace import Workspace, session_workspace, working_in
 from ..sources import csv as csv_source
-from ..sources.fixtures import fixture_views, raw_exports, scored
+from ..sources import quarantine
+from ..sources.fixtures import DAMAGED_HEADER, damaged_payment_lines, fixture_views, raw_exports, scored, view_paths
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -69,16 +74,18 @@ VIEW_JOBS = {
     "rfm_base": rfm.rfm_base,
 }
 
-_SCORES: dict = {}
+#: Results that several jobs read, made anew when the files of a data set change.
+_HELD = Memo()
 
 
 def rfm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored persons, written once per session and data set for the five jobs on them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _SCORES:
+    """The scored persons, written once per session and state of the data for the five jobs on them."""
+
+    def make() -> DataFrame:
         with Workspace(spark) as work, working_in(work):  # the steps' tables go, the scores stay
-            _SCORES[key] = session_workspace(spark).table(rfm.rfm_scores(fixture_views(spark, sf_dir)), "rfm-scores")
-    return _SCORES[key]
+            return session_workspace(spark).table(rfm.rfm_scores(fixture_views(spark, sf_dir)), "rfm-scores")
+
+    return _HELD.get(spark, ("scores", sf_dir), view_paths(sf_dir), make)
 
 
 def _on_scores(fn, **params) -> Job:
@@ -103,17 +110,17 @@ RFM_JOBS: dict[str, Job] = {
 # ----------------------------------------------------------------- ingest
 
 
-_EXPORTS: dict = {}
-
-
 def export(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A table in its export form as header CSV in the shared folder, written once per
-    session and data set: the input of the ingest jobs."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _EXPORTS:
+    session and state of the data: the input of the ingest jobs."""
+
+    def make() -> str:
         path = session_workspace(spark).path(f"{name}-csv")
-        _EXPORTS[key] = csv_source.write_csv(raw_exports(spark, sf_dir)[name], path)
-    return _EXPORTS[key]
+        if name == "damaged":
+            return csv_source.write_lines(damaged_payment_lines(spark, sf_dir), DAMAGED_HEADER, path)
+        return csv_source.write_csv(raw_exports(spark, sf_dir)[name], path)
+
+    return _HELD.get(spark, ("export", sf_dir, name), view_paths(sf_dir), make)
 
 
 def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +132,12 @@ def parse_order_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_source.parse_order_timestamps(csv_ingest(spark, sf_dir))
 
 
+def csv_quarantine_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, accepted and malformed rows of the damaged payment export, over all its files."""
+    counts = quarantine.row_counts(spark, export(spark, sf_dir, "damaged"))
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_rows", "n_accepted", "n_malformed")])
+
+
 def timestamp_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_source.timestamp_null_counts(csv_ingest(spark, sf_dir))
 
@@ -132,7 +145,8 @@ def timestamp_null_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ churn
 
 GBT_ROUNDS = 200
-_MODELS: dict = {}
+#: Rounds of the boosting with exact splits as registered: each level of a tree is a job.
+EXACT_ROUNDS = 5
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,11 +165,42 @@ def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fitted_models(spark: SparkSession, sf_dir: str) -> churn_models.ChurnModels:
-    """Fit the four models once per session and data set; later jobs reuse them."""
-    key = (spark.sparkContext.applicationId, sf_dir, GBT_ROUNDS)
-    if key not in _MODELS:
-        _MODELS[key] = churn_models.fit_churn_models(_features_written(spark, sf_dir), gbt_rounds=GBT_ROUNDS)
-    return _MODELS[key]
+    """Fit the four models once per session and state of the data; later jobs reuse them."""
+
+    def make() -> churn_models.ChurnModels:
+        return churn_models.fit_churn_models(_features_written(spark, sf_dir), gbt_rounds=GBT_ROUNDS)
+
+    return _HELD.get(spark, ("models", sf_dir, GBT_ROUNDS), view_paths(sf_dir), make)
+
+
+def saved_models(spark: SparkSession, sf_dir: str) -> churn_saved.SavedModels:
+    """The fitted models, written and read back."""
+    cm = fitted_models(spark, sf_dir)
+
+    def make() -> churn_saved.SavedModels:
+        return churn_saved.load_models(spark, churn_saved.save_models(cm, session_workspace(spark).path("models")))
+
+    return _HELD.get(spark, ("saved", sf_dir, GBT_ROUNDS), view_paths(sf_dir), make)
+
+
+def exact_trees(spark: SparkSession, sf_dir: str) -> churn_boosting.BoostedTrees:
+    """Boosted trees with exact splits on the class-weighted training part, fitted once."""
+
+    def make() -> churn_boosting.BoostedTrees:
+        with Workspace(spark) as work, working_in(work):
+            rows = churn_sampling.class_weights(_train(spark, sf_dir))
+            return churn_boosting.fit_boosted_trees(
+                rows, churn_features.FEATURES, work, churn_features.PERSON, weight="weight", rounds=EXACT_ROUNDS
+            )
+
+    return _HELD.get(spark, ("exact", sf_dir, EXACT_ROUNDS), view_paths(sf_dir), make)
+
+
+def _exact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(person, label, score) of the test part under the trees with exact splits."""
+    split = churn_sampling.stratified_split(_features_written(spark, sf_dir))
+    test = split.where(split["split"] == churn_sampling.TEST)
+    return exact_trees(spark, sf_dir).score(test).select(churn_features.PERSON, "label", "score")
 
 
 CHURN_JOBS: dict[str, Job] = {
@@ -173,6 +218,8 @@ CHURN_JOBS: dict[str, Job] = {
     "churn_boosted_trees": lambda spark, d: churn_models.test_predictions(
         fitted_models(spark, d), (churn_models.GB_WEIGHTED, churn_models.GB_UNDERSAMPLED)
     ),
+    "churn_exact_boosting": _exact_scores,
+    "exact_boosting_checks": lambda spark, d: churn_checks.exact_checks(_exact_scores(spark, d), exact_trees(spark, d)),
     "churn_feature_importance": lambda spark, d: churn_models.feature_importance(fitted_models(spark, d), spark),
     "roc_curve_and_auc": lambda spark, d: churn_metrics.roc_curve_and_auc(scored(spark, d)),
     "classification_metrics": lambda spark, d: churn_metrics.classification_metrics(scored(spark, d)),
@@ -183,6 +230,8 @@ CHURN_JOBS: dict[str, Job] = {
     "churn_importance_checks": lambda spark, d: churn_checks.importance_checks(fitted_models(spark, d), spark),
     "model_comparison_checks": lambda spark, d: churn_checks.comparison_checks(fitted_models(spark, d)),
     "score_profile_checks": lambda spark, d: churn_checks.profile_checks(fitted_models(spark, d), _features(spark, d)),
+    "saved_model_checks": lambda spark, d: churn_checks.saved_checks(fitted_models(spark, d), saved_models(spark, d)),
+    "saved_score_profiles": lambda spark, d: saved_models(spark, d).score_profiles(_features(spark, d)),
     "score_profiles": lambda spark, d: churn_models.score_profiles(fitted_models(spark, d), _features(spark, d)),
 }
 
@@ -190,7 +239,8 @@ CHURN_JOBS: dict[str, Job] = {
 MODEL_JOBS = (
     "churn_logistic", "churn_boosted_trees", "churn_feature_importance", "model_comparison", "score_profiles",
     "churn_test_rows", "churn_prediction_checks", "churn_logistic_optimum", "churn_importance_checks",
-    "model_comparison_checks", "score_profile_checks",
+    "model_comparison_checks", "score_profile_checks", "saved_model_checks", "saved_score_profiles",
+    "churn_exact_boosting", "exact_boosting_checks",
 )
 
 INGEST_JOBS: dict[str, Job] = {
@@ -199,6 +249,11 @@ INGEST_JOBS: dict[str, Job] = {
     "csv_ingest_customers": lambda spark, d: csv_source.read_customers(spark, export(spark, d, "customers")),
     "csv_ingest_reviews": lambda spark, d: csv_source.read_reviews(spark, export(spark, d, "reviews")),
     "csv_ingest_items": lambda spark, d: csv_source.read_items(spark, export(spark, d, "items")),
+    "csv_ingest_payments_checked": lambda spark, d: csv_source.read_payments(
+        spark, export(spark, d, "damaged"), malformed=quarantine.QUARANTINE
+    ),
+    "csv_quarantine": lambda spark, d: quarantine.malformed_rows(spark, export(spark, d, "damaged")).select("row"),
+    "csv_quarantine_counts": csv_quarantine_counts,
     "parse_order_timestamps": parse_order_timestamps,
     "timestamp_null_counts": timestamp_null_counts,
 }
