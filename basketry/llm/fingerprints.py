@@ -12,15 +12,18 @@ Two sketches of the same size are subtracted cell by cell, which leaves the entr
 which the texts differ. Peeling recovers them: a cell with one entry gives a digest,
 which is then taken out of its other cells, until no such cell is left. The first
 sketch is one block. The digests of a block that doesn't come out empty are entered in
-a larger sketch of several blocks, by other hashes, and so on (``TIERS`` retries).
+a larger sketch of several blocks, by other hashes, and so on (``TIERS`` retries). How many
+blocks follows from the difference that the cells' counts show; a block whose counts show
+more than it can give back is cut without a try.
 
 The fingerprint is the sketch of one block, written as text. Likeness is shared /
 (shared + differing) paragraphs, from the numbers of paragraphs and the recovered
 differences.
 
 Defined results: a null text counts as empty; an empty text has one empty paragraph;
-equal texts have equal fingerprints and likeness 1. The work for a text grows with its
-paragraphs times its blocks.
+equal texts, repeated rows among them, have equal fingerprints and likeness 1, so ties need
+no rule; an empty table gives an empty one; columns of the input named like an output column
+are replaced. Texts of any length are sketched whole, the work grows with their paragraphs.
 """
 
 from __future__ import annotations
@@ -32,54 +35,74 @@ CELLS = 32
 PARTS = ((0, 11), (11, 11), (22, 10))  # the three parts of a block: first cell, cells
 ROUNDS = 9
 TIERS = 8  # retries with larger sketches
-LOAD = 40  # paragraphs of both texts for a block, halved with every retry
+LOAD = 16  # differing digests for a block, as far as they can be estimated
+HOPELESS = 30  # a block with more of them by estimate isn't peeled but cut
 
 LONG = 160  # characters of a paragraph at most
 SPACING = 64  # characters from one place that the content marks to the next, on average
 APART = 16  # a mark closer to the one before it is no cut
+WORD_CUTS = (12, 3, 24)  # the same three between words: spacing, least distance, most words of a part
 
 _BREAK = r"\n|(?<=[.!?]) |(?<=[。！？｡।؟۔])"
 
 
-def _short(sentence: Column) -> Column:
-    """array<string> of a sentence's parts of at most ``LONG`` characters."""
-
-    def at(items: Column, i: Column, end: Column) -> Column:
-        return F.coalesce(F.get(items, i), end)
+def _cut_items(items: Column, window: int, spacing: int, apart: int, longest: int) -> Column:
+    """array<string>: the items of a sentence joined into parts. A part begins where a hash of the
+    next ``window`` items says so; the same text has the same cuts."""
 
-    def marked(chars: Column) -> Column:
-        window = lambda i: F.xxhash64(*[F.get(chars, i + j) for j in range(4)])
-        return F.filter(F.sequence(F.lit(1), F.size(chars) - 1), lambda i: F.pmod(window(i), F.lit(SPACING)) == 0)
+    def at(values: Column, i: Column, end: Column) -> Column:
+        return F.coalesce(F.get(values, i), end)
 
-    def cut(chars: Column) -> Column:
-        n = F.size(chars)
+    def cut(held: Column) -> Column:
+        n = F.size(held)
+        hashed = lambda i: F.xxhash64(*[F.get(held, i + j) for j in range(window)])
+        marks = F.filter(F.sequence(F.lit(1), n - 1), lambda i: F.pmod(hashed(i), F.lit(spacing)) == 0)
 
-        def starts(marks: Column) -> Column:
-            # the same text has the same cuts: a mark counts by the one before it, cut or not
-            apart = F.filter(marks, lambda m, j: F.coalesce(m - F.get(marks, j - 1) >= APART, F.lit(True)))
+        def starts(marked: Column) -> Column:
+            # a mark counts by the one before it, cut or not
+            kept = F.filter(marked, lambda m, j: F.coalesce(m - F.get(marked, j - 1) >= apart, F.lit(True)))
             # what has no mark for long is cut at even distances
-            even = lambda b: F.transform(b, lambda x, j: F.sequence(x, at(b, j + 1, n) - 1, F.lit(LONG)))
-            return F.flatten(_bind(F.concat(F.array(F.lit(0)), apart), even))
+            even = lambda b: F.transform(b, lambda x, j: F.sequence(x, at(b, j + 1, n) - 1, F.lit(longest)))
+            return F.flatten(_bind(F.concat(F.array(F.lit(0)), kept), even))
 
         def parts(first: Column) -> Column:
-            return F.transform(first, lambda x, j: F.array_join(F.slice(chars, x + 1, at(first, j + 1, n) - x), ""))
+            return F.transform(first, lambda x, j: F.array_join(F.slice(held, x + 1, at(first, j + 1, n) - x), ""))
 
-        return _bind(_bind(marked(chars), starts), parts)
+        return _bind(_bind(marks, starts), parts)
 
-    return F.when(F.length(sentence) <= LONG, F.array(sentence)).otherwise(_bind(F.split(sentence, "", -1), cut))
+    return F.when(F.size(items) < 2, items).otherwise(cut(items))
 
 
-def digests(text: Column) -> Column:
-    """array<bigint> of a text's paragraph digests, each once."""
+def _short(sentence: Column) -> Column:
+    """array<string> of a sentence's parts of at most ``LONG`` characters: itself, or runs of its
+    words; longer words (or scripts without spaces) are cut between characters."""
+
+    def word_runs(words: Column) -> Column:
+        by_chars = lambda w: F.when(F.length(w) <= LONG, F.array(w)).otherwise(
+            _bind(F.split(w, "", -1), lambda chars: _cut_items(chars, 4, SPACING, APART, LONG))
+        )
+        whole = F.forall(words, lambda w: F.length(w) <= LONG)
+        evenly = lambda p: F.transform(F.sequence(F.lit(1), F.length(p), F.lit(LONG)), lambda i: F.substring(p, i, LONG))
+        held = lambda p: F.when(F.length(p) <= LONG, F.array(p)).otherwise(evenly(p))
+        runs = _bind(words, lambda ws: F.flatten(F.transform(_cut_items(ws, 1, *WORD_CUTS), held)))
+        return F.when(whole, runs).otherwise(F.flatten(F.transform(words, by_chars)))
+
+    cut = _bind(F.split(sentence, "(?<= )", -1), word_runs)
+    return F.when(F.length(sentence) <= LONG, F.array(sentence)).otherwise(cut)
 
-    def held(paragraphs: Column) -> Column:
-        hashed = F.sort_array(F.transform(paragraphs, lambda p: F.xxhash64(p)))
-        # equal paragraphs are next to each other: their number makes them differ
-        numbered = lambda same: F.transform(same, lambda h, i: F.xxhash64(h, i))
-        return _bind(hashed, lambda hs: F.flatten(F.transform(_runs(hs, lambda h: h), numbered)))
 
-    cut = F.split(F.coalesce(text, F.lit("")), _BREAK, -1)
-    return F.transform(held(F.flatten(F.transform(cut, _short))), _checked)
+def paragraphs(text: Column) -> Column:
+    """array<string> of a text's paragraphs."""
+    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), _BREAK, -1), _short))
+
+
+def digests(text: Column) -> Column:
+    """array<bigint> of a text's paragraph digests, each once."""
+    hashed = F.sort_array(F.transform(paragraphs(text), lambda p: F.xxhash64(p)))
+    # equal paragraphs are next to each other: their number makes them differ
+    numbered = lambda same: F.transform(same, lambda h, i: F.xxhash64(h, i))
+    held = _bind(hashed, lambda hs: F.flatten(F.transform(_runs(hs, lambda h: h), numbered)))
+    return F.transform(held, _checked)
 
 
 def _checked(h: Column) -> Column:
@@ -113,15 +136,19 @@ def _bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
 
+def _place(h: Column, part: int) -> Column:
+    """The cell of a digest in a part of the block, from 16 bits of its hash."""
+    first, n = PARTS[part]
+    return F.pmod(F.shiftright(h, 16 * part), F.lit(n)).cast("int") + first
+
+
 def _entries(ds: Column, salt: Column) -> Column:
     """array<struct<d, m>>: digests with their cells, one in each part, as bits of ``m``."""
 
     def bits(h: Column) -> Column:
         out = F.lit(0)
-        for i, (first, n) in enumerate(PARTS):
-            # the cell's place in its part from 16 bits of the hash
-            place = F.pmod(F.shiftright(h, 16 * i), F.lit(n)).cast("int") + first
-            out = out.bitwiseOR(_bit(place))
+        for i in range(len(PARTS)):
+            out = out.bitwiseOR(_bit(_place(h, i)))
         return out
 
     return F.transform(ds, lambda d: F.struct(d.alias("d"), _bind(F.xxhash64(d, salt), bits).alias("m")))
@@ -139,21 +166,26 @@ def _cell(n: Column, x: Column) -> Column:
     return F.struct(n.cast("int").alias("n"), x.alias("x"))
 
 
-_BITS = [1 << c for c in range(CELLS)]
+def cells(ds: Column, salt: Column) -> Column:
+    """array<struct<n, x>>: one block's cells for the digests ``ds``, in linear time: the
+    entries are sorted by their cell, so that each cell's entries are one run."""
 
+    def placed(d: Column) -> Column:
+        def three(h: Column) -> Column:
+            return F.array(*[F.struct(_place(h, i).alias("c"), d.alias("d")) for i in range(len(PARTS))])
 
-def cells(ds: Column, salt: Column) -> Column:
-    """array<struct<n, x>>: one block's cells for the digests ``ds``."""
-
-    def one(entries: Column) -> Column:
-        return F.transform(
-            F.array(*[F.lit(b).cast("bigint") for b in _BITS]),
-            lambda bit: _bind(
-                _hits(entries, bit), lambda hit: _cell(F.size(hit), _xor(hit, F.lit(0).cast("bigint")))
-            ),
-        )
+        return _bind(F.xxhash64(d, salt), three)
+
+    def gathered(runs: Column) -> Column:
+        own = F.transform(runs, lambda r: _cell(F.size(r), F.aggregate(r, F.lit(0).cast("bigint"), lambda x, e: x.bitwiseXOR(e["d"]))))
+        empty = _cell(F.lit(0), F.lit(0).cast("bigint"))
+        places = F.transform(runs, lambda r: F.get(r, F.lit(0))["c"])
+        at = lambda p, held, c: F.coalesce(F.get(held, F.array_position(p, c).cast("int") - 1), empty)
+        every = F.sequence(F.lit(0), F.lit(CELLS - 1))
+        return _bind(F.struct(places.alias("p"), own.alias("o")), lambda s: F.transform(every, lambda c: at(s["p"], s["o"], c)))
 
-    return _bind(_entries(ds, salt), one)
+    entries = F.sort_array(F.flatten(F.transform(ds, placed)))
+    return _bind(_bind(entries, lambda es: _runs(es, lambda e: e["c"])), gathered)
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -166,6 +198,13 @@ def _pure(c: Column) -> Column:
     return (F.abs(c["n"]) == 1) & (c["x"].bitwiseAND(F.lit(0xFFFF)) == _check(c["x"].bitwiseAND(F.lit(~0xFFFF))))
 
 
+def estimate(difference: Column) -> Column:
+    """About how many digests differ: in a part of the block, the squares of the cells' counts
+    add up to them on average, as entries of both signs meet in a cell by chance."""
+    squares = F.aggregate(difference, F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"].cast("bigint") * c["n"])
+    return squares / F.lit(len(PARTS))
+
+
 def peel(difference: Column, salt: Column) -> Column:
     """struct<cells, a, b, done>: what is left, and the digests recovered from each side."""
     none = F.array().cast("array<bigint>")
@@ -229,11 +268,19 @@ def differences(a: Column, b: Column, cells_a: Column | None = None, cells_b: Co
 
     ``cells_a`` and ``cells_b`` are the one-block sketches, if they are known.
     """
+    none = F.array().cast("array<bigint>")
     kind = "struct<todo:array<struct<a:array<bigint>,b:array<bigint>>>,a:array<bigint>,b:array<bigint>>"
 
     def block(g: Column, tier: Column, difference: Column) -> Column:
-        """struct<g, p>: a block's digests and what peeling gave."""
-        return F.struct(g.alias("g"), peel(difference, tier).alias("p"))
+        """struct<g, e, p>: a block's digests, their estimated difference, and what peeling gave."""
+
+        def judged(s: Column) -> Column:
+            unpeeled = F.struct(s["d"].alias("cells"), none.alias("a"), none.alias("b"), F.lit(True).alias("done"))
+            peeled = F.when(s["e"] > HOPELESS, unpeeled).otherwise(peel(s["d"], tier))
+            return F.struct(g.alias("g"), s["e"].alias("e"), peeled.alias("p"))
+
+        with_estimate = lambda d: F.struct(d.alias("d"), estimate(d).alias("e"))
+        return _bind(_bind(difference, with_estimate), judged)
 
     def sketch(g: Column, tier: Column) -> Column:
         return subtract(cells(g["a"], tier), cells(g["b"], tier))
@@ -245,10 +292,7 @@ def differences(a: Column, b: Column, cells_a: Column | None = None, cells_b: Co
 
         def cut(t: Column) -> Column:
             g = t["g"]
-            # LOAD paragraphs of both sides a block at first, fewer with every retry
-            parts = F.greatest(
-                F.lit(2), F.ceil((F.size(g["a"]) + F.size(g["b"])) * F.pow(F.lit(2.0), tier) / LOAD).cast("int")
-            )
+            parts = F.greatest(F.lit(2), F.ceil(t["e"] / LOAD).cast("int"))
 
             def side(ds: Column, n: int) -> Column:
                 place = lambda d: F.pmod(F.xxhash64(F.lit("block"), d, tier), parts).alias("p")
@@ -267,7 +311,6 @@ def differences(a: Column, b: Column, cells_a: Column | None = None, cells_b: Co
             F.concat(state["b"], F.flatten(F.transform(good, lambda t: t["p"]["b"]))).alias("b"),
         )
 
-    none = F.array().cast("array<bigint>")
     both = F.struct(a.alias("a"), b.alias("b"))
     start = F.struct(F.array(both).alias("todo"), none.alias("a"), none.alias("b")).cast(kind)
     if cells_a is not None and cells_b is not None:
@@ -318,12 +361,18 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(text, ",")
 
 
-def with_sketch(docs: DataFrame, text: str, digest_column: str, sketch_column: str) -> DataFrame:
-    """``docs`` with the paragraph digests of ``text`` and their one-block sketch."""
+def allow_deep_plans(docs: DataFrame) -> None:
+    """The analyzer needs an iteration for each level of nested lambdas; a session whose bound
+    is lower gets one that suffices."""
     conf = docs.sparkSession.conf
-    name = "spark.sql.analyzer.maxIterations"  # one for each level of nested lambdas
+    name = "spark.sql.analyzer.maxIterations"
     if int(conf.get(name, "100")) < 400:
         conf.set(name, "400")
+
+
+def with_sketch(docs: DataFrame, text: str, digest_column: str, sketch_column: str) -> DataFrame:
+    """``docs`` with the paragraph digests of ``text`` and their one-block sketch."""
+    allow_deep_plans(docs)
     rows = docs.withColumn(digest_column, digests(F.col(text)))
     return rows.withColumn(sketch_column, cells(F.col(digest_column), F.lit(0)))
 

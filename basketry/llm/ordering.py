@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,12 +28,24 @@ def key_buckets(df: DataFrame, key: str, name: str, rows: int = 2000) -> DataFra
     return cut.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(len(edges or [0.0]) + 1))).drop("_x")
 
 
-def with_next(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+def with_next(
+    df: DataFrame, key: str, order: list[str], value: str, name: str, derive: dict[str, Column] | None = None
+) -> DataFrame:
     """``df`` with ``name``: ``value`` of the next row by ``key`` and then ``order`` (after the
-    last: of the first). One shuffle by bucket; the first rows of the buckets fill the ends."""
+    last: of the first). One shuffle by bucket; the first rows of the buckets fill the ends.
+
+    ``derive``: columns computed once from each row after the shuffle. ``next_<column>`` is
+    that of the next row of the same bucket, null in a bucket's last row."""
     rows = key_buckets(df.withColumn("_value", F.struct(F.col(value).alias("v"))), key, "_bucket")
     by = [F.asc_nulls_last(key), *[F.asc_nulls_last(c) for c in order]]
-    inside = rows.withColumn("_next", F.lead("_value").over(Window.partitionBy("_bucket").orderBy(*by)))
+    bucket = Window.partitionBy("_bucket").orderBy(*by)
+    inside = rows.withColumn("_next", F.lead("_value").over(bucket))
+    added = []
+    for column, expression in (derive or {}).items():
+        inside = inside.withColumn(column, expression)
+    for column in derive or {}:  # the same order again: no further shuffle or sort
+        inside = inside.withColumn(f"next_{column}", F.lead(column).over(bucket))
+        added += [column, f"next_{column}"]
     place = F.struct(F.col(key).isNull(), key, *order)
     firsts = rows.groupBy("_bucket").agg(F.min_by("_value", place).alias("_first"))
     numbers = rows.groupBy("_bucket").agg(F.count("*"))  # one row for each bucket
@@ -47,4 +59,4 @@ def with_next(df: DataFrame, key: str, order: list[str], value: str, name: str)
     follow = before.join(firsts, before["_after"] == firsts["_bucket"]).select("_mine", "_first")
     joined = inside.join(follow, (inside["_bucket"] == follow["_mine"]) & inside["_next"].isNull(), "left")
     found = F.coalesce("_next", "_first")["v"]
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != name], found.alias(name))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in (name, *added)], *added, found.alias(name))

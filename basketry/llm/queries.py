@@ -33,13 +33,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = with_next(docs, "doc_id", ["text"], "text", "next_text")
+    fingerprints.allow_deep_plans(docs)
+    own = {"a": fingerprints.digests(F.col("text")), "a_cells": fingerprints.cells(F.col("a"), F.lit(0))}
+    pairs = with_next(docs, "doc_id", ["text"], "text", "next_text", own)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    versions = pairs.withColumn("edited", edited)
-    for text, version in (("text", "a"), ("edited", "b"), ("next_text", "c")):
-        versions = fingerprints.with_sketch(versions, text, version, f"{version}_cells")
+    versions = fingerprints.with_sketch(pairs.withColumn("edited", edited), "edited", "b", "b_cells")
+    # the next document's were computed in its own row; only the last of a bucket needs its text
+    versions = versions.withColumn("c", F.coalesce("next_a", fingerprints.digests(F.col("next_text"))))
+    versions = versions.withColumn("c_cells", F.coalesce("next_a_cells", fingerprints.cells(F.col("c"), F.lit(0))))
 
     for version in "bc":
         pair = F.col("a"), F.col(version), F.col("a_cells"), F.col(f"{version}_cells")

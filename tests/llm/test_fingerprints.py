@@ -5,14 +5,50 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from basketry.llm import fingerprints as fp
 from basketry.llm.ordering import key_buckets, with_next
 
 
+def _hash(*values):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode(), h)
+    return h
+
+
+def _cut(items, window, spacing, apart, longest):
+    n = len(items)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    marks = [i for i in range(1, n) if signed(_hash(*items[i : i + window])) % spacing == 0]
+    kept = [m for j, m in enumerate(marks) if j == 0 or m - marks[j - 1] >= apart]
+    starts = []
+    for a, b in zip([0, *kept], [*kept, n], strict=True):
+        starts += range(a, b, longest)
+    return ["".join(items[a:b]) for a, b in zip(starts, [*starts[1:], n], strict=True)]
+
+
+def cut(text):
+    """The paragraphs of a text, by the rules of the module."""
+    out = []
+    for sentence in re.split(r"\n|(?<=[.!?]) |(?<=[。！？｡।؟۔])", text or ""):
+        if len(sentence) <= fp.LONG:
+            out.append(sentence)
+            continue
+        words = re.split(r"(?<= )", sentence)
+        if all(len(w) <= fp.LONG for w in words):
+            for part in _cut(words, 1, *fp.WORD_CUTS) if len(words) > 1 else words:
+                out += [part[i : i + fp.LONG] for i in range(0, len(part), fp.LONG)] or [part]
+        else:
+            for w in words:
+                out += [w] if len(w) <= fp.LONG else _cut(list(w), 4, fp.SPACING, fp.APART, fp.LONG)
+    return out
+
+
 def paragraphs(text):
-    return Counter(re.split(r"\n|(?<=[.!?]) (?=[A-DÀ-È])", text or ""))
+    return Counter(cut(text))
 
 
 def likeness(a, b):
@@ -108,3 +144,53 @@ def test_paragraphs_are_short_and_whole(spark):
     got = {x["i"]: x["p"] for x in rows.select("i", fp._short(F.col("t")).alias("p")).collect()}
     for i, t in enumerate(texts):
         assert "".join(got[i]) == t and max(map(len, got[i])) <= fp.LONG
+
+
+def test_paragraphs_are_cut_as_the_rules_say(spark):
+    r = random.Random(8)
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randint(1, 9)))
+    texts = [None, "", "\n\n", ". . .", "a. b! c?", "x" * 500, " " * 400]
+    for alphabet in ("abcdef", "äöüßéà", "жзиклм", "漢字仮名"):
+        for _ in range(12):
+            words = [word(alphabet) + r.choice(["", "", "", "", "."]) * (r.random() < 0.2) for _ in range(r.randint(1, 150))]
+            texts.append(r.choice([" ", " ", "  "]).join(words))
+        texts.append("".join(word(alphabet) for _ in range(200)) + " end. " + "".join(word(alphabet) for _ in range(100)))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    fp.allow_deep_plans(rows)
+    got = {x["i"]: x["p"] for x in rows.select("i", fp.paragraphs(F.col("t")).alias("p")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == cut(t), (i, t)
+        assert all(len(p) <= fp.LONG for p in got[i])
+
+
+def test_query_is_the_plain_definition_on_every_document(spark, tmp_path):
+    import hashlib
+
+    from basketry.llm.queries import op1_fingerprints
+
+    r = random.Random(9)
+    sentence = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(r.randint(0, 30)) for _ in range(r.randint(2, 40)))
+    docs = [(i * 3, r.choice([". ", "\n"]).join(sentence() for _ in range(r.randint(0, 30)))) for i in range(60)]
+    docs += [(200, None), (201, ""), (202, docs[5][1]), (203, docs[5][1]), (204, "word " * 3000)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in op1_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    prints = {}
+    for (key, text), (_, following) in zip(docs, [*docs[1:], docs[0]], strict=True):
+        text, following = text or "", following or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        row = got[key]
+        assert row["n_chars"] == len(text)
+        assert row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert row["near_edited"] == pytest.approx(likeness(text, edited))
+        assert row["near_next"] == pytest.approx(likeness(text, following))
+        assert prints.setdefault(text, row["fingerprint"]) == row["fingerprint"]
+    assert got[202]["near_next"] == 1.0 and got[200]["fingerprint"] == got[201]["fingerprint"]
+    one = spark.createDataFrame([(1, "a. b. c")], "doc_id bigint, text string")
+    one.write.parquet(f"{tmp_path}/one/documents.parquet")
+    alone = op1_fingerprints(spark, f"{tmp_path}/one").collect()
+    assert [(x["near_edited"] <= 1, x["near_next"]) for x in alone] == [(True, 1.0)]
+    rows.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert op1_fingerprints(spark, f"{tmp_path}/none").count() == 0
