@@ -13,16 +13,17 @@ from . import (
     collisions,
     collocations,
     decontaminate,
-    fingerprints,
     htmltext,
     linededup,
     mixing,
     quality,
     secrets,
+    sketchpairs,
     spelling,
     tokenids,
     toxicity,
 )
+from .batches import bound_batches
 from .labelled import crc_bucket
 from .ordering import with_next
 
@@ -33,33 +34,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    fingerprints.allow_deep_plans(docs)
-    own = {"a": fingerprints.digests(F.col("text")), "a_cells": fingerprints.cells(F.col("a"), F.lit(0))}
-    pairs = with_next(docs, "doc_id", ["text"], "text", "next_text", own)
-    n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    versions = fingerprints.with_sketch(pairs.withColumn("edited", edited), "edited", "b", "b_cells")
-    # the next document's were computed in its own row; only the last of a bucket needs its text
-    versions = versions.withColumn("c", F.coalesce("next_a", fingerprints.digests(F.col("next_text"))))
-    versions = versions.withColumn("c_cells", F.coalesce("next_a_cells", fingerprints.cells(F.col("c"), F.lit(0))))
-
-    for version in "bc":
-        pair = F.col("a"), F.col(version), F.col("a_cells"), F.col(f"{version}_cells")
-        versions = versions.withColumn(f"{version}_apart", fingerprints.differences(*pair))
-
-    def near(version: str) -> Column:
-        return fingerprints.likeness(F.col("a"), F.col(version), F.col(f"{version}_apart"))
-
-    return versions.select(
-        "doc_id",
-        n.cast("bigint").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprints.fingerprint(F.col("a_cells")).alias("fingerprint"),
-        fingerprints.fingerprint(F.col("b_cells")).alias("edited_fingerprint"),
-        near("b").alias("near_edited"),
-        near("c").alias("near_next"),
-    )
+    bound_batches(spark)
+    pairs = with_next(docs, "doc_id", ["text"], "text", "next_text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return pairs.mapInArrow(sketchpairs.compared_rows("doc_id"), f"doc_id {kind}, {sketchpairs.RESULT}")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,18 @@ def test_query_is_the_plain_definition_on_every_document(spark, tmp_path):
     assert [(x["near_edited"] <= 1, x["near_next"]) for x in alone] == [(True, 1.0)]
     rows.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert op1_fingerprints(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_numpy_sketches_are_those_of_the_column_expressions(spark):
+    from basketry.llm import sketchpairs as sk
+
+    pairs = versions(3, 60) + [("", ""), ("a" * 900, "b " * 700), ("x. " * 40, "x. " * 41), ("word " * 300, "other " * 300)]
+    expected = compare(spark, pairs)
+    a, b = sk.digests([s or "" for s, _ in pairs]), sk.digests([t or "" for _, t in pairs])
+    for i, row in enumerate(expected):
+        for (d, of), column in ((a, "a"), (b, "b")):
+            assert sorted(d[of == i].view("i8").tolist()) == sorted(row[column])
+    assert sk.likeness(*a, *b, len(pairs)).tolist() == pytest.approx([row["l"] for row in expected])
+    rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(pairs)], "i int, text string")
+    prints = [r["fingerprint"] for r in fp.with_fingerprint(rows).orderBy("i").collect()]
+    assert [sk.fingerprint(n, x) for n, x in zip(*sk.cells(*a, len(pairs), 0), strict=True)] == prints
