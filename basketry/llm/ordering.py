@@ -36,10 +36,11 @@ def with_next(
 
     ``derive``: columns computed once from each row after the shuffle. ``next_<column>`` is
     that of the next row of the same bucket, null in a bucket's last row."""
-    rows = key_buckets(df.withColumn("_value", F.struct(F.col(value).alias("v"))), key, "_bucket")
+    rows = key_buckets(df, key, "_bucket")
     by = [F.asc_nulls_last(key), *[F.asc_nulls_last(c) for c in order]]
     bucket = Window.partitionBy("_bucket").orderBy(*by)
-    inside = rows.withColumn("_next", F.lead("_value").over(bucket))
+    # a value can be null, so the next row has a mark of its own
+    inside = rows.withColumn("_next", F.lead(value).over(bucket)).withColumn("_has", F.lead(F.lit(1)).over(bucket))
     added = []
     for column, expression in (derive or {}).items():
         inside = inside.withColumn(column, expression)
@@ -47,7 +48,7 @@ def with_next(
         inside = inside.withColumn(f"next_{column}", F.lead(column).over(bucket))
         added += [column, f"next_{column}"]
     place = F.struct(F.col(key).isNull(), key, *order)
-    firsts = rows.groupBy("_bucket").agg(F.min_by("_value", place).alias("_first"))
+    firsts = rows.groupBy("_bucket").agg(F.min_by(F.struct(F.col(value).alias("v")), place).alias("_first"))
     numbers = rows.groupBy("_bucket").agg(F.count("*"))  # one row for each bucket
     ends = Window.orderBy("_bucket")
     before = numbers.select(
@@ -57,6 +58,6 @@ def with_next(
         ).alias("_after"),
     )
     follow = before.join(firsts, before["_after"] == firsts["_bucket"]).select("_mine", "_first")
-    joined = inside.join(follow, (inside["_bucket"] == follow["_mine"]) & inside["_next"].isNull(), "left")
-    found = F.coalesce("_next", "_first")["v"]
+    joined = inside.join(follow, (inside["_bucket"] == follow["_mine"]) & inside["_has"].isNull(), "left")
+    found = F.when(F.col("_has").isNotNull(), F.col("_next")).otherwise(F.col("_first")["v"])
     return joined.select(*[F.col(f"`{c}`") for c in df.columns if c not in (name, *added)], *added, found.alias(name))

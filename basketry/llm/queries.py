@@ -34,7 +34,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bound_batches(spark)
+    bound_batches(spark, 2)  # three versions of each text are held at a time
     pairs = with_next(docs, "doc_id", ["text"], "text", "next_text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return pairs.mapInArrow(sketchpairs.compared_rows("doc_id"), f"doc_id {kind}, {sketchpairs.RESULT}")

@@ -232,7 +232,7 @@ def compared_rows(key: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
+        for batch in (b.slice(lo, 64) for b in batches for lo in range(0, b.num_rows, 64)):
             texts, following = batch["text"].to_pylist(), batch["next_text"].to_pylist()
             edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following, strict=True)]
             k = len(texts)
