@@ -292,7 +292,9 @@ def differences(a: Column, b: Column, cells_a: Column | None = None, cells_b: Co
 
         def cut(t: Column) -> Column:
             g = t["g"]
-            parts = F.greatest(F.lit(2), F.ceil(t["e"] / LOAD).cast("int"))
+            # a one-sided difference makes the squares grow faster: no more can differ than there are
+            most = F.least(t["e"], (F.size(g["a"]) + F.size(g["b"])).cast("double"))
+            parts = F.greatest(F.lit(2), F.ceil(most / LOAD).cast("int"))
 
             def side(ds: Column, n: int) -> Column:
                 place = lambda d: F.pmod(F.xxhash64(F.lit("block"), d, tier), parts).alias("p")
