@@ -70,5 +70,5 @@ def erfc(x: Column) -> Column:
 
 
 def significant(x: Column, digits: int = 9) -> Column:
-    """A double rounded to so many significant digits, by its text form."""
-    return F.format_string(f"%.{digits - 1}e", x).cast("double")
+    """A double rounded to so many significant digits, by its text form; NULL stays NULL."""
+    return F.when(x.isNotNull(), F.format_string(f"%.{digits - 1}e", x).cast("double"))

@@ -36,7 +36,7 @@ DEFAULT_BUCKETS = 128
 # Leading bits of an evenly spread key that make its bucket: 4096 buckets, so that a
 # group is ordered in that many tasks' worth of pieces.
 BUCKET_BITS = 12
-_BUCKET = "_pos_bucket"
+BUCKET = _BUCKET = "_pos_bucket"  # the column that ``with_bucket`` adds
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.numeric import round_half_up
-from ...functions.position import materialize, running_sums
+from ...functions.position import BUCKET, materialize, running_sums, with_bucket
 from ...functions.scalars import with_scalars
 
 
@@ -25,12 +25,41 @@ def _score_counts(scored: DataFrame, score: str, label: str, group_by: Sequence[
     )
 
 
+_RANGE = "_range"
+
+
 def _cumulative(scored: DataFrame, score: str, label: str, group_by: Sequence[str], bucket: Column | None) -> DataFrame:
-    """Written once: counts per distinct score with the counts at or below it."""
+    """Written once: counts per distinct score with the counts at or below it, and the
+    range of scores (``_range``) that a task handled."""
     counts = _score_counts(scored, score, label, group_by)
-    spread = F.floor(F.col("threshold") * F.lit(4096.0)) if bucket is None else bucket
+    if bucket is None:  # ranges with about as many distinct scores each, wherever they lie
+        counts = with_bucket(materialize(counts), "threshold").withColumnRenamed(BUCKET, _RANGE)
+    else:
+        counts = counts.withColumn(_RANGE, bucket)
     sums = {"_pos_le": F.col("pos"), "_neg_le": F.col("neg")}
-    return materialize(running_sums(counts, ["threshold"], sums, partition_by=group_by, bucket=spread))
+    return materialize(running_sums(counts, ["threshold"], sums, partition_by=group_by, bucket=F.col(_RANGE)))
+
+
+def _corners(cum: DataFrame, group_by: Sequence[str]) -> DataFrame:
+    """``cum`` without the thresholds whose point lies midway on the line of its neighbours.
+
+    The step to a point adds its ``pos`` and ``neg`` rows; a point is dropped if the step
+    to the next lower threshold adds the same, the first and the last one never. The next
+    lower threshold is in the same range, or it is the highest of the nearest range below:
+    those edge rows are exchanged through a table of one row for each range.
+    """
+    step = F.struct("pos", "neg")
+    inside = Window.partitionBy(*group_by, _RANGE).orderBy("threshold")
+    edges = cum.groupBy(*group_by, _RANGE).agg(F.max_by(step, F.col("threshold")).alias("_top"))
+    across = Window.partitionBy(*group_by).orderBy(_RANGE)  # one row for each range
+    below = edges.select(
+        *group_by, _RANGE, F.lag("_top").over(across).alias("_below"), F.lead(F.lit(1)).over(across).alias("_above")
+    )
+    near = cum.withColumn("_next", F.lag(step).over(inside)).withColumn("_higher", F.lead(F.lit(1)).over(inside))
+    joined = near.join(below, [*group_by, _RANGE])
+    following = F.coalesce("_next", "_below")
+    highest = F.col("_higher").isNull() & F.col("_above").isNull()
+    return joined.where(highest | following.isNull() | (step != following)).select(*[F.col(c) for c in cum.columns])
 
 
 def _totals(cum: DataFrame, group_by: Sequence[str]) -> DataFrame:
@@ -66,15 +95,18 @@ def roc_points(
     label: str = "label",
     group_by: Sequence[str] = (),
     bucket: Column | None = None,
+    drop_collinear: bool = False,
 ) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, plus the origin at threshold +inf.
 
     A point counts the rows with ``score >= threshold`` as predicted positive.
-    Collinear points are all kept. ``bucket``, a monotone expression of ``threshold``,
-    spreads the scores over tasks; the default suits scores from 0 to 1.
+    ``drop_collinear`` leaves out points midway on the line between their neighbours, as
+    they change no curve. ``bucket``, a monotone expression of ``threshold``, spreads the
+    scores over tasks; by default quantiles of the distinct scores do.
     """
     cum = _cumulative(scored, score, label, group_by, bucket)
-    return _points(cum, _totals(cum, group_by), group_by).drop("auc")
+    shown = _corners(cum, group_by) if drop_collinear else cum
+    return _points(shown, _totals(cum, group_by), group_by).drop("auc")
 
 
 def auc(
@@ -88,10 +120,12 @@ def auc(
     return _totals(_cumulative(scored, score, label, group_by, bucket), group_by).select(*group_by, "auc")
 
 
-def roc_curve_and_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def roc_curve_and_auc(
+    scored: DataFrame, score: str = "score", label: str = "label", drop_collinear: bool = False
+) -> DataFrame:
     """The ROC points with the AUC repeated on each row, from one table of cumulative counts."""
     cum = _cumulative(scored, score, label, (), None)
-    return _points(cum, _totals(cum, ()), ())
+    return _points(_corners(cum, ()) if drop_collinear else cum, _totals(cum, ()), ())
 
 
 def classification_metrics(

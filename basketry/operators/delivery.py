@@ -37,16 +37,18 @@ def _delivered_known(v: Views) -> DataFrame:
     )
 
 
+def delivery_status(v: Views, *columns) -> DataFrame:
+    """(order_id, delivery_status, ...) of the delivered orders with both dates, and the given columns of theirs."""
+    late = F.col("delivered_ts") > F.col("estimated_ts")
+    return _delivered_known(v).select("order_id", F.when(late, LATE).otherwise(ON_TIME).alias("delivery_status"), *columns)
+
+
 def delivery_facts(v: Views) -> DataFrame:
     """One row per (delivered order, review): status, calendar days late, score.
 
     An order with two reviews appears twice; an order without one not at all.
     """
-    o = _delivered_known(v).select(
-        "order_id",
-        F.when(F.col("delivered_ts") > F.col("estimated_ts"), LATE).otherwise(ON_TIME).alias("delivery_status"),
-        calendar_days("delivered_ts", "estimated_ts").alias("days_late"),
-    )
+    o = delivery_status(v, calendar_days("delivered_ts", "estimated_ts").alias("days_late"))
     return o.join(v.reviews.select("order_id", "review_score"), "order_id", "inner").select(
         "order_id", "delivery_status", "days_late", as_long("review_score").alias("review_score")
     )

@@ -21,7 +21,8 @@ from ..functions.dates import calendar_days
 from ..functions.numeric import as_long, round_half_up, sort_small
 from ..functions.position import log_bucket, materialize
 from ..functions.quantiles import bin_count, inner_edges, quantile_edges_multi, quantile_score
-from ..functions.sampling import SAMPLE, seeded_mix
+from ..functions.sampling import SAMPLE, mix_bits, seeded_mix
+from ..functions.selection import smallest_rows
 from ..sources import Views
 from .retention import delivered_person_orders
 from ..functions.scalars import with_scalars
@@ -152,8 +153,11 @@ def rfm_segment_coverage(v: Views, method: str = "exact", scores: DataFrame | No
 def rfm_sample(
     v: Views, n: int = 3000, seed: int = 42, method: str = "exact", scores: DataFrame | None = None
 ) -> DataFrame:
-    """Exactly ``min(n, persons)`` scored persons, drawn without replacement by a
-    seeded order (a top-k: each task keeps its best ``n`` rows)."""
-    segs = rfm_segments(v, method, scores)
-    key = seeded_mix(segs, "customer_unique_id", seed, SAMPLE)
-    return segs.orderBy(key, F.col("customer_unique_id")).limit(n)
+    """Exactly ``min(n, persons)`` scored persons, drawn without replacement in a seeded
+    order. Any ``n``: the key of the n-th person is found from histograms, then one filter
+    keeps them (``functions.selection``), so no task holds n rows. The scores are read a
+    few times; without ``scores`` they are written first."""
+    scores = materialize(rfm_scores(v, method)) if scores is None else scores
+    keyed = scores.withColumn("_mix", seeded_mix(scores, "customer_unique_id", seed, SAMPLE))
+    drawn = smallest_rows(keyed, n, "_mix", "customer_unique_id", mix_bits(scores, "customer_unique_id"))
+    return rfm_segments(v, method, drawn.drop("_mix"))

@@ -24,7 +24,7 @@ from ..functions.memo import Memo
 from ..functions.position import materialize
 from ..functions.workspace import Workspace, session_workspace, working_in
 from ..sources import csv as csv_source
-from ..sources import quarantine
+from ..sources import quarantine, sqlviews
 from ..sources.fixtures import DAMAGED_HEADER, damaged_payment_lines, fixture_views, raw_exports, scored, view_paths
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,7 @@ VIEW_JOBS = {
     "lateness_bucket_contrast": delivery.lateness_bucket_contrast,
     "mann_whitney_u": ranktest.mann_whitney_u,
     "mann_whitney_test": ranktest.mann_whitney_test,
+    "yearly_payment_test": ranktest.yearly_payment_test,
     # retention
     "customer_order_counts": retention.customer_order_counts,
     "purchase_frequency": retention.purchase_frequency,
@@ -97,6 +98,23 @@ def _on_scores(fn, **params) -> Job:
     return run
 
 
+def rfm_sample_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all scored persons, rounded up: a draw that grows with the data."""
+    scores = rfm_scores(spark, sf_dir)
+    return rfm.rfm_sample(fixture_views(spark, sf_dir), n=(scores.count() + 1) // 2, seed=11, scores=scores)
+
+
+def _on_sql(name: str, **args) -> Job:
+    """A statement as SQL text over the registered views."""
+    return lambda spark, sf_dir: sqlviews.run_statement(spark, fixture_views(spark, sf_dir), name, **args)
+
+
+SQL_JOBS: dict[str, Job] = {
+    "sql_customer_order_counts": _on_sql("customer_order_counts"),
+    "sql_installment_values": _on_sql("installment_values", payment_type="credit_card", low=1, high=12),
+    "sql_return_gaps": _on_sql("return_gaps"),
+}
+
 RFM_JOBS: dict[str, Job] = {
     "rfm_scores": rfm_scores,
     "rfm_segments": _on_scores(rfm.rfm_segments),
@@ -104,6 +122,7 @@ RFM_JOBS: dict[str, Job] = {
     "rfm_segment_coverage": _on_scores(rfm.rfm_segment_coverage),
     "rfm_sample": _on_scores(rfm.rfm_sample),
     "rfm_sample_small": _on_scores(rfm.rfm_sample, n=100, seed=7),
+    "rfm_sample_half": rfm_sample_half,
 }
 
 
@@ -222,6 +241,7 @@ CHURN_JOBS: dict[str, Job] = {
     "exact_boosting_checks": lambda spark, d: churn_checks.exact_checks(_exact_scores(spark, d), exact_trees(spark, d)),
     "churn_feature_importance": lambda spark, d: churn_models.feature_importance(fitted_models(spark, d), spark),
     "roc_curve_and_auc": lambda spark, d: churn_metrics.roc_curve_and_auc(scored(spark, d)),
+    "roc_curve_corners": lambda spark, d: churn_metrics.roc_curve_and_auc(scored(spark, d), drop_collinear=True),
     "classification_metrics": lambda spark, d: churn_metrics.classification_metrics(scored(spark, d)),
     "model_comparison": lambda spark, d: churn_models.model_comparison(fitted_models(spark, d)),
     "churn_test_rows": lambda spark, d: churn_checks.test_rows(fitted_models(spark, d)),
@@ -263,6 +283,7 @@ def queries() -> dict[str, Job]:
     jobs: dict[str, Job] = dict(INGEST_JOBS)
     jobs.update({name: _on_views(fn) for name, fn in VIEW_JOBS.items()})
     jobs.update(RFM_JOBS)
+    jobs.update(SQL_JOBS)
     jobs.update(CHURN_JOBS)
     return jobs
 
