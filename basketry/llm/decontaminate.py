@@ -17,14 +17,18 @@ weighted by its rarity among the items: a document passage of the item's length
 (and a margin for insertions) is a hit if the shared weight is at least
 ``threshold`` of the item's.
 
-The index of a benchmark chunk of at most ``max_words`` words is broadcast; a larger
-benchmark is scanned in several passes over the documents, with the rarities of the
-whole benchmark in each. Texts of any length are
-read in overlapping stretches of bounded size.
-
-Defined results: a null text counts as empty; items without words match nothing;
-items with equal text are all reported; an item of fewer than five words is one
-shingle. Rows are kept one for one; an existing column ``benchmark_hits`` is replaced.
+The index of a benchmark chunk of at most ``max_words`` words (or of one longer item) is
+broadcast; a larger benchmark is scanned in several passes over the documents, with the
+rarities of the whole benchmark in each. The passes run side by side over a written copy
+of the texts, one in a task, and their hits are put together by row. Texts and items of any
+length are read in overlapping stretches; the time for an item of very many words grows
+with its length times the number of places at which it may lie in a text.
+
+Defined results: a null text counts as empty; no documents give no rows; items without
+words match nothing; items with equal text are all reported, repeated items once; an item
+of fewer than five words is one shingle; ties between places go to the first. Rows are kept
+one for one, repeated ones too; an existing column ``benchmark_hits`` is replaced, all
+others stay.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,7 @@ from .batches import bound_batches
 
 _WORD = re.compile(r"\w+")
 _STRETCH = 1 << 16  # words at a time
+_LONG = 1 << 16  # windows of so many words don't fit packed counts
 _MEMO = 150_000
 HITS = T.ArrayType(
     T.StructType(
@@ -113,14 +119,36 @@ def _running(hashes: np.ndarray, largest: int) -> np.ndarray:
     holds the exact counts between them as long as these fit a lane.
     """
     lane = 1 if largest < 256 else 2
-    if largest >= 65536:
-        raise ValueError("items of more than 65535 words aren't supported")
     wide = _LANES[lane][hashes.view(np.uint8)].reshape(len(hashes), 8 * lane)
     out = np.zeros((len(hashes) + 1, 8 * lane), np.uint64)
     np.cumsum(wide, axis=0, out=out[1:])
     return out
 
 
+def _long_fingerprints(hashes: np.ndarray, size: int, step: int) -> np.ndarray:
+    """As ``_fingerprints``, for windows whose counts don't fit a lane: from one window to the
+    next the counts change by the words that enter and leave, a bounded part at a time."""
+
+    def bits(lo: int, hi: int) -> np.ndarray:
+        return np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
+
+    windows = max(0, (len(hashes) - size) // step + 1)
+    out = np.zeros((windows, 8), np.uint8)
+    if not windows:
+        return out
+    counts = sum(bits(lo, min(size, lo + _STRETCH)).sum(0, dtype=np.int64) for lo in range(0, size, _STRETCH))
+    out[0] = np.packbits(counts > size // 2)
+    done, many = 1, max(1, _STRETCH // step)
+    while done < windows:
+        n = min(many, windows - done)
+        at = (done - 1) * step
+        change = bits(at + size, at + size + n * step) - bits(at, at + n * step)
+        counts = counts + np.cumsum(np.add.reduceat(change, np.arange(0, n * step, step), axis=0, dtype=np.int64), axis=0)
+        out[done : done + n] = np.packbits(counts > size // 2, axis=1)
+        counts, done = counts[-1], done + n
+    return out
+
+
 def _fingerprints(running: np.ndarray, size: int, step: int) -> np.ndarray:
     """(windows, 8) bytes: SimHash of the windows that start at 0, step, 2 step, ..."""
     n = len(running) - 1
@@ -157,6 +185,7 @@ class BenchmarkIndex:
             if w:
                 by_size.setdefault(item_window(len(w), threshold), []).append(j)
         self.by_size = {}
+        self.packed = max((x for x in by_size if x < _LONG), default=0)  # the longest with packed counts
         n_blocks = radius + 1
         # block boundaries on bits; every block is at most 16 bits wide
         cuts = [round(b * 64 / n_blocks) for b in range(n_blocks + 1)]
@@ -166,7 +195,8 @@ class BenchmarkIndex:
         for size, members in by_size.items():
             prints, item, offset = [], [], []
             for j in members:
-                f = _fingerprints(_running(_hashes(self.words[j], {}), max(by_size)), size, 1)
+                hashes = _hashes(self.words[j], {})
+                f = _long_fingerprints(hashes, size, 1) if size >= _LONG else _fingerprints(_running(hashes, size), size, 1)
                 prints.append(f)
                 item += [j] * len(f)
                 offset += range(len(f))
@@ -214,11 +244,12 @@ class BenchmarkIndex:
     def candidates(self, hashes: np.ndarray) -> set[tuple[int, int]]:
         """(item, aligned start) of all windows within the radius; starts count from the
         first word of ``hashes`` and can lie before it."""
-        running = _running(hashes, self.longest)
+        running = _running(hashes, self.packed) if self.packed else None
         found: set[tuple[int, int]] = set()
         for size, (prints, item, offset, tables) in self.by_size.items():
             step = stride(size)
-            mine = _fingerprints(running, size, step).view(">u8").ravel().astype(np.uint64)
+            prints_here = _long_fingerprints(hashes, size, step) if size >= _LONG else _fingerprints(running, size, step)
+            mine = prints_here.view(">u8").ravel().astype(np.uint64)
             for (a, b), (starts, order, used) in zip(self.cuts, tables, strict=True):
                 value = self._block(mine, a, b)
                 at = np.flatnonzero(used[value])
@@ -254,6 +285,58 @@ class BenchmarkIndex:
         return sum(w for s, w in weights.items() if s in there) / sum(weights.values())
 
 
+def _apart(starts: list[int], gap: int) -> Iterator[list[int]]:
+    """The ascending ``starts``, cut where two are more than ``gap`` apart."""
+    group: list[int] = []
+    for start in starts:
+        if group and start - group[-1] > gap:
+            yield group
+            group = []
+        group.append(start)
+    yield group
+
+
+def _window_sums(found: list[tuple[int, tuple[str, ...]]], weights: dict, windows: list[tuple[int, int]], size: int) -> np.ndarray:
+    """The weight of the distinct shingles in each window [a, b) of words; windows and
+    ``found`` (place, shingle) ascend, so every shingle enters and leaves once."""
+    held: Counter = Counter()
+    total, head, tail, out = 0.0, 0, 0, []
+    for a, b in windows:
+        while head < len(found) and found[head][0] <= b - size:
+            s = found[head][1]
+            total += 0.0 if held[s] else weights[s]
+            held[s] += 1
+            head += 1
+        while tail < head and found[tail][0] < a:
+            s = found[tail][1]
+            held[s] -= 1
+            total -= 0.0 if held[s] else weights[s]
+            tail += 1
+        out.append(total)
+    return np.array(out)
+
+
+def _best_place(index: BenchmarkIndex, j: int, words: list[str], starts: list[int]) -> tuple[float, float, int]:
+    """(similarity with a margin, without it, -start) of the best of the ascending ``starts``.
+    Running sums pick it, the earliest of those that agree to 1e-7; its shares are computed in full."""
+    n, weights = len(index.words[j]), index.weights[j]
+    margin, size = max(1, n // 8), min(5, n)
+    wide = [(max(0, at - margin), max(0, at + n + margin)) for at in starts]
+    tight = [(max(0, at), max(0, at + n)) for at in starts]
+    best = 0
+    if len(starts) > 1:
+        lo, part = wide[0][0], words[wide[0][0] : wide[-1][1]]
+        runs = enumerate(zip(*(part[i:] for i in range(size)), strict=False), lo)
+        found = [(at, s) for at, s in runs if s in weights]
+        left = np.arange(len(starts))
+        for windows in (wide, tight):
+            sums = _window_sums(found, weights, [windows[i] for i in left], size)
+            # of equal alignments with the margin the one that is best without it
+            left = left[sums >= sums.max() - 1e-7]
+        best = int(left[0])
+    return index.similarity(j, words[slice(*wide[best])]), index.similarity(j, words[slice(*tight[best])]), -starts[best]
+
+
 def _scan(index: BenchmarkIndex, texts: list[str | None], memo: dict[str, int]) -> list[list[tuple[int, int, int, float]]]:
     """The hits of each text: (item id, start, end, similarity), in code points."""
     lists = [word_list(t) for t in texts]
@@ -262,8 +345,9 @@ def _scan(index: BenchmarkIndex, texts: list[str | None], memo: dict[str, int])
     words = [w for ws in lists for w in ws]
     seen: set[tuple[int, int, int]] = set()
     overlap = max(5, index.longest)
-    for lo in range(0, len(words), _STRETCH):
-        hashes = _hashes(words[lo : lo + _STRETCH + overlap], memo)
+    stretch = max(_STRETCH, overlap)
+    for lo in range(0, len(words), stretch):
+        hashes = _hashes(words[lo : lo + stretch + overlap], memo)
         for j, start in index.candidates(hashes):
             n = len(index.words[j])
             # the text that holds the passage's middle; windows across texts fail the check
@@ -274,15 +358,14 @@ def _scan(index: BenchmarkIndex, texts: list[str | None], memo: dict[str, int])
         for j, start, place in index.rare_places(hashes):
             d = int(np.searchsorted(ends, lo + place, side="right"))
             seen.add((d, j, lo + start - int(ends[d]) + len(lists[d])))
-    best: dict[tuple[int, int], tuple[float, float, int]] = {}
-    for d, j, start in seen:
-        n = len(index.words[j])
-        margin = max(1, n // 8)
-        s = index.similarity(j, lists[d][max(0, start - margin) : max(0, start + n + margin)])
-        if s >= index.threshold:
-            # of equal alignments with the margin the one that is best without it
-            tight = index.similarity(j, lists[d][max(0, start) : max(0, start + n)])
-            best[d, j] = max(best.get((d, j), (0.0, 0.0, 0)), (s, tight, -start))
+    places: dict[tuple[int, int], list[int]] = {}
+    for d, j, start in sorted(seen):
+        places.setdefault((d, j), []).append(start)
+    best = {}
+    for (d, j), starts in places.items():
+        found = [_best_place(index, j, lists[d], near) for near in _apart(starts, 2 * len(index.words[j]))]
+        if max(found)[0] >= index.threshold:
+            best[d, j] = max(found)
     for (d, j), (s, _, start) in sorted(best.items()):
         spans = [m.span() for m in _WORD.finditer(texts[d].lower())]
         a, b = max(0, -start), min(len(spans), len(index.words[j]) - start)
@@ -335,9 +418,10 @@ def scan_benchmark(
     schema = T.StructType([*rows.schema, T.StructField("benchmark_hits", HITS)])
     if not chunks:
         return rows.withColumn("benchmark_hits", F.array().cast(HITS))
-    out = rows
     chunk = F.pmod(F.xxhash64("text"), F.lit(chunks))
-    counts = session_workspace(docs.sparkSession).table(_counts(items, chunk), "shingle-counts") if chunks > 1 else None
+    work = session_workspace(docs.sparkSession)
+    counts = work.table(_counts(items, chunk), "shingle-counts") if chunks > 1 else None
+    shared = []
     for c in range(chunks):
         # at most about max_words words
         own: Column = chunk == c
@@ -349,9 +433,23 @@ def scan_benchmark(
         else:  # the shingles of this chunk alone
             df = {tuple(r["shingle"].split(" ")): r["n"] for r in counts.filter(F.col("chunk") == c).collect()}
         rarity = {s: math.log1p(size["items"] / n) for s, n in df.items()}
-        shared = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(held, rarity, threshold, radius))
-        out = out.mapInArrow(_pass(shared, text), schema)
-    return out if "benchmark_hits" in out.columns else rows.withColumn("benchmark_hits", F.array().cast(HITS))
+        shared.append(docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(held, rarity, threshold, radius)))
+    if len(shared) == 1:
+        return rows.mapInArrow(_pass(shared[0], text), schema)
+    # numbered rows, written once: the numbers are the same in all passes
+    numbered = work.table(rows.withColumn(_ROW, F.monotonically_increasing_id()), "numbered-documents")
+    texts = numbered.select(_ROW, F.col(text))
+    narrow = T.StructType([*texts.schema, T.StructField("benchmark_hits", HITS)])
+    passes = [texts.mapInArrow(_pass(index, text), narrow).filter(F.size("benchmark_hits") > 0) for index in shared]
+    found = reduce(DataFrame.unionByName, [p.select(_ROW, "benchmark_hits") for p in passes])
+    merged = found.groupBy(_ROW).agg(F.sort_array(F.flatten(F.collect_list("benchmark_hits"))).alias("benchmark_hits"))
+    merged = work.table(merged, "benchmark-hits")
+    joined = numbered.join(merged, _ROW, "left").drop(_ROW)
+    return joined.withColumn("benchmark_hits", F.coalesce("benchmark_hits", F.array().cast(HITS)))
+
+
+#: A private column that numbers the rows between passes.
+_ROW = "_benchmark_row"
 
 
 def _pass(shared, text: str):
@@ -366,9 +464,6 @@ def _pass(shared, text: str):
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
                 hits = [[dict(zip(names, h, strict=True)) for h in x] for x in _scan(index, batch[text].to_pylist(), memo)]
-                if "benchmark_hits" in batch.schema.names:  # of an earlier pass
-                    hits = [a + b for a, b in zip(batch["benchmark_hits"].to_pylist(), hits, strict=True)]
-                    batch = batch.drop_columns(["benchmark_hits"])
                 yield batch.append_column("benchmark_hits", pa.array(hits, kind))
 
     return rows

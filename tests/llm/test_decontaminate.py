@@ -139,3 +139,41 @@ def test_passes_share_the_rarities_of_the_whole_benchmark(spark):
     assert sum(map(len, whole.values())) > 40
     for max_words in (400, 50):
         assert {d: sorted(h) for d, h in scan(spark, items, docs, max_words=max_words).items()} == {d: sorted(h) for d, h in whole.items()}
+
+
+@pytest.mark.parametrize("size,step", [(5, 1), (40, 5), (300, 37), (1000, 125)])
+def test_long_windows_have_the_same_fingerprints(size, step):
+    hashes = np.random.default_rng(size).integers(0, 2**63, 1500).astype(np.uint64)
+    want = dc._fingerprints(dc._running(hashes, size), size, step)
+    before = dc._STRETCH
+    try:
+        for dc._STRETCH in (64, 1 << 16):
+            assert (dc._long_fingerprints(hashes, size, step) == want).all()
+    finally:
+        dc._STRETCH = before
+    assert len(dc._long_fingerprints(hashes[: size - 1], size, step)) == 0
+
+
+def test_an_item_of_very_many_words(spark):
+    r = random.Random(8)
+    item = [f"w{r.randrange(10**6)}" for _ in range(90_000)]
+    other = [f"w{r.randrange(10**6)}" for _ in range(30_000)]
+    cut = item[:40_000] + ["between"] * 3 + item[40_000:80_000]
+    docs = [(1, " ".join(other + item)), (2, " ".join(cut)), (3, " ".join(item[:60_000])), (4, "short text"), (5, None)]
+    got = scan(spark, [(7, " ".join(item)), (8, "a short item of seven words here")], docs)
+    hits = {d: [h["item_id"] for h in hs] for d, hs in got.items()}
+    assert hits == {1: [7], 2: [7], 3: [], 4: [], 5: []}
+    assert got[1][0]["start"] == len(" ".join(other)) + 1
+
+
+def test_several_passes_keep_rows_and_columns(spark):
+    items, docs = planted(n_items=12)
+    rows = spark.createDataFrame([(d, t, "x", 1.5) for d, t in docs] + [(None, None, None, None)] * 2, "doc_id bigint, text string, item_id string, benchmark_hits double")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    many = dc.scan_benchmark(rows, bench, max_words=60)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # the passes don't run in a row
+    one = dc.scan_benchmark(rows, bench)
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)
+    assert many.columns == one.columns == ["doc_id", "text", "item_id", "benchmark_hits"]
+    assert sorted(many.collect(), key=key) == sorted(one.collect(), key=key)
