@@ -1,7 +1,8 @@
 """Line deduplication with a deletion-neighbourhood join (built-in functions only).
 
 A line is dropped if an earlier line (by document key, then line number) is equal to
-it, or differs by one edit (a character inserted, deleted or replaced). Whether the
+it, whatever its length, or if both have at least ``min_chars`` characters and differ by
+one edit (a character inserted, deleted or replaced). Whether the
 earlier line is itself dropped makes no difference, so the result does not depend on
 the order of work.
 
@@ -21,8 +22,9 @@ earliest lines before any join, and each line is compared with one of those.
 Lookup tables of at most ``max_broadcast`` rows (shared halves, lines with a partner,
 repeated lines) are broadcast after their rows have been counted, larger ones joined.
 
-Defined results: a null text has no lines and stays null; lines shorter than
-``min_chars`` characters, and lines of white space, are never dropped; rows with
+Defined results: a null text has no lines and stays null; an empty table gives an empty
+one; lines of white space are never dropped; a line shorter than ``min_chars`` characters,
+where one edit is a large part of it, is dropped for an equal line only; rows with
 equal keys count as one document, so a line of theirs is kept in each of them; a null
 key comes first. The work for a line that shares a half grows with the square of its
 length (one hash for each deleted character). Columns of the input named like an
@@ -37,10 +39,10 @@ from pyspark.sql import functions as F
 from ..functions.workspace import Workspace, session_workspace
 
 
-def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(key, line_no, line, h, h2) of the lines that can be dropped."""
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line_no, line, h, h2) of the lines that can be dropped: all but white space."""
     split = docs.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    return split.filter((F.length("line") >= min_chars) & F.rlike("line", F.lit(r"\S"))).select(
+    return split.filter(F.rlike("line", F.lit(r"\S"))).select(
         "key", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64(F.lit("check"), "line").alias("h2")
     )
 
@@ -95,15 +97,16 @@ def duplicate_lines(
     workspace: Workspace | None = None,
 ) -> DataFrame:
     """(key, line_no, near): the lines to drop; ``near`` is true for those without an
-    earlier equal line. ``max_edits`` is 0 (equal lines only) or 1."""
+    earlier equal line. ``max_edits`` is 0 (equal lines only) or 1, for lines of at least
+    ``min_chars`` characters."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits must be 0 or 1")
     work = workspace or session_workspace(docs.sparkSession)
-    lines = _lines(docs, key, text, min_chars)
+    lines = _lines(docs, key, text)
     place = F.struct("key", "line_no")
     firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     if max_edits:
-        near = work.table(_near_lines(lines, work, max_broadcast), "near-lines")
+        near = work.table(_near_lines(lines.filter(F.length("line") >= min_chars), work, max_broadcast), "near-lines")
         firsts = firsts.join(near.select("h", "h2", F.lit(True).alias("near")), ["h", "h2"], "left")
     else:
         firsts = firsts.withColumn("near", F.lit(None).cast("boolean"))

@@ -57,7 +57,7 @@ def _op8() -> str:
     WITH l AS (
         SELECT doc_id, i - 1 AS line_no, line FROM (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
-    able AS (SELECT * FROM l WHERE length(line) >= 20 AND regexp_matches(line, '\S')),
+    able AS (SELECT * FROM l WHERE regexp_matches(line, '\S')),
     d AS (SELECT line, min(doc_id * 1000000000 + line_no) AS first, length(line) AS n FROM able GROUP BY line),
     halves AS (
         SELECT line, first, n, n - longer AS short, longer, side,
@@ -65,7 +65,7 @@ def _op8() -> str:
         FROM d, (VALUES (0), (1)) a(longer), (VALUES (0), (1)) b(side)),
     near AS (
         SELECT DISTINCT a.line FROM halves a JOIN halves b USING (side, short, half)
-        WHERE b.first < a.first AND levenshtein(a.line, b.line) <= 1),
+        WHERE b.first < a.first AND a.n >= 20 AND b.n >= 20 AND levenshtein(a.line, b.line) <= 1),
     judged AS (
         SELECT l.doc_id, l.line_no, l.line, d.first IS NOT NULL AND d.first <> l.doc_id * 1000000000 + l.line_no AS equal,
                d.first = l.doc_id * 1000000000 + l.line_no AND near.line IS NOT NULL AS near

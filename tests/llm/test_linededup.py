@@ -22,7 +22,7 @@ def brute_force(docs, min_chars, max_edits=1):
     places = {}
     for k, text in docs:
         for no, line in enumerate((text or "").split("\n") if text is not None else []):
-            if len(line) >= min_chars and line.strip():
+            if line.strip():
                 places.setdefault(line, []).append((k, no))
     first = {line: min(p) for line, p in places.items()}
     out = {}
@@ -34,8 +34,8 @@ def brute_force(docs, min_chars, max_edits=1):
         for no, line in enumerate(lines):
             if line in first and first[line] < (k, no):
                 equal += 1
-            elif line in first and max_edits and any(
-                o != line and first[o] < first[line] and distance_within_one(line, o) for o in first
+            elif line in first and max_edits and len(line) >= min_chars and any(
+                o != line and len(o) >= min_chars and first[o] < first[line] and distance_within_one(line, o) for o in first
             ):
                 near += 1
             else:
