@@ -1,21 +1,26 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are compared: one trained on ordinary text, one that
-also holds the segments that mark toxic text (word forms whose document frequency is
-many times higher in toxic than in ordinary documents; a match can also cover the
-beginning they share with another form). They
-share their entropy tables, so a window that has nothing to do with the toxic
-segments costs the same bytes with either, and a toxic window costs fewer with the
-second. Windows are word windows (``window_words`` words, one by default: a short
-window keeps the noise of the rest of a sentence out of the comparison).
-
-A document's features are the counts of windows per class (bytes saved, bytes left)
-and its number of windows; a logistic calibration with the class sizes of all labels
-turns them into a score. Whole texts are scored, in one pass, row by row.
+Two zstandard dictionaries are trained: one on windows of ordinary text, one on the
+windows of toxic text that hold a marking word form (one whose document frequency is
+many times higher in toxic than in ordinary documents). A window's distance is the
+difference of its compressed lengths with the ordinary dictionary alone and with the
+toxic one beside it, so text that has nothing to do with either costs the same. Windows
+of ordinary text that the toxic dictionary shortens by chance (a shared beginning of a
+word, say) train further parts of the ordinary one, in ``rounds`` rounds. Windows are
+``window_words`` words in two bytes a character, so that a short word is long enough
+beside the fixed cost of a frame; a window of one word, the default, keeps the noise of
+its neighbours out of the comparison.
+
+A document's features are its numbers of windows by bytes saved and by bytes left, from
+each threshold up, and its number of windows; a logistic calibration with the class sizes
+of all labels weights the thresholds and gives a score. Whole texts are scored, in one
+pass, row by row.
 
 Defined results: a null text counts as empty; an empty text gets the score of no
-windows (the calibrated base). With no labelled rows of one class the score is the
-share of label 1 (0 without labels). Rows are kept one for one; an existing column
+windows (the calibrated base). With no labelled rows of one class, or no marking form,
+the score is the share of label 1 (0 without labels). An empty table gives no rows, equal
+texts equal scores, ties at a threshold count as above it; a very long text holds one
+counter for each different window. Rows are kept one for one; an existing column
 ``toxicity`` is replaced.
 """
 
@@ -23,6 +28,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,24 +44,32 @@ from .batches import bound_batches
 from .labelled import labelled_sample
 
 _WORD = re.compile(r"\w+")
-_SAVED, _REST = 8, (5, 7, 9)  # classes: bytes saved, and bytes that the toxic dictionary leaves
-_CLASSES = _SAVED * (len(_REST) + 1)
+_SAVED = 24  # thresholds on the bytes that the toxic dictionary saves
+_LEFT = (5, 7, 9, 12, 15)  # thresholds on the bytes that it leaves
 EVIDENCE = 16.0  # least evidence for a marking word form
 _MEMO = 120_000  # remembered windows per task
 
 
 def _params() -> zstandard.ZstdCompressionParameters:
     return zstandard.ZstdCompressionParameters(
-        window_log=16, chain_log=14, hash_log=14, search_log=5, min_match=4, target_length=32,
+        window_log=17, chain_log=16, hash_log=16, search_log=5, min_match=6, target_length=32,
         strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_dict_id=False,
     )
 
 
+def _window_bytes(window: str) -> bytes:
+    return f" {window} ".encode("utf-16-le", "surrogatepass")
+
+
+def _windows(words: list[str], k: int) -> list[str]:
+    return words if k == 1 else [" ".join(words[i : i + k]) for i in range(0, max(1, len(words) - k + 1))]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    ordinary: bytes
+    ordinary: bytes  # contents of the trained dictionaries
     toxic: bytes
-    weights: tuple[float, ...]  # intercept, window classes, log(windows + 1)
+    weights: tuple[float, ...]  # intercept, bytes saved, bytes left, log(windows + 1)
     window_words: int
 
     def scorer(self) -> _Scorer:
@@ -65,34 +79,36 @@ class ToxicityModel:
 class _Scorer:
     def __init__(self, model: ToxicityModel):
         self.k, self.weights = model.window_words, np.array(model.weights)
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, int]] = {}
         self.compressors = []
-        for content in (model.ordinary, model.toxic):
-            d = zstandard.ZstdCompressionDict(content)
+        for content in (model.ordinary, model.ordinary + model.toxic):
+            # raw content: windows are coded alike with both, matches aside
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=_params())
             self.compressors.append(zstandard.ZstdCompressor(compression_params=_params(), dict_data=d))
         self.frame = len(self.compressors[0].compress(b""))
 
-    def _class(self, window: str) -> int:
-        """The class of a window; class 0 saves nothing."""
-        raw = f" {window} ".encode()
-        plain, toxic = (len(c.compress(raw)) for c in self.compressors)
-        saved = min(plain - toxic, _SAVED)
-        return 0 if saved <= 0 else saved + _SAVED * sum(toxic - self.frame > r for r in _REST)
+    def lengths(self, window: str) -> tuple[int, int]:
+        """Bytes of a window that the toxic dictionary saves, and those that it leaves."""
+        found = self.memo.get(window)
+        if found is None:
+            if len(self.memo) >= _MEMO:
+                self.memo.clear()
+            raw = _window_bytes(window)
+            plain, toxic = (len(c.compress(raw)) for c in self.compressors)
+            found = self.memo[window] = (plain - toxic, toxic - self.frame)
+        return found
 
     def features(self, text: str) -> np.ndarray:
-        words = _WORD.findall(text.lower())
-        k = self.k
-        windows = words if k == 1 else [" ".join(words[i : i + k]) for i in range(0, max(1, len(words) - k + 1))]
-        counts, memo = np.zeros(_CLASSES + 1), self.memo
+        windows = _windows(_WORD.findall(text.lower()), self.k)
+        saved, left = np.zeros(_SAVED + 1), np.zeros(len(_LEFT) + 1)
         for window, n in Counter(windows).items():
-            c = memo.get(window)
-            if c is None:
-                if len(memo) >= _MEMO:
-                    memo.clear()
-                c = memo[window] = self._class(window)
-            counts[c] += n
-        return np.append(np.log1p(counts[1:]), np.log1p(len(windows)))
+            gain, rest = self.lengths(window)
+            if gain > 0:
+                saved[min(gain, _SAVED)] += n
+                left[bisect_left(_LEFT, rest)] += n
+        counts = np.concatenate([saved[:0:-1].cumsum()[::-1], left[:-1].cumsum()])
+        return np.append(np.log1p(counts), np.log1p(len(windows)))
 
     def score(self, text: str) -> float:
         z = self.weights[0] + self.features(text) @ self.weights[1:] if len(self.weights) > 1 else self.weights[0]
@@ -131,10 +147,54 @@ def _plain_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for text in batch["text"].to_pylist():
             words = _WORD.findall(text.lower())
-            lines = [" " + " ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
+            lines = [" ".join(words[i : i + 8]) for i in range(0, len(words), 8)]
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["window"])
 
 
+def _marked_windows(marks: frozenset[str], k: int):
+    """The windows that hold a marking form."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                found = [w for w in _windows(_WORD.findall(text.lower()), k) if not marks.isdisjoint(w.split(" "))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["window"])
+
+    return rows
+
+
+def _mistaken_windows(model: ToxicityModel, marks: frozenset[str]):
+    """The windows without a marking form that the toxic dictionary shortens."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = model.scorer()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                windows = _windows(_WORD.findall(text.lower()), model.window_words)
+                found = [w for w in windows if scorer.lengths(w)[0] > 0 and marks.isdisjoint(w.split(" "))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["window"])
+
+    return rows
+
+
+def _drawn(windows: DataFrame, most: int) -> list[bytes]:
+    """At most ``most`` windows, those of smallest hash with the number of the row."""
+    rows = windows.groupBy("window").agg(F.count("*").alias("n"))
+    # each occurrence is a sample of its own, as the trainer counts samples
+    rows = rows.select("window", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    rows = rows.orderBy(F.xxhash64("window", "i"), "window", "i").limit(most).collect()  # ``most`` rows
+    return [_window_bytes(r["window"]) for r in rows]
+
+
+def _dictionary(windows: list[bytes], size: int) -> bytes:
+    """The content of a dictionary trained on the windows."""
+    try:
+        return zstandard.train_dictionary(size, windows).as_bytes()
+    except zstandard.ZstdError:  # too few windows to train on: plain content, the most frequent last
+        counts = Counter(windows)
+        return b"".join(sorted(counts, key=lambda w: (counts[w], w)))[-size:]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weighted ridge logistic regression by Newton steps; weights for unscaled features."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -169,37 +229,44 @@ def train_toxicity(
     text: str = "text",
     max_docs_per_class: int = 6000,
     max_units: int = 2000,
-    max_windows: int = 20_000,
-    dictionary_bytes: int = 4096,
+    max_windows: int = 40_000,
+    ordinary_bytes: int = 8192,
+    toxic_bytes: int = 4096,
     ratio: float = 20.0,
     window_words: int = 1,
+    rounds: int = 2,
 ) -> ToxicityModel:
     """Fit on at most ``max_docs_per_class`` labelled documents of each class among those
-    that ``keep`` (a condition on ``labels``) admits. At most ``max_windows`` windows of
-    eight words and ``max_units`` marking segments reach the driver."""
+    that ``keep`` (a condition on ``labels``) admits. At most ``max_windows`` windows for
+    each dictionary and ``max_units`` marking forms reach the driver."""
     bound_batches(docs.sparkSession)
     sample, sizes = labelled_sample(docs, labels, label, keep, max_docs_per_class, key, text)
     n = sizes[0] + sizes[1]
+    share = sizes[1] / n if n else 0.0
+    base = (math.log((share + 1e-9) / (1 - share + 1e-9)),)
     if not sizes[0] or not sizes[1]:
-        share = sizes[1] / n if n else 0.0
-        return ToxicityModel(b"", b"", (math.log((share + 1e-9) / (1 - share + 1e-9)),), window_words)
+        return ToxicityModel(b"", b"", base, window_words)
     drawn = {y: min(max_docs_per_class, sizes[y]) for y in sizes}
-    segments = _marking_units(sample, drawn[1], drawn[0], max_units, ratio)
-    windows = sample.filter("y = 0").mapInArrow(_plain_windows, "window string")
-    windows = [r["window"].encode() for r in windows.orderBy(F.xxhash64("window"), "window").limit(max_windows).collect()]
-    try:
-        ordinary = zstandard.train_dictionary(dictionary_bytes, windows).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: plain content
-        ordinary = b"".join(windows)[-dictionary_bytes:] or b" " * 8
-    # the strongest segments last, where offsets are shortest
-    toxic = ordinary + "".join(f" {s} " for s in reversed(segments)).encode()
+    marks = frozenset(_marking_units(sample, drawn[1], drawn[0], max_units, ratio))
+    if not marks:
+        return ToxicityModel(b"", b"", base, window_words)
+    plain, toxic_rows = sample.filter("y = 0"), sample.filter("y = 1")
+    ordinary = _dictionary(_drawn(plain.mapInArrow(_plain_windows, "window string"), max_windows), ordinary_bytes)
+    marked = toxic_rows.mapInArrow(_marked_windows(marks, window_words), "window string")
+    toxic = _dictionary(_drawn(marked, max_windows), toxic_bytes)
+    for _ in range(rounds):
+        so_far = ToxicityModel(ordinary, toxic, (0.0,), window_words)
+        mistaken = _drawn(plain.mapInArrow(_mistaken_windows(so_far, marks), "window string"), max_windows)
+        if not mistaken:
+            break
+        ordinary += _dictionary(mistaken, min(ordinary_bytes, max(1024, 4 * len(mistaken))))
 
     blank = ToxicityModel(ordinary, toxic, (0.0,), window_words)
     spread = sample.mapInArrow(_feature_rows(blank), "x array<double>, y int")
     got = spread.collect()  # one short vector for each sampled document
     x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
     if len(set(y)) < 2:
-        return ToxicityModel(ordinary, toxic, (math.log(sizes[1] / sizes[0]),), window_words)
+        return ToxicityModel(ordinary, toxic, base, window_words)
     weight = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
     weight *= len(y) / weight.sum()
     return ToxicityModel(ordinary, toxic, tuple(_logistic(x, y, weight)), window_words)

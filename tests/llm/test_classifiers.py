@@ -91,3 +91,31 @@ def test_labelled_sample_is_bounded_and_repeatable(spark, tables):
     assert len(draw(docs)) == 40 and draw(docs) == draw(docs.repartition(7))
     sizes = labelled_sample(docs, labels.union(labels), "toxic", F.lit(True), 20)[1]
     assert sizes == {0: 450, 1: 150}
+
+
+def test_toxic_dictionary_is_trained_on_toxic_windows_and_lengths_are_the_compressed_ones(tables):
+    import zstandard
+
+    docs, labels = tables
+    held = crc_bucket("doc_id", 5) == 0
+    model = toxicity.train_toxicity(docs, labels, ~held)
+    word, plain = toxicity._window_bytes("hatewhim"), toxicity._window_bytes("badanbalor")
+    assert word in model.toxic and word not in model.ordinary
+
+    def length(content, raw):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(compression_params=toxicity._params(), dict_data=d).compress(raw))
+
+    scorer = model.scorer()
+    for window, raw in (("hatewhim", word), ("badanbalor", plain)):
+        with_toxic = length(model.ordinary + model.toxic, raw)
+        assert scorer.lengths(window) == (length(model.ordinary, raw) - with_toxic, with_toxic - scorer.frame)
+    assert scorer.lengths("hatewhim")[0] > 0 >= scorer.lengths("badanbalor")[0]
+
+
+def test_toxicity_without_marking_forms_is_the_share(spark):
+    docs = spark.createDataFrame([(i, "same words in all of them") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 3) for i in range(40)], "doc_id bigint, toxic int")
+    model = toxicity.train_toxicity(docs, labels, F.lit(True))
+    scores = {round(r["toxicity"], 6) for r in toxicity.score_toxicity(docs, model).collect()}
+    assert scores == {0.25}
