@@ -24,7 +24,7 @@ from ..functions.memo import Memo
 from ..functions.position import materialize
 from ..functions.workspace import Workspace, session_workspace, working_in
 from ..sources import csv as csv_source
-from ..sources import quarantine, sqlviews
+from ..sources import inference, quarantine, sqlviews
 from ..sources.fixtures import DAMAGED_HEADER, damaged_payment_lines, fixture_views, raw_exports, scored, view_paths
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -274,6 +274,10 @@ INGEST_JOBS: dict[str, Job] = {
     ),
     "csv_quarantine": lambda spark, d: quarantine.malformed_rows(spark, export(spark, d, "damaged")).select("row"),
     "csv_quarantine_counts": csv_quarantine_counts,
+    "csv_inferred_types": lambda spark, d: inference.inferred_types(
+        csv_source.read_text_table(spark, export(spark, d, "payments"))
+    ),
+    "csv_inferred_order_types": lambda spark, d: inference.inferred_types(csv_ingest(spark, d)),
     "parse_order_timestamps": parse_order_timestamps,
     "timestamp_null_counts": timestamp_null_counts,
 }
