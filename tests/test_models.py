@@ -6,9 +6,13 @@ import random
 
 from pyspark.sql import functions as F
 
+from basketry.functions.memo import Memo
 from basketry.operators.churn import checks, metrics
 from basketry.operators.churn import models as M
 from basketry.operators.churn.features import FEATURES
+from basketry.plans import registry
+
+from .conftest import SMALL
 
 
 def _synthetic(spark, n=600, signal=True, seed=5):
@@ -87,3 +91,37 @@ def test_comparison_checks_count_ranks_and_not_pairs(spark, monkeypatch):
     got = {r["model"]: r["auc_agrees"] for r in checks.comparison_checks(None).collect()}
     assert got == {"a": True, "b": False}
     assert not any({"a", "b"} <= columns for columns in joined)  # scores of one label beside those of the other
+
+
+def test_a_job_fits_the_models_it_reads(spark, monkeypatch):
+    def refuse(self, rows):
+        raise AssertionError("a boosted model was fitted")
+
+    monkeypatch.setattr(registry, "_HELD", Memo())
+    monkeypatch.setattr(registry, "GBT_ROUNDS", 2)
+    with monkeypatch.context() as m:
+        m.setattr(M.GBTClassifier, "fit", refuse)
+        assert {r.gradient_vanishes for r in registry.queries()["churn_logistic_optimum"](spark, SMALL).collect()} == {True}
+        logistic = registry.queries()["churn_logistic"](spark, SMALL).collect()
+    fitted = []
+    fit = M.GBTClassifier.fit
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, rows: fitted.append(self) or fit(self, rows))
+    assert registry.queries()["churn_feature_importance"](spark, SMALL).count() == len(FEATURES)
+    assert len(fitted) == 1
+    rows = registry.queries()["churn_test_rows"](spark, SMALL).collect()  # reads all four, fits the one that is missing
+    assert len(fitted) == 2 and len(rows) == 2 * len(logistic) and {r.model for r in rows} == set(M.MODEL_ORDER)
+
+
+def test_training_rows_come_in_parts_by_their_number(spark):
+    rows = _synthetic(spark).repartition(30)
+    cm = M.fit_churn_models(rows, gbt_rounds=1)
+    assert {r.rdd.getNumPartitions() for r, _, _ in cm.training.values()} == {1}
+    parted = M.prepare_churn_models(rows, gbt_rounds=2, rows_a_part=100).fit(M.MODEL_ORDER)
+    for name in (M.LR_WEIGHTED, M.LR_UNDERSAMPLED):
+        whole, part = cm.training[name][0], parted.training[name][0]
+        assert part.rdd.getNumPartitions() == -(-whole.count() // 100) > 1
+        key = ["customer_unique_id", "label", "raw_features"]
+        assert sorted(map(repr, part.select(key).collect())) == sorted(map(repr, whole.select(key).collect()))
+        ids = part.select("customer_unique_id").rdd.mapPartitions(lambda x: [[r[0] for r in x]]).collect()
+        assert all(x == sorted(x) for x in ids)
+    assert all(r.roc_auc > 0.9 for r in M.model_comparison(parted).collect())
