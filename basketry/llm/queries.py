@@ -13,17 +13,17 @@ from . import (
     collisions,
     collocations,
     decontaminate,
+    fingerprints,
     htmltext,
     linededup,
     mixing,
     quality,
     secrets,
-    sketchpairs,
+    sketchtables,
     spelling,
     tokenids,
     toxicity,
 )
-from .batches import bound_batches
 from .labelled import crc_bucket
 from .ordering import with_next
 
@@ -34,10 +34,61 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bound_batches(spark, 2)  # three versions of each text are held at a time
-    pairs = with_next(docs, "doc_id", ["text"], "text", "next_text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return pairs.mapInArrow(sketchpairs.compared_rows("doc_id"), f"doc_id {kind}, {sketchpairs.RESULT}")
+    fingerprints.allow_deep_plans(docs)
+    own = {"a": fingerprints.digests(F.col("text")), "a_cells": fingerprints.cells(F.col("a"), F.lit(0))}
+    pairs = with_next(docs, "doc_id", ["text"], "text", "next_text", own)
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
+    versions = fingerprints.with_sketch(pairs.withColumn("edited", edited), "edited", "b", "b_cells")
+    # the next document's were computed in its own row; only the last of a bucket needs its text
+    versions = versions.withColumn("c", F.coalesce("next_a", fingerprints.digests(F.col("next_text"))))
+    versions = versions.withColumn("c_cells", F.coalesce("next_a_cells", fingerprints.cells(F.col("c"), F.lit(0))))
+
+    def blocks(version: str) -> Column:
+        sketches = F.col("a_cells"), F.col(f"{version}_cells")
+        return sketchtables.first_blocks(*sketches, F.col("a"), F.col(version)).alias(f"{version}_parts")
+
+    keep = session_workspace(spark)
+    written = keep.table(
+        versions.select(
+            "doc_id",
+            F.monotonically_increasing_id().alias("row"),
+            n.cast("bigint").alias("n_chars"),
+            F.sha2("edited", 256).alias("edited_sha256"),
+            "a", "b", "c", blocks("b"), blocks("c"),
+        ),
+        "op1-digests",
+    )
+
+    def compared(version: str, number: int) -> Column:
+        return F.struct(
+            (F.col("row") * 2 + number).alias("pair"), F.col(f"{version}_parts").alias("parts"), "a", F.col(version).alias("b")
+        )
+
+    with Workspace(spark) as work:
+        both = written.select(F.inline(F.array(compared("b", 0), compared("c", 1))))
+        apart = sketchtables.differing(both, work, keep)
+    by_row = apart.groupBy(F.shiftright("pair", 1).alias("row")).agg(
+        *[F.sum(F.when(F.col("pair") % 2 == i, F.col("apart"))).alias(f"{v}_apart") for i, v in enumerate("bc")]
+    )
+
+    def near(version: str) -> Column:
+        total = (F.size("a") + F.size(version)).cast("double")
+        return (total - F.col(f"{version}_apart")) / (total + F.col(f"{version}_apart"))
+
+    def sketch(version: str) -> Column:
+        return fingerprints.fingerprint(fingerprints.cells(F.col(version), F.lit(0)))
+
+    return written.join(by_row, "row").select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        sketch("a").alias("fingerprint"),
+        sketch("b").alias("edited_fingerprint"),
+        near("b").alias("near_edited"),
+        near("c").alias("near_next"),
+    )
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

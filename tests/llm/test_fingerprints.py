@@ -209,3 +209,49 @@ def test_numpy_sketches_are_those_of_the_column_expressions(spark):
     rows = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(pairs)], "i int, text string")
     prints = [r["fingerprint"] for r in fp.with_fingerprint(rows).orderBy("i").collect()]
     assert [sk.fingerprint(n, x) for n, x in zip(*sk.cells(*a, len(pairs), 0), strict=True)] == prints
+
+
+def test_query_runs_no_python_on_the_executors(spark):
+    from basketry.llm.queries import op1_fingerprints
+
+    plan = op1_fingerprints(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_differences_peeled_as_tables(spark, monkeypatch):
+    from basketry.functions.workspace import Workspace
+    from basketry.llm import sketchtables as st
+
+    r = random.Random(11)
+    draw = lambda n: [r.getrandbits(64) - 2**63 for _ in range(n)]
+    pairs = [([], []), (draw(1), []), ([], draw(3))]
+    for same, a, b in [(0, 40, 3), (500, 0, 0), (300, 9, 9), (5, 700, 0), (2000, 300, 900), *[(20, 8, 8)] * 60]:
+        shared = draw(same)
+        pairs.append((shared + draw(a), draw(b) + shared))
+    schema = "k int, a array<bigint>, b array<bigint>"
+    raw = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], schema)
+    # digests carry their own check bits
+    checked = raw.select("k", *[F.transform(c, fp._checked).alias(c) for c in "ab"])
+    sets = {x["k"]: len(set(x["a"]) ^ set(x["b"])) for x in checked.collect()}
+    sketches = [fp.cells(F.col(c), F.lit(0)) for c in "ab"]
+    pair = (F.col("k").cast("bigint") * 1000).alias("pair")
+    rows = checked.select(pair, st.first_blocks(*sketches, F.col("a"), F.col("b")).alias("parts"), "a", "b")
+    for tiers in (fp.TIERS, 0):  # the second leaves a rest, which is compared itself
+        monkeypatch.setattr(fp, "TIERS", tiers)
+        with Workspace(spark) as work:
+            found = {x["pair"]: x["apart"] for x in st.differing(rows, work, work).collect()}
+        assert found == {1000 * k: n for k, n in sets.items()}
+    with Workspace(spark) as work:
+        assert st.differing(rows.limit(0), work, work).count() == 0
+
+
+def test_a_digest_noted_for_both_sides_is_no_difference(spark):
+    from basketry.llm import sketchtables as st
+
+    digest = spark.range(1).select(fp._checked(F.lit(123456789 << 20)).alias("x"), F.lit(0).alias("block"))
+    place = fp._place(F.xxhash64("x", F.lit(0)), 0).cast("bigint")
+    cells = digest.select(F.lit(5).alias("pair"), "block", F.inline(F.array(
+        st._cell(place, F.lit(-1), F.col("x")), st._cell(F.col("x"), F.lit(1), F.lit(0).cast("bigint"))
+    )))
+    left = st.peel_part(cells, 0, 0).collect()
+    assert [x["n"] for x in left] == [1, 1] and all(0 <= x["c"] < fp.CELLS for x in left)
