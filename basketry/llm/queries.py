@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.workspace import Workspace, session_workspace
+from ..functions.workspace import Workspace, release_shuffles, session_workspace
 from . import (
     chosenpath,
     collisions,
@@ -32,7 +32,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _text_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's digests, its edited text's and the next text's, written as a table."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     fingerprints.allow_deep_plans(docs)
     own = {"a": fingerprints.digests(F.col("text")), "a_cells": fingerprints.cells(F.col("a"), F.lit(0))}
@@ -49,8 +50,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches = F.col("a_cells"), F.col(f"{version}_cells")
         return sketchtables.first_blocks(*sketches, F.col("a"), F.col(version)).alias(f"{version}_parts")
 
-    keep = session_workspace(spark)
-    written = keep.table(
+    return session_workspace(spark).table(
         versions.select(
             "doc_id",
             F.monotonically_increasing_id().alias("row"),
@@ -61,6 +61,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "op1-digests",
     )
 
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = _text_digests(spark, sf_dir)
+    release_shuffles(spark)
+
     def compared(version: str, number: int) -> Column:
         return F.struct(
             (F.col("row") * 2 + number).alias("pair"), F.col(f"{version}_parts").alias("parts"), "a", F.col(version).alias("b")
@@ -68,7 +73,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with Workspace(spark) as work:
         both = written.select(F.inline(F.array(compared("b", 0), compared("c", 1))))
-        apart = sketchtables.differing(both, work, keep)
+        apart = sketchtables.differing(both, work, session_workspace(spark))
     by_row = apart.groupBy(F.shiftright("pair", 1).alias("row")).agg(
         *[F.sum(F.when(F.col("pair") % 2 == i, F.col("apart"))).alias(f"{v}_apart") for i, v in enumerate("bc")]
     )

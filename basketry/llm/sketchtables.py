@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.workspace import Workspace
+from ..functions.workspace import Workspace, release_shuffles
 from . import fingerprints as fp
 
 ROUNDS = 6  # each takes one part of the blocks
@@ -149,6 +149,7 @@ def differing(pairs: DataFrame, work: Workspace, keep: Workspace) -> DataFrame:
         if not entries:
             break
         tried = work.table(retry(_spread(state, entries), tier), f"sketch{tier}")
+        release_shuffles(tried.sparkSession)
         results.append(tried.select("pair", "found"))
         state = tried.filter(F.size("a") + F.size("b") > 0).select("pair", "parts", "a", "b")
     else:
