@@ -1,8 +1,7 @@
 """The sketches of ``fingerprints`` for many pairs of texts at a time, in numpy.
 
 Same paragraphs, digests, cells, blocks and peeling as the column expressions of
-``fingerprints``, with the same results; the expressions need several times the CPU time the
-limits leave, because every cell of every block is a call of an interpreted lambda. Here a
+``fingerprints``, for tasks that run Python; the query peels them as tables (``sketchtables``). Here a
 task takes the pairs of an Arrow batch, lays the cells of all their blocks in one matrix and
 peels them together: in a round every block gives what its cells with one entry hold.
 
